@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagevault.llm import line_dedup, mixing, ngram_join, pii, progressive_jpeg, secret_scan
+from pagevault.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, pii, progressive_jpeg, secret_scan
 
-MODULES = (secret_scan, line_dedup, pii, progressive_jpeg, mixing, ngram_join)
+MODULES = (secret_scan, line_dedup, pii, decontaminate, progressive_jpeg, mixing, language_id, ngram_join)
 
 
 def queries() -> dict:
