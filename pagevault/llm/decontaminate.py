@@ -62,11 +62,22 @@ def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values if len(known) else np.zeros(len(values), dtype=bool)
 
 
-def canonical(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of a text: token hashes, whether each is a slot, and slot values (0 elsewhere)."""
-    start, end, value = W.words(raw)
+def _folded(raw: np.ndarray) -> np.ndarray:
+    """Accented Latin-1 capitals lower-cased (ASCII ones are when words are hashed)."""
+    at = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    at = at[(raw[at] >= 0x80) & (raw[at] <= 0x9E) & (raw[at] != 0x97)]
+    if not len(at):
+        return raw
+    out = raw.copy()
+    out[at] += 32
+    return out
+
+
+def canonical(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of a text: token hashes, whether each is a slot, slot values (0 elsewhere), whether it is a name."""
+    start, end, value = W.words(_folded(raw))
     if not len(start):
-        return value, np.zeros(0, dtype=bool), value
+        return value, np.zeros(0, dtype=bool), value, np.zeros(0, dtype=bool)
     digits, stops = np.zeros(len(raw) + 1, dtype=np.int64), np.zeros(len(raw) + 1, dtype=np.int64)
     np.cumsum(_DIGIT[raw], out=digits[1:])
     np.cumsum(_STOP[raw], out=stops[1:])
@@ -103,11 +114,11 @@ def canonical(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         head = np.flatnonzero(~part)
         group = np.cumsum(~part) - 1
         for i in np.flatnonzero(part):
-            held[head[group[i]]] = W.mix(np.array([held[head[group[i]]] * np.uint64(31) + value[i]]))[0]
+            held[head[group[i]]] = W.mix(held[head[group[i], None]] * np.uint64(31) + value[i])[0]
             if unit[i]:
                 token[head[group[i]]] = QUANTITY
-        token, slot, held = token[head], slot[head], held[head]
-    return token, slot, held
+        token, slot, held, name = token[head], slot[head], held[head], name[head]
+    return token, slot, held, name
 
 
 def windows(token: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +132,25 @@ def windows(token: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray,
     return at, h[at]
 
 
+def views(raw: np.ndarray, sizes: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """A text's windows (starts, hashes, slot flags, slot values, size); sizes None takes the item's own.
+
+    Windows with names come twice, with placeholders and with the names as
+    words, so that a change of case doesn't hide a verbatim copy.
+    """
+    token, slot, held, name = canonical(raw)
+    if sizes is None:
+        sizes = [min(WINDOW, len(token))] if len(token) >= LEAST else []
+    for size in sizes:
+        yield *windows(token, slot, size), slot, held, size
+        if name.any():
+            plain = slot & ~name
+            at, h = windows(np.where(name, held, token), plain, size)
+            names = np.concatenate([[0], np.cumsum(name)])
+            some = names[at + size] > names[at]
+            yield at[some], h[some], plain, held, size
+
+
 _HIT = "hash bigint, pos bigint, slots array<bigint>"
 
 
@@ -145,12 +175,12 @@ def item_windows(benchmark: DataFrame, text: str = "text", id: str = "item_id")
         for b in batches:
             hits, sizes, totals = [], [0] * b.num_rows, [0] * b.num_rows
             for r in range(b.num_rows):
-                token, slot, held = canonical(np.frombuffer((b.column(1)[r].as_py() or "").encode(), dtype=np.uint8))
-                if len(token) >= LEAST:
-                    sizes[r] = min(WINDOW, len(token))
-                    at, h = windows(token, slot, sizes[r])
-                    totals[r] = len(at)
-                    hits.append((r, at, h, slot, held, sizes[r]))
+                starts: list[int] = []
+                for at, h, slot, held, size in views(np.frombuffer((b.column(1)[r].as_py() or "").encode(), dtype=np.uint8), None):
+                    sizes[r] = size
+                    starts += at.tolist()
+                    hits.append((r, at, h, slot, held, size))
+                totals[r] = len(set(starts))
             yield from _emit([b.column(0), pa.array(sizes, type=pa.int32()), pa.array(totals, type=pa.int64())], ["item", "size", "total"], hits)
 
     return benchmark.where(F.col(text).isNotNull()).select(id, text).distinct().mapInArrow(run, f"item {kind}, size int, total bigint, {_HIT}")
@@ -171,9 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
             raw, offsets = W.column_bytes(b.column(3))
             hits, held_back = [], 0
             for r in range(b.num_rows):
-                token, slot, held = canonical(raw[offsets[r] : offsets[r + 1]])
-                for size in sizes:
-                    at, h = windows(token, slot, size)
+                for at, h, slot, held, size in views(raw[offsets[r] : offsets[r + 1]], sizes):
                     if hashes is not None and len(at):
                         ok = _in(h, hashes)
                         at, h = at[ok], h[ok]
