@@ -19,10 +19,10 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _pointer(spark: SparkSession, path: str) -> list[str] | None:
-    fs, p = _fs(spark, f"{path}/_current")
+    fs, p = _fs(spark, f"{path}/CURRENT")
     if not fs.exists(p):
         return None
-    return spark.read.text(f"{path}/_current").first()[0].split("\t")
+    return spark.read.text(f"{path}/CURRENT").first()[0].split("\t")
 
 
 def has(spark: SparkSession, path: str, version: str) -> bool:
@@ -47,11 +47,11 @@ def publish(table: DataFrame, path: str, version: str) -> None:
     n, keys = spark.read.parquet(f"{path}/{version}").selectExpr("count(*)", "count(distinct url_key)").first()
     if n != keys:
         raise ValueError("a key stands twice in the new version")
-    fs, to = _fs(spark, f"{path}/_current")
-    _, new = _fs(spark, f"{path}/_next")
+    fs, to = _fs(spark, f"{path}/CURRENT")
+    _, new = _fs(spark, f"{path}/NEXT")
     out = fs.create(new, True)
     out.write(bytearray("\t".join((str(FORMAT), version)).encode()))
     out.close()
     fs.delete(to, False)
     if not fs.rename(new, to):
-        raise OSError(f"the pointer {path}/_current could not be replaced")
+        raise OSError(f"the pointer {path}/CURRENT could not be replaced")
