@@ -95,12 +95,12 @@ def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                     run += int(stop[0]) if len(stop) else len(step)
                     if len(stop):
                         break
-                acc = U(0)
+                acc = np.zeros(1, dtype=U)
                 for k in range(at, run, PIECE):
-                    acc = mix(np.array([acc * U(31)]) + _piece(raw[k : min(run, k + PIECE)])[2])[0]
+                    acc = mix(acc * U(31) + _piece(raw[k : min(run, k + PIECE)])[2])
                 starts.append(np.array([at]))
                 ends.append(np.array([run]))
-                hashes.append(np.array([acc], dtype=U))
+                hashes.append(acc)
                 at = run
                 continue
         s, e, h = _piece(raw[at:to])
