@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault.llm import words as W
-from pagevault.llm.store import settle, small, table
+from pagevault.llm.store import batched, settle, small, table
 
 WINDOW = 8
 LEAST = 4
@@ -213,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
                     hits, held_back = [], 0
             yield from _emit(b.columns[:3], ["_id", "_a", "_b"], hits)
 
-    keyed = docs.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_a"), F.xxhash64(F.col(text), F.lit(7)).alias("_b"), F.col(text))
+    keyed = batched(docs).select(F.col(id).alias("_id"), F.xxhash64(text).alias("_a"), F.xxhash64(F.col(text), F.lit(7)).alias("_b"), F.col(text))
     hits = keyed.mapInArrow(run, f"_id {kind}, _a bigint, _b bigint, {_HIT}")
     own = items.select("item", "total", F.col("hash").alias("_hash"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"))
     met = hits.join(small(own) if few else own, hits["hash"] == own["_hash"]).where(F.size("slots") == F.size("_slots"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from collections.abc import Iterator
 
 from pagevault.llm import words as W
-from pagevault.llm.store import settle, small, table
+from pagevault.llm.store import batched, settle, small, table
 
 SAMPLE = 4000  # most rows whose texts are counted to fit the trigram model
 MIN_ROWS = 20  # declared rows a language needs in that sample (or a fifth of it)
@@ -83,7 +83,7 @@ def _counts(docs: DataFrame, text: str, declared: str) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"l": [name] * (len(at) + 1), "bucket": np.append(at, -1), "n": np.append(x[at], rows[name])})
 
     out: dict[str, np.ndarray] = {}
-    for r in docs.select(text, declared).mapInArrow(run, "l string, bucket bigint, n bigint").groupBy("l", "bucket").agg(F.sum("n").alias("n")).collect():
+    for r in batched(docs).select(text, declared).mapInArrow(run, "l string, bucket bigint, n bigint").groupBy("l", "bucket").agg(F.sum("n").alias("n")).collect():
         out.setdefault(r.l, np.zeros(BUCKETS + 1))[r.bucket] += r.n
     return out
 
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, text: str = "text", declared: str = "lang", sample: int
 
 def scored(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> Column:
     """Column: log-likelihood of the text under each language and ``und``; empty for a wordless text."""
-    held = docs.sparkSession.sparkContext.broadcast(model[1])
+    held = batched(docs).sparkSession.sparkContext.broadcast(model[1])
 
     @F.arrow_udf("array<double>")
     def likelihood(texts: pa.Array) -> pa.Array:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagevault.llm import words as W
-from pagevault.llm.store import table
+from pagevault.llm.store import batched, table
 
 GRAM = 3
 NEAR = 4
@@ -69,7 +69,7 @@ def positions(spark: SparkSession) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
-    return docs.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_a"), F.xxhash64(F.col(text), F.lit(7)).alias("_b"), F.col(text))
+    return batched(docs).select(F.col(id).alias("_id"), F.xxhash64(text).alias("_a"), F.xxhash64(F.col(text), F.lit(7)).alias("_b"), F.col(text))
 
 
 def _tokens(docs: DataFrame, text: str, id: str, grams: bool) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from pagevault.llm import words as W
 from pagevault.llm.components import components
-from pagevault.llm.store import settle, small, table
+from pagevault.llm.store import batched, settle, small, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int =
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[sizes > 0].reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(sizes, type=pa.int64()), lists], names=["id", "a", "b", "n", "bands"])
 
-    return docs.select(F.col(id), F.col(text)).mapInArrow(run, f"id {kind}, a bigint, b bigint, n bigint, bands array<bigint>")
+    return batched(docs).select(F.col(id), F.col(text)).mapInArrow(run, f"id {kind}, a bigint, b bigint, n bigint, bands array<bigint>")
 
 
 def needed(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -282,7 +282,7 @@ def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int
             a, b = (pa.array([p[s] for p in pairs], type=pa.int64()) for s in (0, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, a, b], names=[*columns, "_a", "_b"])
 
-    keyed = docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _a bigint, _b bigint")
+    keyed = batched(docs).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _a bigint, _b bigint")
     c = classes.select("a", "b", "root")
     first = F.struct(F.col(id).isNull(), F.col(id), F.xxhash64(*[F.col(x).cast("string") for x in columns]))
     kept = keyed.join(c, (F.col("_a") == c["a"]) & (F.col("_b") == c["b"])).groupBy("root").agg(F.min_by(F.struct(*columns), first).alias("_row"))

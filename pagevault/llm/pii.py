@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault.llm import spans as S
-from pagevault.llm.store import table
+from pagevault.llm.store import batched, table
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -140,7 +140,7 @@ def personal_spans(docs: DataFrame, text: str = "text", id: str = "doc_id") -> D
             rows = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(x.as_py())] for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, type=arrow)], names=[id, "spans"])
 
-    return docs.select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return batched(docs).select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

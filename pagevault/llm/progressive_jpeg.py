@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagevault.llm.store import table
+from pagevault.llm.store import batched, table
 
 UNIT = 576  # a payload's length is a positive multiple of this
 STRIP = 1 << 14  # blocks transformed at once
@@ -521,7 +521,7 @@ def store_media(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
                 media = [encode(padded(x)) for x in held]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array([len(x) for x in held], type=pa.int64()), pa.array(media, type=pa.binary())], names=[id, "n_bytes", "media"])
 
-    return docs.select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, n_bytes bigint, media binary")
+    return batched(docs).select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, n_bytes bigint, media binary")
 
 
 def read_media(media: DataFrame, id: str = "doc_id", tensors: bool = True) -> DataFrame:

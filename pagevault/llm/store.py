@@ -14,6 +14,7 @@ BROADCAST_ROWS = 300_000  # rows of a few dozen bytes each: the most that is eve
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark's own reader (any file system)."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+# Bounds on what a task holds at once, set in the session by every operator.
+BOUNDS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",  # not 10,000 rows of text
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",  # not 64 MB
+    "parquet.block.size": str(32 << 20),  # a writer buffers a row group, a reader its column chunks
+    "parquet.hadoop.vectored.io.enabled": "false",  # its threads keep direct buffers as large as the chunks they read
+}
+
+
+def bounded(spark: SparkSession) -> None:
+    for key, value in BOUNDS.items():
+        spark.conf.set(key, value)
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """The same table, once the session's bounds hold."""
+    bounded(df.sparkSession)
+    return df
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -32,6 +53,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     lets the planner know the table's true size.  Removed when the driver ends.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagevault.llm import words as W
-from pagevault.llm.store import table
+from pagevault.llm.store import batched, table
 
 SPAN, STRIDE = 16, 8
 DIM, HIDDEN, ATTEND = 16, 8, 8
@@ -325,7 +325,7 @@ def score_texts(docs: DataFrame, p: dict[str, np.ndarray] | None, text: str = "t
             s = scores(raw, offsets, sent.value) if sent.value is not None else np.full(b.num_rows, EMPTY_SCORE)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, type=pa.float64())], names=[id, "score"])
 
-    return docs.select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, score double")
+    return batched(docs).select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, score double")
 
 
 def op3_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
