@@ -171,3 +171,23 @@ def test_windows_stream(spark, tmp_path):
     s = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"file://{tmp_path}/t")
     q = T.windowed(s).writeStream.format("memory").queryName("win").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
     assert q.awaitTermination(120) and [r[0] for r in rows(spark.table("win"), "n")] == [2] * 5
+
+
+def fnv_brute(text):
+    out = ""
+    for seed in (0x811C9DC5, 0x9E3779B9):
+        h = seed
+        for c in text:
+            h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+        out += f"{h:08x}"
+    return out
+
+
+def test_content_hashes_of_long_texts(spark, tmp_path):
+    from pagevault.plans import indexing
+
+    texts = ["short é", "x" * 399, "y" * 400, "a longer text, né. " * 900]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(len(texts)).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.id: r.content_hash for r in indexing.content_hashes(spark, str(tmp_path)).collect()}
+    assert got == {i: fnv_brute(t[:80] + "\n\n" + t) for i, t in enumerate(texts)}
