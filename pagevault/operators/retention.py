@@ -88,11 +88,24 @@ def clock_hold(now: int, last_sweep: int | None = None, hold_until: int | None =
 def merged_log(rounds: DataFrame, keep: int = S.LOG_ROWS) -> DataFrame:
     """Rounds (id, at, reason, count, bytes_freed, age, size) folded: one row while the reason stays and gaps stay under ten minutes.
 
-    Entries arrive in order; the log is a few rows a day and is trimmed to the newest 500.
+    Runs are found within each day; only a day's first and last round meet the
+    days beside it, so no window runs over the whole log.  The log is trimmed to
+    the newest 500.
     """
-    w = Window.orderBy("at", "id")
-    new = (F.lag("reason").over(w).eqNullSafe(F.col("reason")) & (F.col("at") - F.lag("at").over(w) < S.LOG_GAP_MS)).cast("int")
-    runs = rounds.withColumn("_run", F.sum(1 - F.coalesce(new, F.lit(0))).over(w))
+    rounds = rounds.withColumn("_day", F.floor(F.col("at") / S.DAY_MS))
+    w = Window.partitionBy("_day").orderBy("at", "id")
+    goes_on = lambda reason, at: F.coalesce(reason.eqNullSafe(F.col("reason")) & (F.col("at") - at < S.LOG_GAP_MS), F.lit(False))
+    new = F.when(F.row_number().over(w) == 1, 0).otherwise(F.when(goes_on(F.lag("reason").over(w), F.lag("at").over(w)), 0).otherwise(1))
+    runs = rounds.withColumn("_new", new).withColumn("_within", F.sum("_new").over(w))
+    edge = F.struct("at", "id", "reason")
+    days = runs.groupBy(F.col("_day").alias("_of")).agg(F.sum("_new").alias("_n"), F.min(edge).alias("_first"), F.max(edge).alias("_last"))
+    over = Window.orderBy(F.asc_nulls_first("_of"))
+    last = F.lag("_last").over(over)
+    joins = F.coalesce(last["reason"].eqNullSafe(F.col("_first.reason")) & (F.col("_first.at") - last["at"] < S.LOG_GAP_MS), F.lit(False))
+    days = days.withColumn("_starts", F.when(joins, 0).otherwise(1))
+    before = F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("_of", (before + F.sum("_starts").over(over.rowsBetween(Window.unboundedPreceding, 0))).alias("_before"))
+    runs = runs.join(days, F.col("_day").eqNullSafe(F.col("_of"))).withColumn("_run", F.col("_before") + F.col("_within"))
     total = lambda c: F.sum(c).cast("long").alias(c)
     folded = runs.groupBy("_run", "reason").agg(F.min("id").alias("id"), F.max("at").alias("at"), total("count"), total("bytes_freed"), total("age"), total("size"), F.count(F.lit(1)).alias("rounds")).drop("_run")
     return folded.orderBy(F.desc("at"), F.desc("id")).limit(keep)

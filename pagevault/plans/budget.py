@@ -30,7 +30,7 @@ def budget(s, d):
 
 
 def log_merge(s, d):
-    e = C.table(s, d, "events").where("event_id < 400").select(F.col("event_id").alias("id"), (F.col("event_id") * 400_000 + F.col("event_id") * F.col("event_id") % 7 * 60_000).alias("at"), F.when((F.col("event_id") / 3).cast("int") % 2 == 0, "age").otherwise("size").alias("reason"), (F.col("event_id") % 5).alias("count"), (F.col("event_id") * 10).alias("bytes_freed"), F.lit(0).cast("long").alias("age"), F.lit(1).cast("long").alias("size"))
+    e = C.table(s, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 400_000 + F.col("event_id") * F.col("event_id") % 7 * 60_000).alias("at"), F.when((F.col("event_id") / 3).cast("int") % 2 == 0, "age").otherwise("size").alias("reason"), (F.col("event_id") % 5).alias("count"), (F.col("event_id") * 10).alias("bytes_freed"), F.lit(0).cast("long").alias("age"), F.lit(1).cast("long").alias("size"))
     return R.merged_log(e).select("id", "at", "reason", "count", "bytes_freed", "rounds")
 
 

@@ -191,3 +191,29 @@ def test_content_hashes_of_long_texts(spark, tmp_path):
     spark.range(len(texts)).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.id: r.content_hash for r in indexing.content_hashes(spark, str(tmp_path)).collect()}
     assert got == {i: fnv_brute(t[:80] + "\n\n" + t) for i, t in enumerate(texts)}
+
+
+def log_brute(rounds, keep=500):
+    out = []
+    for id, at, reason, count in sorted(rounds, key=lambda r: (r[1], r[0])):
+        if out and out[-1][2] == reason and at - out[-1][1] < S.LOG_GAP_MS:
+            out[-1] = (min(out[-1][0], id), at, reason, out[-1][3] + count, out[-1][4] + 1)
+        else:
+            out.append((id, at, reason, count, 1))
+    return sorted(out, key=lambda r: (-r[1], -r[0]))[:keep]
+
+
+def test_log_of_all_events(spark, tmp_path):
+    from pagevault.plans import budget
+
+    spark.range(2500).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r.id, r["at"], r.reason, r["count"], r.rounds) for r in budget.log_merge(spark, str(tmp_path)).collect()]
+    want = log_brute([(i, i * 400_000 + i * i % 7 * 60_000, "age" if i // 3 % 2 == 0 else "size", i % 5) for i in range(2500)])
+    assert got == want and len(got) == 500
+
+
+def test_log_across_days(spark):
+    ats = [0, DAY - 1000, DAY + 1000, DAY + 2000, 2 * DAY + 5, 4 * DAY - 1, 4 * DAY, 5 * DAY - 1, 5 * DAY + S.LOG_GAP_MS]
+    rounds = [(i, at, "age" if i < 3 or i > 6 else "size", i + 1) for i, at in enumerate(ats)]
+    log = spark.createDataFrame(rounds, "id long, at long, reason string, count long").withColumns({"bytes_freed": F.col("count"), "age": F.lit(0), "size": F.lit(0)})
+    assert [(r.id, r["at"], r.reason, r["count"], r.rounds) for r in K.merged_log(log).collect()] == log_brute(rounds)
