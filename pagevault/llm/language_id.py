@@ -6,7 +6,9 @@ and host h the posterior is proportional to
     P(t | l) ** TEMPER * P(d | l) * P(s | l) * P(l | h)
 
 * P(t | l): hashed byte trigrams of the lower-cased letters, whole texts, with
-  counts from a bounded sample of declared rows (``SAMPLE`` rows, the bound);
+  counts from a bounded sample of each declared language (``SAMPLE`` distinct
+  texts, drawn by hash), so a language's model depends neither on
+  the table's size nor on copies;
 * P(d | l), P(s | l): smoothed counts of declared languages and suffixes by the
   language that the text alone points to, over all rows;
 * P(l | h): host counts over all rows, smoothed towards their domain's (the last
@@ -15,8 +17,9 @@ and host h the posterior is proportional to
 One more class, ``und``, has evenly spread trigrams and a small prior; a text that
 no known language explains better than that is not identified.
 
-Scale: two reads of the texts and no shuffle of them.  The first read is
-pre-aggregated to counts by (host, declared, text language); the host table is
+Scale: three reads of the texts; only hashes and the sampled texts are shuffled.
+The first read deals (declared, hash) pairs, the second fetches the sample, the
+third is pre-aggregated to counts by (host, declared, text language); the host table is
 broadcast only if its counted rows are few and joined by host otherwise (AQE
 splits a hot host).
 
@@ -31,15 +34,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from collections.abc import Iterator
 
 from pagevault.llm import words as W
 from pagevault.llm.store import batched, settle, small, table
 
-SAMPLE = 4000  # most rows whose texts are counted to fit the trigram model
-MIN_ROWS = 20  # declared rows a language needs in that sample (or a fifth of it)
+SAMPLE = 4000  # most distinct texts of one declared language that are counted to fit the trigram model
+MIN_ROWS = 20  # declared rows a language needs in the whole table (or a fifth of all declared rows)
 BUCKETS = 1 << 14
 TEMPER = 0.3  # trigrams of a text depend on each other
 UNKNOWN = "und"
@@ -90,14 +93,18 @@ def _counts(docs: DataFrame, text: str, declared: str) -> dict[str, np.ndarray]:
 
 def fit(docs: DataFrame, text: str = "text", declared: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order and the log-probabilities (BUCKETS, languages + 1); the last column is ``und``."""
-    known = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull())
-    n = known.count()
+    known = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(declared).alias("_said"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    hashes = settle(known.groupBy("_said", "_hash").agg(F.count(F.lit(1)).alias("_n")), "hashes")
+    n = hashes.agg(F.sum("_n")).first()[0] or 0
     if not n:
         return [], np.zeros((BUCKETS, 1), dtype=np.float32)
-    share = max(1, -(-n // sample))
-    counts = _counts(known.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0), text, declared) or _counts(known.limit(sample), text, declared)
-    least = min(MIN_ROWS, sum(x[-1] for x in counts.values()) / 5)
-    langs = sorted(k for k, x in counts.items() if x[-1] >= least)
+    modelled = settle(hashes.groupBy("_said").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_texts")).where(F.col("_rows") >= min(MIN_ROWS, n / 5)), "languages")
+    # by chance of the hash about twice the sample first, so that no task orders all texts of a language
+    share = F.pmod("_hash", F.lit(1 << 31)) / F.lit(float(1 << 31)) * F.col("_texts") < F.lit(2 * sample + 100)
+    place = F.row_number().over(Window.partitionBy("_said").orderBy("_hash"))
+    picked = hashes.join(small(modelled), "_said").where(share).withColumn("_place", place).where(F.col("_place") <= sample).select("_said", "_hash")
+    counts = _counts(known.join(small(settle(picked, "picked")), ["_said", "_hash"]).dropDuplicates(["_said", "_hash"]), "_text", "_said")
+    langs = sorted(counts)
     logs = np.full((BUCKETS, len(langs) + 1), -np.log(BUCKETS), dtype=np.float32)
     for i, k in enumerate(langs):
         x = counts[k][:-1]

@@ -344,6 +344,18 @@ def test_language(spark, hard):
     assert language_id.identify(hard.drop("language").limit(0)).count() == 0
 
 
+def test_language_sample(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = {"en": "the of and to with that this from have there which".split(), "de": "der die und nicht sich von auch werden über schön".split()}
+    say = lambda lang: " ".join(rng.choice(vocabulary[lang], 12))
+    texts = [say("en") for _ in range(1000)] + ["zq jv xk " * 50] * 500 + [say("de") for _ in range(20)] + [say("en") for _ in range(5)]
+    langs, logs = language_id.fit(table(spark, texts, langs=["en"] * 1500 + ["de"] * 20 + ["xx"] * 5), sample=50)
+    assert langs == ["de", "en"]  # 20 of 1,525 rows are enough, 5 are not, at any size of sample
+    h, ok = language_id.trigrams(np.frombuffer(b"zq", dtype=np.uint8))
+    common, _ = language_id.trigrams(np.frombuffer(b"the", dtype=np.uint8))
+    assert logs[common[1], 1] > logs[h[0], 1]  # 500 copies of one text count once
+
+
 # --- 9: join ---
 
 
