@@ -11,8 +11,13 @@ the same value in the text.  A text is contaminated by an item if its consistent
 alignments cover ``SHARE`` of the item's windows or more - whatever the numbers,
 names and units it was re-parameterised with.
 
-An item shorter than ``WINDOW`` tokens is one window of its own length; items
-under ``LEAST`` tokens or with windows of placeholders only match nothing.
+An item shorter than ``WINDOW`` tokens is one window of its own length.
+
+Windows poor in words and items under ``LEAST`` tokens have no placeholder view;
+every item also has an exact view, all slot values as words and no such bounds,
+so that a verbatim copy of any item is found.  Its share is taken of all of the
+item's windows and its alignments are consistent in both views.  An item of one
+word therefore matches every text with that word.
 
 Scale: the texts are read once.  If the benchmark's windows are few by count,
 their sorted hashes go to the executors and only matching windows enter the
@@ -73,6 +78,10 @@ def _folded(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+PLACEHOLDERS, EXACT = 0, 1  # kinds of windows
+_SALT = (np.uint64(0), W._splitmix(1, 506)[0])
+
+
 def canonical(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template tokens of a text: token hashes, whether each is a slot, slot values (0 elsewhere), whether it is a name."""
     start, end, value = W.words(_folded(raw))
@@ -132,58 +141,64 @@ def windows(token: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray,
     return at, h[at]
 
 
-def views(raw: np.ndarray, sizes: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """A text's windows (starts, hashes, slot flags, slot values, size); sizes None takes the item's own.
+def views(raw: np.ndarray, sizes: list[int] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """A text's windows (kind, starts, hashes, slot flags, slot values, size); sizes None takes the item's own.
 
     Windows with names come twice, with placeholders and with the names as
-    words, so that a change of case doesn't hide a verbatim copy.
+    words, so that a change of case doesn't hide a verbatim copy.  All windows
+    come once more in the exact kind, with every slot value as a word.
     """
     token, slot, held, name = canonical(raw)
     if sizes is None:
-        sizes = [min(WINDOW, len(token))] if len(token) >= LEAST else []
+        sizes = [min(WINDOW, len(token))] if len(token) else []
+    plain = slot & ~name
     for size in sizes:
-        yield *windows(token, slot, size), slot, held, size
+        h = W.grams(np.where(slot, held, token), size)
+        yield EXACT, np.arange(len(h)), W.mix(h + np.uint64(size)) ^ _SALT[EXACT], plain, held, size
+        if size < LEAST:
+            continue
+        yield PLACEHOLDERS, *windows(token, slot, size), slot, held, size
         if name.any():
-            plain = slot & ~name
             at, h = windows(np.where(name, held, token), plain, size)
             names = np.concatenate([[0], np.cumsum(name)])
             some = names[at + size] > names[at]
-            yield at[some], h[some], plain, held, size
+            yield PLACEHOLDERS, at[some], h[some], plain, held, size
 
 
-_HIT = "hash bigint, pos bigint, slots array<bigint>"
+_HIT = "kind int, hash bigint, pos bigint, slots array<bigint>"
 
 
-def _emit(keys: list[pa.Array], names: list[str], hits: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-    """Rows of windows: hits are (row, starts, hashes, slot flags, slot values, size)."""
-    row, pos, hashes, slots = [], [], [], []
-    for r, at, h, slot, held, size in hits:
+def _emit(keys: list[pa.Array], names: list[str], hits: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows of windows: hits are (row, kind, starts, hashes, slot flags, slot values, size)."""
+    row, kinds, pos, hashes, slots = [], [], [], [], []
+    for r, kind, at, h, slot, held, size in hits:
         for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
             row.append(r)
+            kinds.append(kind)
             pos.append(p)
             hashes.append(x)
             slots.append(held[p : p + size][slot[p : p + size]].view(np.int64).tolist())
     index = pa.array(row, type=pa.int64())
-    yield pa.RecordBatch.from_arrays([*(k.take(index) for k in keys), pa.array(hashes, type=pa.int64()), pa.array(pos, type=pa.int64()), pa.array(slots, type=pa.list_(pa.int64()))], names=[*names, "hash", "pos", "slots"])
+    yield pa.RecordBatch.from_arrays([*(k.take(index) for k in keys), pa.array(kinds, type=pa.int32()), pa.array(hashes, type=pa.int64()), pa.array(pos, type=pa.int64()), pa.array(slots, type=pa.list_(pa.int64()))], names=[*names, "kind", "hash", "pos", "slots"])
 
 
 def item_windows(benchmark: DataFrame, text: str = "text", id: str = "item_id") -> DataFrame:
-    """Windows of the items: item, size, hash, pos, slots and the item's number of windows."""
+    """Windows of the items: item, size, kind, hash, pos, slots and the item's numbers of windows with words enough (total) and of all (whole)."""
     kind = benchmark.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits, sizes, totals = [], [0] * b.num_rows, [0] * b.num_rows
+            hits, sizes, totals, wholes = [], [0] * b.num_rows, [0] * b.num_rows, [0] * b.num_rows
             for r in range(b.num_rows):
-                starts: list[int] = []
-                for at, h, slot, held, size in views(np.frombuffer((b.column(1)[r].as_py() or "").encode(), dtype=np.uint8), None):
+                starts: list[set[int]] = [set(), set()]
+                for of, at, h, slot, held, size in views(np.frombuffer((b.column(1)[r].as_py() or "").encode(), dtype=np.uint8), None):
                     sizes[r] = size
-                    starts += at.tolist()
-                    hits.append((r, at, h, slot, held, size))
-                totals[r] = len(set(starts))
-            yield from _emit([b.column(0), pa.array(sizes, type=pa.int32()), pa.array(totals, type=pa.int64())], ["item", "size", "total"], hits)
+                    starts[of].update(at.tolist())
+                    hits.append((r, of, at, h, slot, held, size))
+                totals[r], wholes[r] = len(starts[PLACEHOLDERS]), len(starts[EXACT])
+            yield from _emit([b.column(0), pa.array(sizes, type=pa.int32()), pa.array(totals, type=pa.int64()), pa.array(wholes, type=pa.int64())], ["item", "size", "total", "whole"], hits)
 
-    return benchmark.where(F.col(text).isNotNull()).select(id, text).distinct().mapInArrow(run, f"item {kind}, size int, total bigint, {_HIT}")
+    return benchmark.where(F.col(text).isNotNull()).select(id, text).distinct().mapInArrow(run, f"item {kind}, size int, total bigint, whole bigint, {_HIT}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item: str = "item_id", share: float = SHARE) -> DataFrame:
@@ -201,12 +216,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
             raw, offsets = W.column_bytes(b.column(3))
             hits, held_back = [], 0
             for r in range(b.num_rows):
-                for at, h, slot, held, size in views(raw[offsets[r] : offsets[r + 1]], sizes):
+                for of, at, h, slot, held, size in views(raw[offsets[r] : offsets[r + 1]], sizes):
                     if hashes is not None and len(at):
                         ok = _in(h, hashes)
                         at, h = at[ok], h[ok]
                     if len(at):
-                        hits.append((r, at, h, slot, held, size))
+                        hits.append((r, of, at, h, slot, held, size))
                         held_back += len(at)
                 if held_back > 50_000:
                     yield from _emit(b.columns[:3], ["_id", "_a", "_b"], hits)
@@ -215,15 +230,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
 
     keyed = batched(docs).select(F.col(id).alias("_id"), F.xxhash64(text).alias("_a"), F.xxhash64(F.col(text), F.lit(7)).alias("_b"), F.col(text))
     hits = keyed.mapInArrow(run, f"_id {kind}, _a bigint, _b bigint, {_HIT}")
-    own = items.select("item", "total", F.col("hash").alias("_hash"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"))
-    met = hits.join(small(own) if few else own, hits["hash"] == own["_hash"]).where(F.size("slots") == F.size("_slots"))
+    own = items.select("item", "total", "whole", F.col("kind").alias("_kind"), F.col("hash").alias("_hash"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"))
+    met = hits.join(small(own) if few else own, (hits["hash"] == own["_hash"]) & (hits["kind"] == own["_kind"])).where(F.size("slots") == F.size("_slots"))
     pairs = F.arrays_zip(F.col("_slots").alias("x"), F.col("slots").alias("y"))
-    lines = met.groupBy("_id", "_a", "_b", "item", "total", (F.col("pos") - F.col("_pos")).alias("_line")).agg(
-        F.collect_set("_pos").alias("_at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("_pairs")
-    )
-    steady = F.size("_pairs") == F.size(F.array_distinct(F.transform("_pairs", lambda p: p["x"])))
-    found = lines.where(steady).groupBy("_id", "_a", "_b", "item", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_at")))).cast("long").alias("matched"))
-    return found.select("_id", "_a", "_b", "item", F.col("total").alias("windows"), "matched", (F.col("matched") / F.col("total")).alias("share")).where(F.col("share") >= share)
+    of = ["_id", "_a", "_b", "item", "total", "whole"]
+    by = lambda kind, x: F.when(F.col("kind") == kind, x)
+    distinct = lambda x: F.array_distinct(F.flatten(x))
+    lines = met.groupBy(*of, (F.col("pos") - F.col("_pos")).alias("_line")).agg(
+        F.collect_set(by(PLACEHOLDERS, F.col("_pos"))).alias("_at"), F.collect_set(by(EXACT, F.col("_pos"))).alias("_exact"),
+        distinct(F.collect_set(by(PLACEHOLDERS, pairs))).alias("_pairs"), distinct(F.collect_set(pairs)).alias("_every"),
+    )
+    steady = lambda x: F.size(x) == F.size(F.array_distinct(F.transform(x, lambda p: p["x"])))
+    count = lambda at, ok: F.size(distinct(F.collect_list(F.when(ok, F.col(at))))).cast("long")
+    found = lines.groupBy(*of).agg(count("_at", steady("_pairs")).alias("_some"), count("_exact", steady("_every")).alias("_all"))
+    best = F.greatest(*[F.struct(F.coalesce(F.try_divide(F.col(m), F.col(n)), F.lit(0.0)).alias("share"), F.col(n).alias("windows"), F.col(m).alias("matched")) for m, n in (("_some", "total"), ("_all", "whole"))])
+    return found.select(*of[:4], best.alias("_best")).select(*of[:4], F.col("_best.windows").alias("windows"), F.col("_best.matched").alias("matched"), F.col("_best.share").alias("share")).where(F.col("share") >= share)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:

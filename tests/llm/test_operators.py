@@ -172,6 +172,14 @@ def test_templates(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_verbatim_numbers(spark):
+    items = ["What is 17 * 23 + 4?", "12 18 27 33 41 55 68 72 89 93 104", "Solve 3 x", "Add 5 and 8, 13 and 21, 34 and 55 and 89 to 144 now"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["before " + x + " after" for x in items] + ["What is 18 * 23 + 4?", "12 19 27 34 41 56 68 73 89 94 104", "solve 4 x", "a plain text of many words that holds none of the items at all"]
+    got = {(r._id, r.item): (r.matched, r.windows) for r in decontaminate.contaminated(table(spark, texts), bench).collect()}
+    assert set(got) == {(i, i) for i in range(4)} and all(m == n for m, n in got.values())
+
+
 # --- 6: media ---
 
 
