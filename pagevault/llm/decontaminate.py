@@ -13,6 +13,11 @@ names and units it was re-parameterised with.
 
 An item shorter than ``WINDOW`` tokens is one window of its own length.
 
+Capitalised words that open a sentence are ordinary words in that view; in a
+further one they are names too.  It has the same windows, as long as half of
+their tokens are still words, and its alignments are consistent by themselves,
+which sorts out opening words that are no names.
+
 Windows poor in words and items under ``LEAST`` tokens have no placeholder view;
 every item also has an exact view, all slot values as words and no such bounds,
 so that a verbatim copy of any item is found.  Its share is taken of all of the
@@ -45,6 +50,7 @@ from pagevault.llm.store import batched, settle, small, table
 WINDOW = 8
 LEAST = 4
 LITERAL = 0.6  # of a window's tokens must be words
+LITERAL_OPENING = 0.5  # and so many still where opening words count as names
 SHARE = 0.3
 FEW_WINDOWS = 2_000_000  # 8 bytes each: the most hashes that go to every executor
 
@@ -78,15 +84,15 @@ def _folded(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-PLACEHOLDERS, EXACT = 0, 1  # kinds of windows
-_SALT = (np.uint64(0), W._splitmix(1, 506)[0])
+PLACEHOLDERS, EXACT, OPENING = 0, 1, 2  # kinds of windows
+_SALT = (np.uint64(0), *W._splitmix(2, 506))
 
 
-def canonical(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of a text: token hashes, whether each is a slot, slot values (0 elsewhere), whether it is a name."""
+def canonical(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of a text: token hashes, whether each is a slot, slot values (0 elsewhere), whether it is a name, whether it is a capitalised word that opens a sentence."""
     start, end, value = W.words(_folded(raw))
     if not len(start):
-        return value, np.zeros(0, dtype=bool), value, np.zeros(0, dtype=bool)
+        return value, np.zeros(0, dtype=bool), value, np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
     digits, stops = np.zeros(len(raw) + 1, dtype=np.int64), np.zeros(len(raw) + 1, dtype=np.int64)
     np.cumsum(_DIGIT[raw], out=digits[1:])
     np.cumsum(_STOP[raw], out=stops[1:])
@@ -99,7 +105,7 @@ def canonical(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     b1 = raw[np.minimum(start + 1, len(raw) - 1)]
     title = (b0 >= 65) & (b0 <= 90) & (size > 1) & ((b1 >= 97) & (b1 <= 122) | (b1 >= 128))
     title |= (b0 == 0xC3) & (b1 >= 0x80) & (b1 <= 0x9E) & (size > 2)
-    name = title & ~opens & ~number
+    name, opening = title & ~opens & ~number, title & opens & ~number
     # digits, then letters: a number with its unit attached
     lead = _DIGIT[b0] == 1
     quantity = lead & ~number
@@ -126,18 +132,18 @@ def canonical(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             held[head[group[i]]] = W.mix(held[head[group[i], None]] * np.uint64(31) + value[i])[0]
             if unit[i]:
                 token[head[group[i]]] = QUANTITY
-        token, slot, held, name = token[head], slot[head], held[head], name[head]
-    return token, slot, held, name
+        token, slot, held, name, opening = token[head], slot[head], held[head], name[head], opening[head]
+    return token, slot, held, name, opening
 
 
-def windows(token: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(token: np.ndarray, slot: np.ndarray, size: int, least: float = LITERAL) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the windows with enough words."""
     h = W.grams(token, size)
     if not len(h):
         return np.zeros(0, dtype=np.int64), h
     h = W.mix(h + np.uint64(size))
     words = np.concatenate([[0], np.cumsum(~slot)])
-    at = np.flatnonzero(words[size:] - words[:-size] >= LITERAL * size)
+    at = np.flatnonzero(words[size:] - words[:-size] >= least * size)
     return at, h[at]
 
 
@@ -146,9 +152,10 @@ def views(raw: np.ndarray, sizes: list[int] | None) -> Iterator[tuple[int, np.nd
 
     Windows with names come twice, with placeholders and with the names as
     words, so that a change of case doesn't hide a verbatim copy.  All windows
-    come once more in the exact kind, with every slot value as a word.
+    come once more in the exact kind, with every slot value as a word, and where there
+    are capitals in the opening kind, with opening words as names.
     """
-    token, slot, held, name = canonical(raw)
+    token, slot, held, name, opening = canonical(raw)
     if sizes is None:
         sizes = [min(WINDOW, len(token))] if len(token) else []
     plain = slot & ~name
@@ -163,6 +170,12 @@ def views(raw: np.ndarray, sizes: list[int] | None) -> Iterator[tuple[int, np.nd
             names = np.concatenate([[0], np.cumsum(name)])
             some = names[at + size] > names[at]
             yield PLACEHOLDERS, at[some], h[some], plain, held, size
+        if name.any() or opening.any():
+            wide = slot | opening
+            at, h = windows(np.where(opening, NAME, token), wide, size, LITERAL_OPENING)
+            words = np.concatenate([[0], np.cumsum(~slot)])
+            some = words[at + size] - words[at] >= LITERAL * size
+            yield OPENING, at[some], h[some] ^ _SALT[OPENING], wide, np.where(opening, token, held), size
 
 
 _HIT = "kind int, hash bigint, pos bigint, slots array<bigint>"
@@ -190,7 +203,7 @@ def item_windows(benchmark: DataFrame, text: str = "text", id: str = "item_id")
         for b in batches:
             hits, sizes, totals, wholes = [], [0] * b.num_rows, [0] * b.num_rows, [0] * b.num_rows
             for r in range(b.num_rows):
-                starts: list[set[int]] = [set(), set()]
+                starts: list[set[int]] = [set(), set(), set()]
                 for of, at, h, slot, held, size in views(np.frombuffer((b.column(1)[r].as_py() or "").encode(), dtype=np.uint8), None):
                     sizes[r] = size
                     starts[of].update(at.tolist())
@@ -212,12 +225,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = sent.value
+        likely = np.zeros(1 << 22, dtype=bool)  # by a hash's low bits, before it is looked for
+        if hashes is not None:
+            likely[hashes & np.uint64((1 << 22) - 1)] = True
         for b in batches:
             raw, offsets = W.column_bytes(b.column(3))
             hits, held_back = [], 0
             for r in range(b.num_rows):
                 for of, at, h, slot, held, size in views(raw[offsets[r] : offsets[r + 1]], sizes):
                     if hashes is not None and len(at):
+                        ok = likely[h & np.uint64((1 << 22) - 1)]
+                        at, h = at[ok], h[ok]
                         ok = _in(h, hashes)
                         at, h = at[ok], h[ok]
                     if len(at):
@@ -237,12 +255,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
     by = lambda kind, x: F.when(F.col("kind") == kind, x)
     distinct = lambda x: F.array_distinct(F.flatten(x))
     lines = met.groupBy(*of, (F.col("pos") - F.col("_pos")).alias("_line")).agg(
-        F.collect_set(by(PLACEHOLDERS, F.col("_pos"))).alias("_at"), F.collect_set(by(EXACT, F.col("_pos"))).alias("_exact"),
-        distinct(F.collect_set(by(PLACEHOLDERS, pairs))).alias("_pairs"), distinct(F.collect_set(pairs)).alias("_every"),
+        F.collect_set(by(PLACEHOLDERS, F.col("_pos"))).alias("_at"), F.collect_set(by(EXACT, F.col("_pos"))).alias("_exact"), F.collect_set(by(OPENING, F.col("_pos"))).alias("_open"),
+        distinct(F.collect_set(by(PLACEHOLDERS, pairs))).alias("_pairs"), distinct(F.collect_set(F.when(F.col("kind") != OPENING, pairs))).alias("_every"), distinct(F.collect_set(by(OPENING, pairs))).alias("_names"),
     )
     steady = lambda x: F.size(x) == F.size(F.array_distinct(F.transform(x, lambda p: p["x"])))
-    count = lambda at, ok: F.size(distinct(F.collect_list(F.when(ok, F.col(at))))).cast("long")
-    found = lines.groupBy(*of).agg(count("_at", steady("_pairs")).alias("_some"), count("_exact", steady("_every")).alias("_all"))
+    held = lambda at, ok: F.when(ok, F.col(at)).otherwise(F.array().cast("array<bigint>"))
+    count = lambda at: F.size(distinct(F.collect_list(at))).cast("long")
+    found = lines.groupBy(*of).agg(count(F.concat(held("_at", steady("_pairs")), held("_open", steady("_names")))).alias("_some"), count(held("_exact", steady("_every"))).alias("_all"))
     best = F.greatest(*[F.struct(F.coalesce(F.try_divide(F.col(m), F.col(n)), F.lit(0.0)).alias("share"), F.col(n).alias("windows"), F.col(m).alias("matched")) for m, n in (("_some", "total"), ("_all", "whole"))])
     return found.select(*of[:4], best.alias("_best")).select(*of[:4], F.col("_best.windows").alias("windows"), F.col("_best.matched").alias("matched"), F.col("_best.share").alias("share")).where(F.col("share") >= share)
 

@@ -180,6 +180,18 @@ def test_verbatim_numbers(spark):
     assert set(got) == {(i, i) for i in range(4)} and all(m == n for m, n in got.values())
 
 
+def test_opening_names(spark):
+    items = ["Anna has 3 red apples. Ben has 5 green pears.", "Anna buys 3 apples", "The zoo sells 9 tickets. Then Ben counts 4 grey birds."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["Cara has 4 red apples. Dan has 7 green pears.", "Olga buys 8 apples", "The zoo sells 2 tickets. Then Max counts 6 grey birds.", "It was late. Cara bakes 4 red cakes. Dan eats 7 green ones.", items[0], items[0].lower()]
+    got = {(r._id, r.item) for r in decontaminate.contaminated(table(spark, texts), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (4, 0), (5, 0)}
+    # one name can't stand for two values
+    twice = spark.createDataFrame([(0, "Anna has 3 red apples. Anna has 5 green pears.")], "item_id long, text string")
+    texts = ["Cara has 4 red apples. Cara has 7 green pears.", "Cara has 4 red apples. Dan has 7 green pears."]
+    assert {r._id for r in decontaminate.contaminated(table(spark, texts), twice).collect()} == {0}
+
+
 # --- 6: media ---
 
 
