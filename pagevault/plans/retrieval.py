@@ -134,7 +134,7 @@ def snippets(s, d):
 
 
 def quote_locate(s, d):
-    a = C.archive(s, d).where(F.length("text") > 300)
+    a = C.archive(s, d)
     quote = F.concat(F.substring("text", 101, 60), F.when(F.col("id") % 2 == 0, "").otherwise(" zzq"))
     return a.select("id", P.locate_udf(F.col("text"), quote).alias("at")).select("id", "at.start", "at.end", "at.how")
 

@@ -217,3 +217,13 @@ def test_log_across_days(spark):
     rounds = [(i, at, "age" if i < 3 or i > 6 else "size", i + 1) for i, at in enumerate(ats)]
     log = spark.createDataFrame(rounds, "id long, at long, reason string, count long").withColumns({"bytes_freed": F.col("count"), "age": F.lit(0), "size": F.lit(0)})
     assert [(r.id, r["at"], r.reason, r["count"], r.rounds) for r in K.merged_log(log).collect()] == log_brute(rounds)
+
+
+def test_quotes_of_short_texts(spark, tmp_path):
+    from pagevault.plans import retrieval
+
+    texts = ["tiny", "some words of a text " * 8, "other words of a text " * 40]
+    spark.createDataFrame([(2 * i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(6).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.id: (r.start, r.end) for r in retrieval.quote_locate(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 2, 4} and got[0] == (None, None) and None not in got[2] + got[4]
