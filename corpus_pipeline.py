@@ -7,7 +7,8 @@ it back for the next.
 
 1. language: rows that no known language explains go (operator 8);
 2. lines: boilerplate lines of each source are cut from the texts, ``n_chars``
-   follows (operator 2);
+   follows (operator 2, with the equal texts of a source as one page: copies are
+   left for the next stage);
 3. duplicates: one document of each group of near copies stays (operator 9);
 4. decontamination: texts that hold benchmark items go (operator 5);
 5. mixing: sources are repeated to equal weights and shuffled (operator 7).
@@ -31,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.drop_boilerplate(docs, once=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,19 +35,24 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(7)).alias("b"))
 
 
-def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Per host that has any: ``_host`` and ``_lines``, the keys of its boilerplate lines."""
-    pages = docs.select(F.col(host).alias("_host"), F.col(text).alias("_text"))
-    totals = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_total"))
-    lines = pages.select("_host", F.explode(F.array_distinct(F.split("_text", "\n"))).alias("_line")).where(F.trim("_line") != "")
-    counts = lines.groupBy("_host", _key(F.col("_line")).alias("_key")).agg(F.count(F.lit(1)).alias("_pages")).where(F.col("_pages") >= min_pages)
+def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, once: bool = False) -> DataFrame:
+    """Per host that has any: ``_host`` and ``_lines``, the keys of its boilerplate lines.
+
+    With ``once`` the equal texts of a host count as one page.
+    """
+    pages = docs.select(F.col(host).alias("_host"), F.col(text).alias("_text"), *([_key(F.col(text)).alias("_page")] if once else []))
+    totals = (pages.select("_host", "_page").distinct() if once else pages).groupBy("_host").agg(F.count(F.lit(1)).alias("_total"))
+    lines = pages.withColumn("_line", F.explode(F.array_distinct(F.split("_text", "\n")))).where(F.trim("_line") != "").withColumn("_key", _key(F.col("_line")))
+    if once:  # by page first, so that no line's pages meet in one task
+        lines = lines.select("_host", "_key", "_page").distinct()
+    counts = lines.groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_pages")).where(F.col("_pages") >= min_pages)
     t = totals.withColumnRenamed("_host", "_of")
     return counts.join(t, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("_pages") / F.col("_total") > ratio).groupBy("_host").agg(F.collect_list("_key").alias("_lines"))
 
 
-def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None) -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text``; ``counts`` names columns for lines and dropped lines."""
-    lists = small(settle(boilerplate(docs, text, host, ratio, min_pages), "boilerplate"), 20_000)
+def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None, once: bool = False) -> DataFrame:
+    """``docs`` with boilerplate lines cut from ``text``; ``counts`` names columns for lines and dropped lines, ``once`` counts equal texts as one page."""
+    lists = small(settle(boilerplate(docs, text, host, ratio, min_pages, once), "boilerplate"), 20_000)
     both = docs.join(lists, docs[host].eqNullSafe(lists["_host"]), "left")
     lines, kept = F.split(docs[text], "\n"), F.filter(F.split(docs[text], "\n"), lambda x: ~F.array_contains(lists["_lines"], _key(x)))
     new = F.when(lists["_lines"].isNull(), docs[text]).otherwise(F.array_join(kept, "\n"))

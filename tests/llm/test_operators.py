@@ -128,6 +128,16 @@ def test_lines(spark):
     assert (got[1].n, got[1].k, got[21].n, got[21].k) == (4, 2, 0, 0)
 
 
+def test_copies_keep_their_lines(spark):
+    import corpus_pipeline
+
+    copy = "one clean page\nwith two lines of its own"
+    texts = [copy] * 5 + [f"menu\nunique {i} page" for i in range(30)]
+    docs = table(spark, texts).drop("language")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert [got[i] for i in range(35)] == [copy] * 5 + [f"unique {i} page" for i in range(30)]
+
+
 # --- 3: toxicity ---
 
 
