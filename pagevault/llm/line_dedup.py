@@ -10,14 +10,19 @@ map tasks and counted by (host, line), so a host with a third of all pages is
 spread over its lines and a line on every page arrives as one partial count per
 task.  What remains of a host is its list of boilerplate lines, of which there
 can be no more than the mean distinct lines a page divided by ``ratio``,
-however many pages it has.  Those lists are settled and broadcast only if their
-hosts are few by count; otherwise they are joined by host.  Texts are never
-shuffled on the broadcast way.
+however many pages it has.  Those lists are settled and broadcast only if all their lines
+together are few by count (``BROADCAST_LINES``); otherwise they are joined by
+host and one of ``SALTS`` numbers, with a copy of the list for each, so that a
+hot host's texts are spread too.  Texts are never shuffled on the broadcast way.
+A text's lines meet the list once, as a hashed set intersection; only lines that
+hit it are compared key by key.
 
 Defined results: a null text stays null, has no lines and still counts as a
 page; an empty text stays empty; a null host is a host of its own; blank lines
 are never boilerplate; repeated rows are separate pages; a page of nothing but
-boilerplate becomes an empty text.  Other columns pass through unchanged.
+boilerplate becomes an empty text.  Other columns pass through unchanged, but
+for those that carry the name of a requested count, which the count replaces;
+``text`` and ``host`` may not be such names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +30,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagevault.llm.store import settle, small, table
+from pagevault.llm.store import col, content, free, is_small, others, settle, table
 
 RATIO = 0.05
 MIN_PAGES = 5
+BROADCAST_LINES = 300_000  # 40 bytes each: the most lines that are broadcast, over all hosts
+SALTS = 32
 
 
 def _key(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(7)).alias("b"))
+    a, b = content(line)
+    return F.struct(a.alias("a"), b.alias("b"))
 
 
 def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, once: bool = False) -> DataFrame:
@@ -40,7 +48,7 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio
 
     With ``once`` the equal texts of a host count as one page.
     """
-    pages = docs.select(F.col(host).alias("_host"), F.col(text).alias("_text"), *([_key(F.col(text)).alias("_page")] if once else []))
+    pages = docs.select(col(host).alias("_host"), col(text).alias("_text"), *([_key(col(text)).alias("_page")] if once else []))
     totals = (pages.select("_host", "_page").distinct() if once else pages).groupBy("_host").agg(F.count(F.lit(1)).alias("_total"))
     lines = pages.withColumn("_line", F.explode(F.array_distinct(F.split("_text", "\n")))).where(F.trim("_line") != "").withColumn("_key", _key(F.col("_line")))
     if once:  # by page first, so that no line's pages meet in one task
@@ -52,15 +60,26 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio
 
 def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None, once: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text``; ``counts`` names columns for lines and dropped lines, ``once`` counts equal texts as one page."""
-    lists = small(settle(boilerplate(docs, text, host, ratio, min_pages, once), "boilerplate"), 20_000)
-    both = docs.join(lists, docs[host].eqNullSafe(lists["_host"]), "left")
-    lines, kept = F.split(docs[text], "\n"), F.filter(F.split(docs[text], "\n"), lambda x: ~F.array_contains(lists["_lines"], _key(x)))
-    new = F.when(lists["_lines"].isNull(), docs[text]).otherwise(F.array_join(kept, "\n"))
-    columns = [new.alias(text) if c == text else docs[c] for c in docs.columns]
+    of, bad, salt, copy, split = free(docs, "_of", "_bad", "_salt", "_copy", "_split")
+    lists = settle(boilerplate(docs, text, host, ratio, min_pages, once), "boilerplate").select(F.col("_host").alias(of), F.col("_lines").alias(bad))
+    if is_small(lists, BROADCAST_LINES, F.size(bad)):
+        both = docs.join(F.broadcast(lists), col(host).eqNullSafe(F.col(of)), "left")
+    else:
+        lists = lists.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = docs.withColumn(salt, F.pmod(content(col(text))[1], F.lit(SALTS)).cast("int"))
+        both = both.join(lists, col(host).eqNullSafe(F.col(of)) & (F.col(salt) == F.col(copy)), "left")
+    # a line is looked for in the list by key only if its first hash is among those that text and list share
+    parts = F.transform(F.split(col(text), "\n"), lambda x: F.struct(x.alias("x"), _key(x).alias("k")))
+    shared = F.array_intersect(F.transform(F.col(f"{split}.p"), lambda p: p["k"]["a"]), F.transform(F.col(bad), lambda k: k["a"]))
+    both = both.withColumn(split, F.when(F.col(bad).isNotNull() & col(text).isNotNull(), F.struct(parts.alias("p")))).withColumn(split, F.when(F.col(split).isNotNull(), F.struct(F.col(f"{split}.p").alias("p"), shared.alias("s"))))
+    kept = F.filter(F.col(f"{split}.p"), lambda p: ~(F.array_contains(F.col(f"{split}.s"), p["k"]["a"]) & F.array_contains(F.col(bad), p["k"])))
+    cut = both.withColumn(split, F.when(F.col(split).isNotNull(), F.struct(F.size(F.col(f"{split}.p")).alias("n"), F.transform(kept, lambda p: p["x"]).alias("k"))))
+    new = F.when(F.col(split).isNull(), col(text)).otherwise(F.array_join(F.col(f"{split}.k"), "\n"))
+    columns = [new.alias(c) if c == text else col(c) for c in others(docs, *(counts or ()))]
     if counts:
-        n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-        columns += [n.alias(counts[0]), F.when(lists["_lines"].isNull() | docs[text].isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long").alias(counts[1])]
-    return both.select(*columns)
+        lines = F.coalesce(F.col(f"{split}.n"), F.size(F.split(col(text), "\n")), F.lit(0))
+        columns += [F.when(col(text).isNull(), F.lit(0)).otherwise(lines).cast("long").alias(counts[0]), F.coalesce(F.col(f"{split}.n") - F.size(F.col(f"{split}.k")), F.lit(0)).cast("long").alias(counts[1])]
+    return cut.select(*columns)
 
 
 def op2_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
