@@ -13,15 +13,23 @@ once per source.  A mean above ``PART`` is the sum of equal parts of at most
 whatever the weights; beyond them a part's tail is under 2**-52, the grain of
 the uniform numbers.
 
-Scale: one aggregate over sources, a join with that small table (broadcast only
-if its counted rows are few, by source otherwise), and one shuffle of the
-output by a hash without ties, so a source with a third of all rows meets no
-single task.
-
-Defined results: a null source is a source of its own; a null id or text is
-hashed as an empty string or passed through; repeated rows get equal counts and
-are all repeated; sources with weight 0 vanish; an empty table gives an empty
-result; other columns pass through.
+Rows are told apart by their ids.  Rows with a null or a repeated id are told
+apart by id, content and the number of the occurrence among equal rows (equal
+rows can't be told apart, so any order of them gives the same table), so each
+row has a count and a place in the order of its own.
+
+Scale: one aggregate over sources, one over ids, a join with the small table of
+sources (broadcast only if its counted rows are few, by source otherwise), and
+one shuffle of the output by a hash without ties, so neither a source with a
+third of all rows nor one row repeated that often meets a single task: equal
+rows are pre-aggregated to a number before they are shuffled, and numbered in
+chunks of ``CHUNK`` that are dealt anew.  Where all ids are single, as they should
+be, the texts are shuffled once.
+
+Defined results: a null source is a source of its own; a null text passes
+through; sources with weight 0 vanish; an empty table gives an empty result; other
+columns pass through, but for those called ``copy`` or ``shuffle_key``, which the
+results replace.
 """
 
 from __future__ import annotations
@@ -29,11 +37,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagevault.llm.store import settle, small, table
+from pagevault.llm.store import col, free, others, settle, small, table
 
 SEED = "mix-1"
 PART = 32.0
 TERMS = 128
+CHUNK = 1024  # equal rows numbered by one task at a time
 
 
 def _uniform(*parts: Column) -> Column:
@@ -46,7 +55,7 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
 
     ``weights`` are target shares by source (any positive scale); None weighs all sources alike.
     """
-    n = docs.groupBy(F.col(source).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    n = docs.groupBy(col(source).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
         w = F.lit(1.0)
     else:
@@ -60,14 +69,35 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
     return r.select("_of", "_rate", "_parts", F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), first, step)["c"].alias("_cdf"))
 
 
+def _named(docs: DataFrame, id: str, name: str) -> DataFrame:
+    """``docs`` with ``name``, a string that no other row has: the id, or for null and repeated ids one made from id, content and occurrence."""
+    many, n, chunk, occurrence = free(docs, "_many", "_n", "_chunk", "_occurrence")
+    ids = docs.groupBy(col(id).alias(many)).agg(F.count(F.lit(1)).alias(n))
+    odd = settle(ids.where((F.col(n) > 1) | F.col(many).isNull()).select(many), "odd-ids")
+    whole = docs.withColumn(name, col(id).cast("string"))
+    if odd.isEmpty():
+        return whole
+    on = col(id).eqNullSafe(F.col(many))
+    fine = whole.join(small(odd), on, "left_anti")
+    equal = docs.join(small(odd), on, "left_semi").groupBy(*[col(c) for c in docs.columns]).agg(F.count(F.lit(1)).alias(n))
+    content = F.md5(F.to_json(F.struct(*[col(c) for c in docs.columns if c != id])))
+    said = equal.withColumn(name, F.concat_ws(":", F.coalesce(col(id).cast("string"), F.lit("")), content))
+    dealt = said.withColumn(chunk, F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / CHUNK)))).repartition(name, chunk)
+    last = F.least(F.col(n), (F.col(chunk) + 1) * CHUNK)
+    each = dealt.withColumn(occurrence, F.explode(F.sequence(F.col(chunk) * CHUNK + 1, last)))
+    return fine.unionByName(each.select(*[col(c) for c in docs.columns], F.concat_ws(":", name, occurrence).alias(name)))
+
+
 def mix(docs: DataFrame, source: str = "source", id: str = "doc_id", weights: dict[str, float] | None = None, scale: float = 1.0, seed: str = SEED) -> DataFrame:
     """``docs`` repeated to target weights, with ``copy`` (from 1) and ``shuffle_key``, in globally shuffled order."""
-    per = small(settle(rates(docs, source, weights, scale), "rates"), 20_000)
-    name = F.coalesce(docs[id].cast("string"), F.lit(""))
-    count = F.aggregate(F.sequence(F.lit(1), per["_parts"]), F.lit(0), lambda acc, i: acc + F.size(F.filter(per["_cdf"], lambda c: c <= _uniform(F.lit(seed), name, i))))
-    one = docs.join(per, docs[source].eqNullSafe(per["_of"])).select(*[docs[c] for c in docs.columns], count.alias("_count"))
-    many = one.where("_count > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy"))
-    out = many.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id).cast("string"), F.lit("")), F.col("copy"))))
+    docs = docs.select(*[col(c) for c in others(docs, "copy", "shuffle_key")])
+    name, of, parts, cdf, count = free(docs, "_name", "_of_source", "_parts", "_cdf", "_count")
+    per = small(settle(rates(docs, source, weights, scale), "rates").select(F.col("_of").alias(of), F.col("_parts").alias(parts), F.col("_cdf").alias(cdf)), 20_000)
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda i: _uniform(F.lit(seed), F.col(name), i))
+    n = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
+    one = _named(docs, id, name).join(per, col(source).eqNullSafe(F.col(of))).select(*[col(c) for c in docs.columns], name, n.alias(count))
+    many = one.where(F.col(count) > 0).select(*[col(c) for c in docs.columns], name, F.explode(F.sequence(F.lit(1), F.col(count))).alias("copy"))
+    out = many.select(*[col(c) for c in docs.columns], "copy", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, "copy")).alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
