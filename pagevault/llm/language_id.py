@@ -14,32 +14,39 @@ and host h the posterior is proportional to
 * P(l | h): host counts over all rows, smoothed towards their domain's (the last
   two labels of the host), which are smoothed towards the whole corpus's.
 
+A row's own vote is taken out of all counts before it is judged by them.
+
 One more class, ``und``, has evenly spread trigrams and a small prior; a text that
 no known language explains better than that is not identified.
 
-Scale: three reads of the texts; only hashes and the sampled texts are shuffled.
-The first read deals (declared, hash) pairs, the second fetches the sample, the
-third is pre-aggregated to counts by (host, declared, text language); the host table is
-broadcast only if its counted rows are few and joined by host otherwise (AQE
-splits a hot host).
+Scale: the likelihoods are computed once, and settled with the rows in the shared
+folder; counts and judgement are built-in expressions over those.  Besides, two
+reads of the texts fit the model: the first deals (declared, hash) pairs, the
+second fetches the sample.  Only hashes, the sampled texts and counts by (host,
+declared, text language) are shuffled; the host table is broadcast only if its
+counted entries are few and joined by host otherwise (AQE splits a hot host).
 
 Defined results: a null or wordless text has no text evidence and is ``und``; a
-null declared language or host is no evidence; a host without a dot has no
-suffix and is its own domain; with no declared row at all everything is
-``und``; repeated rows, ties (the first language in order wins) and null ids need
-no special care, as rows are judged one by one; other columns pass through.
+null declared language or host is no evidence, nor is a host whose texts point to
+no language; a host without a dot has no suffix and is its own domain; with no
+declared row at all everything is ``und``; repeated rows, ties (the first language
+in order wins) and null ids need no special care, as rows are judged one by one; an
+empty table gives an empty result; other columns pass through, but for those
+called ``language`` or ``confidence``, which the results replace.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from collections.abc import Iterator
 
 from pagevault.llm import words as W
-from pagevault.llm.store import batched, settle, small, table
+from pagevault.llm.store import batched, col, free, others, settle, small, table
+from pagevault.sources import html
 
 SAMPLE = 4000  # most distinct texts of one declared language that are counted to fit the trigram model
 MIN_ROWS = 20  # declared rows a language needs in the whole table (or a fifth of all declared rows)
@@ -49,6 +56,7 @@ UNKNOWN = "und"
 UNKNOWN_PRIOR = 1e-3
 KAPPA_HOST, KAPPA_DOMAIN, SMOOTH = 20.0, 50.0, 1.0
 CONFIDENT = 0.5
+BROADCAST_ENTRIES = 2_000_000  # counts of hosts and declared languages, 8 bytes each: the most that are broadcast
 
 _LETTER = np.full(256, 32, dtype=np.uint32)
 _LETTER[97:123] = np.arange(97, 123)
@@ -93,7 +101,7 @@ def _counts(docs: DataFrame, text: str, declared: str) -> dict[str, np.ndarray]:
 
 def fit(docs: DataFrame, text: str = "text", declared: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order and the log-probabilities (BUCKETS, languages + 1); the last column is ``und``."""
-    known = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(declared).alias("_said"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    known = docs.where(col(declared).isNotNull() & col(text).isNotNull()).select(col(declared).alias("_said"), col(text).alias("_text"), F.xxhash64(col(text)).alias("_hash"))
     hashes = settle(known.groupBy("_said", "_hash").agg(F.count(F.lit(1)).alias("_n")), "hashes")
     n = hashes.agg(F.sum("_n")).first()[0] or 0
     if not n:
@@ -137,68 +145,76 @@ def scored(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
             out += [x.tolist() if n else [] for x, n in zip(total, some, strict=True)]
         return pa.array(out, type=pa.list_(pa.float64()))
 
-    return likelihood(F.col(text))
+    return likelihood(col(text))
 
 
 def _best(ll: Column) -> Column:
     return F.when(F.size(ll) > 0, F.array_position(ll, F.array_max(ll)) - 1)
 
 
-def _log_shares(counts: list[Column], alpha: float) -> Column:
-    total = sum(counts[1:], counts[0]) + F.lit(alpha * len(counts))
-    return F.array(*[F.log((c + F.lit(alpha)) / total) for c in counts])
-
-
 def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """``docs`` with ``language`` and ``confidence``, its posterior probability."""
+    columns = others(docs, "language", "confidence")
     model = model or fit(docs, text, declared)
     langs = model[0]
     if not langs:
-        return docs.withColumns({"language": F.lit(UNKNOWN), "confidence": F.lit(0.0)})
+        return docs.select(*[col(c) for c in columns], F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"))
     n = len(langs)
-    seen = docs.select(F.col(host).alias("_host"), F.col(declared).alias("_said"), scored(docs, model, text).alias("_ll")).select("_host", "_said", _best(F.col("_ll")).alias("_l"))
-    counts = settle(seen.where(F.col("_l") < n).groupBy("_host", "_said", "_l").agg(F.count(F.lit(1)).alias("_n")), "evidence")
+    ll, vote, of, claim, c, d, s, said, logs = free(docs, "_ll", "_vote", "_of_host", "_claim", "_hosts", "_domains", "_suffixes", "_said_by", "_logs")
+    best = F.when(_best(F.col(ll)) < n, _best(F.col(ll)).cast("int"))
+    rows = settle(docs.withColumn(ll, scored(docs, model, text)), "likelihoods").withColumn(vote, best)
+    seen = rows.select(col(host).alias("_host"), col(declared).alias("_said"), F.col(vote).alias("_l"))
+    counts = settle(seen.where(F.col("_l").isNotNull()).groupBy("_host", "_said", "_l").agg(F.count(F.lit(1)).alias("_n")), "evidence")
     by = [F.coalesce(F.sum(F.when(F.col("_l") == i, F.col("_n"))), F.lit(0)).alias(f"c{i}") for i in range(n)]
-    c = [F.col(f"c{i}") for i in range(n)]
+    names = [F.col(f"c{i}") for i in range(n)]
+    whole = [x or 0 for x in counts.agg(*by).first()]
 
-    whole = counts.agg(*by).first()
-    prior = [(whole[i] + SMOOTH) / (sum(whole) + SMOOTH * n) for i in range(n)]
     suffix = F.when(F.col("_host").contains("."), F.element_at(F.split(F.lower("_host"), r"\."), -1))
     domain = F.array_join(F.slice(F.split(F.lower("_host"), r"\."), -2, 2), ".")
     domain = F.when(F.col("_host").contains("."), domain).otherwise(F.lower("_host"))
     hosts = counts.where(F.col("_host").isNotNull()).groupBy("_host").agg(*by).withColumns({"_suffix": suffix, "_domain": domain})
-    domains = hosts.groupBy(F.col("_domain").alias("_d")).agg(*[F.sum(x).alias(f"d{i}") for i, x in enumerate(c)])
-    suffixes = hosts.groupBy(F.col("_suffix").alias("_s")).agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(c)])
-    d, s = [F.col(f"d{i}") for i in range(n)], [F.col(f"s{i}") for i in range(n)]
-    d_all, c_all = sum(d[1:], d[0]), sum(c[1:], c[0])
-    p_domain = [(d[i] + KAPPA_DOMAIN * prior[i]) / (d_all + KAPPA_DOMAIN) for i in range(n)]
-    # P(suffix | language), by the language's whole count
-    p_suffix = [F.when(F.col("_suffix").isNull(), 0.0).otherwise(F.log((s[i] + SMOOTH) / (whole[i] + SMOOTH * 2))) for i in range(n)]
-    joined = hosts.join(domains, hosts["_domain"] == domains["_d"]).join(suffixes, F.col("_suffix") == F.col("_s"), "left")
-    host_logs = F.array(*[F.log((c[i] + KAPPA_HOST * p_domain[i]) / (c_all + KAPPA_HOST)) + p_suffix[i] for i in range(n)])
-    per_host = small(settle(joined.select(F.col("_host").alias("_of"), host_logs.alias("_prior")), "hosts"), 100_000)
-
-    said = counts.where(F.col("_said").isNotNull()).groupBy(F.col("_said").alias("_claim")).agg(*by)
-    said_logs = F.array(*[F.log((c[i] + F.lit(SMOOTH)) / (F.lit(whole[i] + SMOOTH * (n + 1)))) for i in range(n)])
-    per_said = small(settle(said.select("_claim", said_logs.alias("_says")), "declared"), 100_000)
-
-    flat = F.array(*[F.lit(float(np.log(p))) for p in prior])
-    none = F.array(*[F.lit(0.0)] * n)
-    both = docs.withColumn("_ll", scored(docs, model, text))
-    both = both.join(per_host, both[host] == per_host["_of"], "left").join(per_said, both[declared] == per_said["_claim"], "left")
-    prior_of, says = F.coalesce("_prior", flat), F.coalesce("_says", none)
-    known = F.transform(F.arrays_zip(F.slice("_ll", 1, n).alias("t"), prior_of.alias("p"), says.alias("d")), lambda x: x["t"] * TEMPER + x["p"] + x["d"])
-    even = F.element_at("_ll", n + 1) * TEMPER + F.lit(float(np.log(UNKNOWN_PRIOR))) + F.array_max(F.transform(F.arrays_zip(prior_of.alias("p"), says.alias("d")), lambda x: x["p"] + x["d"]))
-    logs = both.select(*[both[x] for x in docs.columns], F.when(F.size("_ll") > 0, F.concat(known, F.array(even))).alias("_logs"))
-    top = F.array_max("_logs")
-    names = F.array(*[F.lit(x) for x in [*langs, UNKNOWN]])
-    return logs.select(
-        *docs.columns,
-        F.when(F.col("_logs").isNull(), UNKNOWN).otherwise(F.element_at(names, F.array_position("_logs", top).cast("int"))).alias("language"),
-        F.when(F.col("_logs").isNull(), 0.0).otherwise(F.lit(1.0) / F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("confidence"),
+    added = lambda key, to: hosts.groupBy(F.col(key).alias(f"{key}2")).agg(F.array(*[F.sum(x) for x in names]).alias(to))
+    joined = hosts.join(added("_domain", d), F.col("_domain") == F.col("_domain2")).join(added("_suffix", s), F.col("_suffix") == F.col("_suffix2"), "left")
+    per_host = small(settle(joined.select(F.col("_host").alias(of), F.array(*names).alias(c), d, s), "hosts"), BROADCAST_ENTRIES // (3 * n))
+    claims = counts.where(F.col("_said").isNotNull()).groupBy(F.col("_said").alias(claim)).agg(*by).select(claim, F.array(*names).alias(said))
+    per_claim = small(settle(claims, "declared"), BROADCAST_ENTRIES // n)
+    both = rows.join(per_host, col(host) == F.col(of), "left").join(per_claim, col(declared) == F.col(claim), "left")
+
+    own = lambda i: F.when(F.col(vote) == i, 1.0).otherwise(0.0)
+    voted = F.when(F.col(vote).isNotNull(), 1.0).otherwise(0.0)
+    total = lambda x: F.aggregate(F.col(x), F.lit(0).cast("long"), lambda a, y: a + y) - voted
+    at = lambda x, i: F.get(F.col(x), i) - own(i)
+    everywhere = F.array(*[F.lit(float(x)) for x in whole])
+
+    def evidence(i: Column) -> Column:
+        """Log of P(l | h) P(s | l) P(d | l) for language i, the row's own vote left out."""
+        mine = F.get(everywhere, i) - own(i)
+        prior = (mine + SMOOTH) / (F.lit(float(sum(whole))) - voted + SMOOTH * n)
+        near = (at(d, i) + KAPPA_DOMAIN * prior) / (total(d) + KAPPA_DOMAIN)
+        here = F.when(F.col(c).isNull(), prior).otherwise((at(c, i) + KAPPA_HOST * near) / (total(c) + KAPPA_HOST))
+        ends = F.when(F.col(s).isNull(), 0.0).otherwise(F.log((at(s, i) + SMOOTH) / (mine + SMOOTH * 2)))
+        says = F.when(F.col(said).isNull(), 0.0).otherwise(F.log((at(said, i) + SMOOTH) / (mine + SMOOTH * (n + 1))))
+        return F.log(here) + ends + says
+
+    weighed = both.withColumn(logs, F.when(F.size(ll) > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), evidence)))
+    known = F.zip_with(F.slice(ll, 1, n), F.col(logs), lambda t, e: t * TEMPER + e)
+    even = F.element_at(ll, n + 1) * TEMPER + F.lit(float(np.log(UNKNOWN_PRIOR))) + F.array_max(logs)
+    fused = weighed.select(*[col(x) for x in columns], F.when(F.col(logs).isNotNull(), F.concat(known, F.array(even))).alias(logs))
+    top = F.array_max(logs)
+    every = F.array(*[F.lit(x) for x in [*langs, UNKNOWN]])
+    return fused.select(
+        *[col(x) for x in columns],
+        F.when(F.col(logs).isNull(), UNKNOWN).otherwise(F.element_at(every, F.array_position(logs, top).cast("int"))).alias("language"),
+        F.when(F.col(logs).isNull(), 0.0).otherwise(F.lit(1.0) / F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("confidence"),
     )
 
 
+def of_pages(pages: DataFrame, id: str = "page_id") -> DataFrame:
+    """Raw web pages as rows for ``identify``: id, text, lang (declared in the markup) and source (the host)."""
+    said = F.nullif(F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1)), F.lit(""))
+    return pages.select(col(id), html.text(F.col("html")).alias("text"), said.alias("lang"), F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("source"))
+
+
 def op8_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return identify(docs).select("doc_id", F.col("lang").alias("declared"), "language", F.round("confidence", 6).alias("confidence"), ((F.col("language") != UNKNOWN) & (F.col("confidence") >= CONFIDENT)).alias("kept"))
