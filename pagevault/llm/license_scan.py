@@ -5,12 +5,16 @@ same hashes in license templates.  A hit votes for the diagonal (position in the
 text minus position in the template); votes are aggregated by text, template and
 diagonal.  A diagonal that has all grams of a phrase template is a place of that
 phrase.  For license texts and notices, diagonals at most ``NEAR`` apart (a few
-words were put in or left out) are merged; the merged span is verified: it must
-hold ``COVER`` of the template's grams within ``STRETCH`` times its length.
+words were put in or left out) are merged into chains.  A chain may go on without
+end, where a text repeats words of the template; so of each chain the stretch of
+``STRETCH`` times the template's length that holds most of the template's grams
+is verified: it must hold ``COVER`` of them.
 
-Scale: grams are exploded and joined inside one stage with the templates, whose
-fixed size (``TEMPLATES``) is broadcast, so only hits are shuffled; positions
-gathered for a diagonal are bounded by the template's length.
+Scale: the texts are read once.  Grams are exploded and joined inside one stage
+with the templates, whose fixed size (``TEMPLATES``) is broadcast, so only hits
+and one row for each text are shuffled; the votes are settled, and what follows
+reads only them.  What is gathered for a diagonal is bounded by the template's
+length, for a stretch by ``STRETCH`` times that.
 
 Defined results: a null text counts as empty, with 0 words and no labels;
 repeated rows get equal results, as votes are sets of positions; null ids are
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagevault.llm import words as W
-from pagevault.llm.store import batched, table
+from pagevault.llm.store import batched, col, content, settle, table
 
 GRAM = 3
 NEAR = 4
@@ -59,21 +63,20 @@ def _hashes(text: str) -> np.ndarray:
     return W.words(np.frombuffer(text.encode(), dtype=np.uint8))[2]
 
 
+MARK = 1  # stands for a gram hash in front of each text's grams, so that texts without hits keep a row
+
+
 def positions(spark: SparkSession) -> DataFrame:
-    """Template grams: hash, template name, position, number of grams and whether it is a phrase."""
-    rows = []
+    """Template grams: hash, template name, position, number of grams and whether it is a phrase; and the mark."""
+    rows = [(MARK, "", 0, 0, False)]
     for name, phrase in [*((p, True) for p in PHRASES), *((t, False) for t in TEMPLATES)]:
         h = W.grams(_hashes(name if phrase else TEMPLATES[name]), GRAM).view(np.int64)
         rows += [(int(x), name, i, len(h), phrase) for i, x in enumerate(h)]
     return spark.createDataFrame(rows, "_hash bigint, template string, at int, grams int, phrase boolean")
 
 
-def _keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
-    return batched(docs).select(F.col(id).alias("_id"), F.xxhash64(text).alias("_a"), F.xxhash64(F.col(text), F.lit(7)).alias("_b"), F.col(text))
-
-
-def _tokens(docs: DataFrame, text: str, id: str, grams: bool) -> DataFrame:
-    """Per row: key, number of words and, if wanted, all rolling gram hashes."""
+def _tokens(docs: DataFrame, text: str, id: str) -> DataFrame:
+    """Per row: key, number of words, and the mark followed by all rolling gram hashes."""
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,52 +85,61 @@ def _tokens(docs: DataFrame, text: str, id: str, grams: bool) -> DataFrame:
             for i, j in W.blocks(offsets):
                 _, _, h, at = W.block_words(raw, offsets, i, j)
                 n = np.diff(at)
-                columns = [*(c[i:j] for c in b.columns[:3]), pa.array(n, type=pa.int64())]
-                if grams:
-                    size = np.maximum(0, n - GRAM + 1)
-                    ends = np.concatenate([[0], np.cumsum(size)])
-                    every = W.grams(h, GRAM)
-                    inside = np.repeat(at[:-1] - ends[:-1], size) + np.arange(ends[-1])
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(every[inside].view(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_a", "_b", "n_words"] + ["grams"] * grams)
+                size = np.maximum(0, n - GRAM + 1)
+                ends = np.concatenate([[0], np.cumsum(size + 1)])
+                every = np.full(ends[-1], MARK, dtype=np.int64)
+                inside = np.ones(len(every), dtype=bool)
+                inside[ends[:-1]] = False
+                every[inside] = W.grams(h, GRAM).view(np.int64)[np.repeat(at[:-1] - (ends[:-1] - np.arange(len(n))), size) + np.arange(inside.sum())]
+                yield pa.RecordBatch.from_arrays([*(c[i:j] for c in b.columns[:3]), pa.array(n, type=pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(every))], names=["_id", "_a", "_b", "n_words", "grams"])
+
+    a, b = content(col(text))
+    return batched(docs).select(col(id).alias("_id"), a.alias("_a"), b.alias("_b"), col(text)).mapInArrow(run, f"_id {kind}, _a bigint, _b bigint, n_words bigint, grams array<bigint>")
 
-    return _keyed(docs, text, id).mapInArrow(run, f"_id {kind}, _a bigint, _b bigint, n_words bigint" + ", grams array<bigint>" * grams)
+
+KEY = ["_id", "_a", "_b"]
 
 
 def diagonals(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Votes: key, template, diagonal and the template positions hit on it."""
-    every = _tokens(docs, text, id, True).select("_id", "_a", "_b", F.posexplode("grams").alias("pos", "_gram"))
-    hits = every.join(F.broadcast(positions(docs.sparkSession)), F.col("_gram") == F.col("_hash"))
-    return hits.groupBy("_id", "_a", "_b", "template", "phrase", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("at"))
+    """Votes: key, words, template, diagonal, the template positions hit on it, and rows (the mark's: how many rows have the key)."""
+    every = _tokens(docs, text, id).select(*KEY, "n_words", F.posexplode("grams").alias("pos", "_gram"))
+    hits = every.join(F.broadcast(positions(docs.sparkSession)), F.col("_gram") == F.col("_hash")).where((F.col("pos") == 0) == (F.col("template") == ""))
+    return hits.groupBy(*KEY, "n_words", "template", "phrase", "grams", (F.col("pos") - 1 - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("at"), F.count(F.lit(1)).alias("rows"))
+
 
+def licenses(votes: DataFrame) -> DataFrame:
+    """Verified spans of settled votes: key, template, phrase, first word, cover (1 for a phrase)."""
+    places = votes.where(F.col("phrase") & (F.size("at") == F.col("grams"))).select(*KEY, "template", "phrase", F.col("diagonal").alias("start"), F.lit(1.0).alias("cover"))
+    w = Window.partitionBy(*KEY, "template").orderBy("diagonal")
+    rest = votes.where(~F.col("phrase") & (F.col("template") != "")).withColumn("_new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > NEAR).cast("int"), F.lit(1)))
+    hits = rest.withColumn("_run", F.sum("_new").over(w)).withColumn("at", F.explode("at")).withColumn("pos", F.col("diagonal") + F.col("at"))
+    # the frame is as long as the template allows: positions are scaled so that its length is SCALE for all
+    reach = F.floor(STRETCH * (F.col("grams") + GRAM - 1)) - GRAM
+    scaled = F.floor(F.col("pos").cast("long") * SCALE / reach).cast("long")
+    frame = Window.partitionBy(*KEY, "template", "_run").orderBy("_place").rangeBetween(0, SCALE)
+    held = hits.withColumn("_place", scaled).withColumn("held", F.size(F.collect_set("at").over(frame)))
+    best = held.groupBy(*KEY, "template", "phrase", "grams", "_run").agg(F.max(F.struct("held", (-F.col("pos")).alias("before"))).alias("best"))
+    spans = best.where(F.col("best.held") >= COVER * F.col("grams"))
+    return places.unionByName(spans.select(*KEY, "template", "phrase", (-F.col("best.before")).alias("start"), (F.col("best.held") / F.col("grams")).alias("cover")))
 
-def licenses(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Verified spans: key, template, phrase, first word, cover (1 for a phrase)."""
-    votes = diagonals(docs, text, id)
-    places = votes.where(F.col("phrase") & (F.size("at") == F.col("grams"))).select("_id", "_a", "_b", "template", "phrase", F.col("diagonal").alias("start"), F.lit(1.0).alias("cover"))
-    w = Window.partitionBy("_id", "_a", "_b", "template").orderBy("diagonal")
-    rest = votes.where(~F.col("phrase")).withColumn("_new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > NEAR).cast("int"), F.lit(1)))
-    merged = rest.withColumn("_run", F.sum("_new").over(w)).groupBy("_id", "_a", "_b", "template", "phrase", "grams", "_run").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("held"), F.min(F.col("diagonal") + F.array_min("at")).alias("start"), F.max(F.col("diagonal") + F.array_max("at") + GRAM).alias("end")
-    )
-    spans = merged.where((F.col("held") >= COVER * F.col("grams")) & (F.col("end") - F.col("start") <= STRETCH * (F.col("grams") + GRAM - 1)))
-    return places.unionByName(spans.select("_id", "_a", "_b", "template", "phrase", "start", (F.col("held") / F.col("grams")).alias("cover")))
+
+SCALE = 1_000_000
 
 
 def scan(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: id, words, places of phrases, labels and a score from 0 to 1."""
     label = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])[F.col("template")]
     only = lambda x: F.when(F.col("phrase"), x)
-    found = licenses(docs, text, id).groupBy(*[F.col(k).alias(f"{k}2") for k in ("_id", "_a", "_b")]).agg(
+    votes = settle(diagonals(docs, text, id), "votes")
+    texts = votes.where(F.col("template") == "").select(*KEY, F.lit(None).cast("string").alias("template"), F.lit(None).cast("boolean").alias("phrase"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("double").alias("cover"), "n_words", "rows")
+    found = licenses(votes).select("*", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("long").alias("rows"))
+    each = texts.unionByName(found).groupBy(*KEY).agg(
+        F.max("n_words").alias("n_words"), F.max("rows").alias("rows"),
         F.count(only(F.lit(1))).alias("n_base"), F.min(only(F.col("start"))).cast("long").alias("first_word"), F.max(only(F.col("start"))).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(only(label))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set(F.coalesce(only(label), F.col("template")))), ",").alias("labels"), F.max("cover").alias("score"),
-    )
-    rows = _tokens(docs, text, id, False)
-    both = rows.join(found, rows["_id"].eqNullSafe(found["_id2"]) & (rows["_a"] == found["_a2"]) & (rows["_b"] == found["_b2"]), "left")
-    return both.select(
-        F.col("_id").alias(id), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.array_join(F.array_sort(F.collect_set(only(label))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set(F.coalesce(only(label), F.col("template")))), ",").alias("labels"), F.coalesce(F.max("cover"), F.lit(0.0)).alias("score"),
     )
+    rows = each.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return rows.select(F.col("_id").alias(id), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
