@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagevault.llm.store import settle
+from pagevault.llm.store import discard, settle
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -38,5 +38,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if not now[0] or now == seen:
             break
         seen = now
-        e = settle(_small(settle(_large(e), name)), name)
+        hooked = settle(_large(e), name)
+        new = settle(_small(hooked), name)
+        discard(e, hooked)
+        e = new
     return e.select("u", F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())

@@ -3,18 +3,25 @@
 Two texts are linked if the Jaccard similarity of their distinct five-word
 shingles is at least 0.8.
 
-1. Each text is reduced to a digest of its shingle set, MinHash bands and its
-   number of shingles.  Texts with equal sets form a class; only classes go on,
-   so copies never meet each other.
-2. Classes that share a band are hooked to the smallest class of that band and
-   connected (``components``): stars, not pairs.
-3. A component's classes are dealt into blocks of bounded weight, and each pair
-   of blocks is one group.  In a group MinHash values are compared 16 at a time;
-   after each step a pair is dropped if, under a uniform prior, the posterior
-   probability that its similarity reaches the threshold falls below
-   ``TOLERANCE``.  What is left is verified exactly on the shingle sets.  A
-   group returns a count of links and a local root per class, not its pairs.
-4. Counts are summed and local roots connected to groups.
+1. Each text is reduced to a digest of its shingle set, its number of shingles
+   and MinHash values (their low 16 bits).  Texts with equal sets form a class;
+   only classes go on, so copies never meet each other.
+2. Classes that share a band of values make a bucket.  Each member is compared
+   with the bucket's smallest class, its hub.  MinHash values are compared 16 at
+   a time; after each step a pair is dropped if, under a uniform prior, the
+   posterior probability that its similarity reaches the threshold falls below
+   ``TOLERANCE``.  Pairs that survive connect their classes (``components``).
+3. In a bucket whose members are still not all connected, members of different
+   components are compared with each other in the same way: the bucket is dealt
+   into blocks of bounded size, and each pair of blocks is one group, which
+   returns a forest of the surviving pairs, not the pairs.  Both forests together
+   connect every two classes that share a band and survive.
+4. The components of what survived - pairs that are probably similar, not merely
+   in one bucket - are dealt into blocks of bounded weight; each pair of blocks is
+   one group in which all pairs are compared as above and what is left is
+   verified exactly on the shingle sets.  A group returns a count of links and a
+   local root per class.
+5. Counts are summed and local roots connected to groups.
 
 No pair at similarity 0.8 or more is given up but by chance: a pair at exactly
 0.8 shares none of the 24 bands of 4 values with probability 3e-6, and is pruned
@@ -22,14 +29,19 @@ with probability under 1e-6.  There is no cap on buckets, partners or blocks.
 
 Scale: texts are read twice and only candidates' texts are shuffled, once per
 block they meet; band rows are small, pre-aggregated and joined (skew-splittable).
-A component of n classes costs n**2 / 2 comparisons of a few bytes, spread over
-its block pairs; that is the price of exact link counts.
+Since only surviving pairs connect, components stay as small as groups of near
+copies are, however many bands collide by chance.  A component of n classes costs
+n**2 / 2 comparisons of a few bytes, spread over its block pairs; that is the
+price of exact link counts.  A class with many rows, or a hub with many members,
+would be one hot key: keys with more than 1 / ``HOT`` of all rows, fewer than
+``HOT`` by number, are broadcast and salted ``SALTS`` ways before the join.
 
 Defined results: a null text counts as empty; texts without words have one,
 empty, shingle set, hence one class and no links; a text of one to four words is
 one shingle; repeated rows and repeated ids are members of their texts' classes;
 null ids stay null in the result and never name a class unless all its ids are
-null; an empty table gives an empty result; extra columns are never read.
+null; an empty table gives an empty result; extra columns are never read (and
+``one_of_each`` passes them through, whatever their names).
 """
 
 from __future__ import annotations
@@ -40,12 +52,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault.llm import words as W
 from pagevault.llm.components import components
-from pagevault.llm.store import batched, settle, small, table
+from pagevault.llm.store import batched, col, discard, free, settle, small, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -54,6 +66,9 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-7
 BLOCK_WEIGHT = 600_000  # shingles (and 200 a class) in a block
+BLOCK_ROWS = 4096  # members of a bucket in a block
+HOT = 10_000  # a key with more than this part of all rows is hot; there are fewer than so many
+SALTS = 32  # ways a hot key is split
 U32 = np.uint32
 
 _seeds = W._splitmix(2 * HASHES, 77)
@@ -87,8 +102,13 @@ def bands(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def short(values: np.ndarray) -> np.ndarray:
+    """The low 16 bits of MinHash values: equal values stay equal, others are so with probability 2**-16."""
+    return values.astype(np.uint16)
+
+
 def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int = WORDS) -> DataFrame:
-    """Per row: ``id``, digest (a, b), number of shingles n and band keys (empty for a wordless text)."""
+    """Per row: ``id``, hash of the text t, digest (a, b), number of shingles n, band keys and short MinHash values (both empty for a wordless text)."""
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,13 +117,29 @@ def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int =
             for i, j in W.blocks(offsets):
                 _, _, h, at = W.block_words(raw, offsets, i, j)
                 sets = [W.shingles(h[at[r] : at[r + 1]], k) for r in range(j - i)]
-                keys, sizes = bands(minhash(sets)), np.array([len(s) for s in sets])
+                values, sizes = minhash(sets), np.array([len(s) for s in sets])
+                keys, held = bands(values), short(values)
                 a, b = zip(*(digest(s) for s in sets), strict=True)
                 ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[sizes > 0].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(sizes, type=pa.int64()), lists], names=["id", "a", "b", "n", "bands"])
+                marks = pa.array([held[r].tobytes() if sizes[r] else b"" for r in range(j - i)], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(sizes, type=pa.int64()), lists, marks], names=["id", "t", "a", "b", "n", "bands", "marks"])
+
+    return batched(docs).select(col(id), col(text), F.xxhash64(col(text)).alias("t")).mapInArrow(run, f"id {kind}, t bigint, a bigint, b bigint, n bigint, bands array<bigint>, marks binary")
 
-    return batched(docs).select(F.col(id), F.col(text)).mapInArrow(run, f"id {kind}, a bigint, b bigint, n bigint, bands array<bigint>")
+
+def by_key(left: DataFrame, right: DataFrame, on: list[str], rows: str, spread: Column) -> DataFrame:
+    """An equi-join with a settled table, one row a key, that counts the left table's ``rows`` of each key.
+
+    Keys with more than 1 / ``HOT`` of all rows are split ``SALTS`` ways: left rows by
+    ``spread``, right ones are copied.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) > total / HOT
+    dealt = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))))
+    known = left.join(F.broadcast(right.where(hot).select(*on, F.lit(True).alias("_hot"))), on, "left")
+    salted = known.withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    return salted.join(dealt, [*on, "_salt"]).drop("_salt")
 
 
 def needed(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -221,44 +257,132 @@ def _group(pair: tuple[int, int], rows: pa.Table, k: int, threshold: float) -> p
     return pa.table({"a": of(some, 0), "b": of(some, 1), "links": pa.array(links[some], type=pa.int64()), "root_a": of(root[some], 0), "root_b": of(root[some], 1)})
 
 
-def similar(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int = WORDS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Two tables: rows (id, a, b), one for each row of ``docs``; and classes (a, b, class_id, class_size, n_links, group_id).
+def survives(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Whether each pair of rows of short MinHash values survives the incremental comparison."""
+    need, left = needed(threshold), np.arange(len(x))
+    m = np.zeros(len(x), dtype=np.int64)
+    for step in range(HASHES // STEP):
+        cut = slice(step * STEP, (step + 1) * STEP)
+        m += (x[left, cut] == y[left, cut]).sum(axis=1)
+        keep = m >= need[step]
+        left, m = left[keep], m[keep]
+    out = np.zeros(len(x), dtype=bool)
+    out[left] = True
+    return out
+
+
+def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), HASHES)
+
+
+_EDGE = "u struct<a:bigint,b:bigint>, v struct<a:bigint,b:bigint>"
+
+
+def _forest(rows: pa.Table, i_block: int, j_block: int, threshold: float) -> pa.Table:
+    """A forest of the surviving pairs among members of different components, of one pair of a bucket's blocks."""
+    values, block = _values(rows["marks"]), rows["block"].to_numpy()
+    names = list(zip(rows["a"].to_pylist(), rows["b"].to_pylist(), strict=True))
+    part = np.unique(np.array([f"{x['a']}:{x['b']}" for x in rows["root"].to_pylist()]), return_inverse=True)[1]
+    left = np.flatnonzero(block == i_block)
+    right = left if i_block == j_block else np.flatnonzero(block == j_block)
+    root = np.arange(part.max() + 1)  # of components, so that one surviving pair joins two of them
+    edges = []
+    for x in left:
+        other = right[root[part[right]] != root[part[x]]]
+        if not len(other):
+            continue
+        ok = other[survives(np.broadcast_to(values[x], (len(other), HASHES)), values[other], threshold)]
+        for y in ok:
+            a, b = root[part[x]], root[part[y]]
+            if a != b:
+                root[root == max(a, b)] = min(a, b)
+                edges.append((names[x], names[y]))
+    name = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    side = lambda s: pa.array([{"a": e[s][0], "b": e[s][1]} for e in edges], type=name)
+    return pa.table({"u": side(0), "v": side(1)})
+
+
+def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Edges (u, v) that connect every two settled classes which share a band and survive the comparison."""
+    held = classes.select(F.struct("a", "b").alias("v"), F.explode("bands").alias("key"))
+    bucket = held.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("other"), F.count(F.lit(1)).alias("rows")).where("u != other").select("key", "u", "rows")
+    bucket = settle(bucket, "buckets")
+    members = settle(by_key(held, bucket, ["key"], "rows", F.xxhash64("v")).select("key", "u", "v", "rows"), "members")
+    stars = settle(members.where("u != v").select("u", "v").distinct(), "stars")
+    marks = classes.select("a", "b", "marks")
+    spokes = stars.join(marks, (F.col("v.a") == F.col("a")) & (F.col("v.b") == F.col("b"))).select("u", "v", F.col("marks").alias("y"))
+    hubs = stars.groupBy("u").agg(F.count(F.lit(1)).alias("rows")).join(marks, (F.col("u.a") == F.col("a")) & (F.col("u.b") == F.col("b"))).select("u", F.col("marks").alias("x"), "rows")
+    hubs = settle(hubs, "hubs")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = survives(_values(batch.column(2)), _values(batch.column(3)), threshold) if batch.num_rows else np.zeros(0, dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok))
+
+    near = settle(by_key(spokes, hubs, ["u"], "rows", F.xxhash64("v")).select("u", "v", "x", "y").mapInArrow(compare, _EDGE), "near")
+    of = settle(components(near, "connected").select(F.col("u").alias("v"), "root"), "connected")
+    # members that no hub took are components of their own
+    named = members.join(of, "v", "left").select("key", "rows", "v", F.coalesce("root", "v").alias("root"))
+    open_ = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("rows").alias("rows")).where("lo != hi AND rows > 2").select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"), "rows")
+    open_ = settle(open_, "open")
+    left = by_key(named.drop("rows"), open_, ["key"], "rows", F.xxhash64("v")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    left = left.join(marks, (F.col("v.a") == F.col("a")) & (F.col("v.b") == F.col("b")))
+    met = left.select("key", "a", "b", "root", "marks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other"))
+    met = met.select("key", "a", "b", "root", "marks", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        return _forest(rows, key[1].as_py(), key[2].as_py(), threshold)
+
+    more = settle(met.groupBy("key", "i", "j").applyInArrow(run, _EDGE), "more")
+    out = settle(near.unionByName(more).distinct(), "candidates")
+    discard(bucket, members, stars, hubs, near, of, open_, more)
+    return out
+
+
+def similar(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int = WORDS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, bool]:
+    """Two settled tables: rows (id, a, b), one for each row of ``docs``; and classes (a, b, class_id, class_size, n_links, group_id, root); and whether any id is null or repeated.
 
     ``class_id`` is the smallest id of the class, ``group_id`` that of the
     connected group, ``n_links`` the number of other classes it is linked to.
     """
     signed = settle(signatures(docs, text, id, k), "signed")
-    classes = settle(signed.groupBy("a", "b").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    held = classes.select(F.struct("a", "b").alias("v"), F.explode("bands").alias("key"))
-    bucket = held.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("other")).where("u != other").select("key", "u")
-    stars = held.join(bucket, "key").select("u", "v")
-    of = components(stars, "candidates").select(F.col("u.a").alias("a"), F.col("u.b").alias("b"), "root")
-    candidates = settle(classes.select("a", "b", "class_id", "n").join(of, ["a", "b"]), "candidates")
+    rows = settle(signed.select("id", "a", "b"), "rows")
+    odd = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").limit(1).count() > 0
+    smallest = F.min(F.struct(F.col("id").isNull(), "id", "t")).alias("rep")  # of the smallest id, null only if all are
+    classes = settle(signed.groupBy("a", "b").agg(smallest, F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
+    edges = candidates(classes, threshold)
+    of = components(edges, "candidates").select(F.col("u.a").alias("a"), F.col("u.b").alias("b"), "root")
+    met = settle(classes.select("a", "b", "class_id", F.col("rep.t").alias("t"), "n").join(of, ["a", "b"]), "candidates")
     weight = F.col("n") + 200
-    sizes = candidates.groupBy("root").agg(F.ceil(F.sum(weight) / BLOCK_WEIGHT).cast("int").alias("blocks"))
-    dealt = settle(candidates.join(sizes, "root").select("a", "b", "class_id", "root", "blocks", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int").alias("block")), "dealt")
-    texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(small(dealt), F.col("_id").eqNullSafe(F.col("class_id")))
-    met = texts.select("root", "a", "b", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other"))
-    met = met.select("root", "a", "b", "text", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
+    sizes = met.groupBy("root").agg(F.ceil(F.sum(weight) / BLOCK_WEIGHT).cast("int").alias("blocks"), F.count(F.lit(1)).alias("rows"))
+    dealt = by_key(met, settle(sizes, "sizes"), ["root"], "rows", F.xxhash64("a", "b")).select("a", "b", "class_id", "t", "root", "blocks", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int").alias("block"))
+    dealt = settle(dealt, "dealt")
+    texts = docs.select(col(id).alias("_id"), col(text).alias("text")).join(small(dealt), F.col("_id").eqNullSafe(F.col("class_id")) & (F.xxhash64("text") == F.col("t")))
+    if odd:
+        texts = texts.dropDuplicates(["root", "a", "b"])
+    pairs = texts.select("root", "a", "b", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other"))
+    pairs = pairs.select("root", "a", "b", "text", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         return _group((key[1].as_py(), key[2].as_py()), rows, k, threshold)
 
-    found = settle(met.groupBy("root", "i", "j").applyInArrow(run, "a bigint, b bigint, links bigint, root_a bigint, root_b bigint"), "links")
+    found = settle(pairs.groupBy("root", "i", "j").applyInArrow(run, "a bigint, b bigint, links bigint, root_a bigint, root_b bigint"), "links")
     links = found.groupBy("a", "b").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(F.struct("a", "b").alias("u"), F.struct(F.col("root_a").alias("a"), F.col("root_b").alias("b")).alias("v")), "groups")
-    member = groups.select(F.col("u.a").alias("a"), F.col("u.b").alias("b"), "root").join(classes.select("a", "b", "class_id"), ["a", "b"])
-    lowest = member.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    grouped = settle(member.join(lowest, "root").join(links, ["a", "b"]).select("a", "b", "n_links", "group_id", "root"), "grouped")
+    member = settle(groups.select(F.col("u.a").alias("a"), F.col("u.b").alias("b"), "root").join(classes.select("a", "b", "class_id"), ["a", "b"]), "member")
+    lowest = settle(member.groupBy("root").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("rows")), "lowest")
+    grouped = settle(by_key(member, lowest, ["root"], "rows", F.xxhash64("a", "b")).join(links, ["a", "b"]).select("a", "b", "n_links", "group_id", "root"), "grouped")
     whole = classes.select("a", "b", "class_id", "class_size").join(grouped, ["a", "b"], "left")
     whole = whole.select("a", "b", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("root", F.struct("a", "b")).alias("root"))
-    return signed.select("id", "a", "b"), whole
+    whole = settle(whole, "whole")
+    discard(signed, classes, edges, met, dealt, found, member, lowest, grouped)
+    return rows, whole, odd
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: id, class_id, class_size, n_links and group_id."""
-    rows, classes = similar(docs, text, id, k, threshold)
-    return rows.join(classes, ["a", "b"]).select(F.col("id").alias(id), "class_id", "class_size", "n_links", "group_id")
+    rows, classes, _ = similar(docs, text, id, k, threshold)
+    return by_key(rows, classes, ["a", "b"], "class_size", F.monotonically_increasing_id()).select(F.col("id").alias(id), "class_id", "class_size", "n_links", "group_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -267,26 +391,27 @@ def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int
     Where ids are null or repeated, rows are told apart by their texts and one of
     the equal rows stays.
     """
-    rows, classes = similar(docs, text, id, k, threshold)
-    odd = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").limit(1).count()
-    every = rows.join(classes.select("a", "b", "group_id", "root"), ["a", "b"])
+    rows, classes, odd = similar(docs, text, id, k, threshold)
     if not odd:
-        gone = settle(every.where("id != group_id").select("id"), "gone")
-        return docs.join(small(gone), docs[id] == gone["id"], "left_anti")
+        every = by_key(rows, classes, ["a", "b"], "class_size", F.monotonically_increasing_id())
+        gone = settle(every.where("id != group_id").select(F.col("id").alias(free(docs, "_gone")[0])), "gone")
+        return docs.join(small(gone), col(id) == F.col(gone.columns[0]), "left_anti")
     columns = docs.columns
+    named = [f"c{i}" for i in range(len(columns))]  # so that no column of the table can clash with one of ours
+    plain = docs.toDF(*named)
+    of = lambda name: named[columns.index(name)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = W.column_bytes(batch.column(columns.index(text)))
             pairs = [digest(W.shingles(W.words(raw[offsets[r] : offsets[r + 1]])[2], k)) for r in range(batch.num_rows)]
             a, b = (pa.array([p[s] for p in pairs], type=pa.int64()) for s in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, a, b], names=[*columns, "_a", "_b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, a, b], names=[*named, "a", "b"])
 
-    keyed = batched(docs).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _a bigint, _b bigint")
-    c = classes.select("a", "b", "root")
-    first = F.struct(F.col(id).isNull(), F.col(id), F.xxhash64(*[F.col(x).cast("string") for x in columns]))
-    kept = keyed.join(c, (F.col("_a") == c["a"]) & (F.col("_b") == c["b"])).groupBy("root").agg(F.min_by(F.struct(*columns), first).alias("_row"))
-    return kept.select("_row.*")
+    keyed = batched(plain).mapInArrow(run, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(named, docs.schema, strict=True)) + ", a bigint, b bigint")
+    first = F.struct(F.col(of(id)).isNull(), F.col(of(id)), F.xxhash64(*[F.col(x).cast("string") for x in named]))
+    kept = by_key(keyed, classes.select("a", "b", "root", "class_size"), ["a", "b"], "class_size", F.monotonically_increasing_id()).groupBy("root").agg(F.min_by(F.struct(*named), first).alias("_row"))
+    return kept.select(*[F.col(f"_row.{n}").alias(c) for n, c in zip(named, columns, strict=True)])
 
 
 def op9_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
