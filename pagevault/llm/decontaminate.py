@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault.llm import words as W
-from pagevault.llm.store import batched, settle, small, table
+from pagevault.llm.store import batched, col, content, free, settle, small, table
 
 WINDOW = 8
 LEAST = 4
@@ -220,7 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
     items = settle(item_windows(benchmark, "text", item), "items")
     sizes = sorted(r.size for r in items.select("size").distinct().collect())
     few = items.count() <= FEW_WINDOWS
-    known = np.sort(np.array([r.hash for r in items.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64)) if few else None
+    known = np.sort(items.select("hash").distinct().toArrow()["hash"].to_numpy().view(np.uint64)) if few else None  # 8 bytes a window
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
                     hits, held_back = [], 0
             yield from _emit(b.columns[:3], ["_id", "_a", "_b"], hits)
 
-    keyed = batched(docs).select(F.col(id).alias("_id"), F.xxhash64(text).alias("_a"), F.xxhash64(F.col(text), F.lit(7)).alias("_b"), F.col(text))
+    a, b = content(col(text))
+    keyed = batched(docs).select(col(id).alias("_id"), a.alias("_a"), b.alias("_b"), col(text))
     hits = keyed.mapInArrow(run, f"_id {kind}, _a bigint, _b bigint, {_HIT}")
     own = items.select("item", "total", "whole", F.col("kind").alias("_kind"), F.col("hash").alias("_hash"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"))
     met = hits.join(small(own) if few else own, (hits["hash"] == own["_hash"]) & (hits["kind"] == own["_kind"])).where(F.size("slots") == F.size("_slots"))
@@ -268,8 +269,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``docs`` without the contaminated texts."""
-    gone = small(settle(contaminated(docs, benchmark, text, id).select("_id", "_a", "_b").distinct(), "contaminated"))
-    return docs.join(gone, docs[id].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text]) == gone["_a"]) & (F.xxhash64(docs[text], F.lit(7)) == gone["_b"]), "left_anti")
+    names = free(docs, "_gone", "_a", "_b")
+    gone = small(settle(contaminated(docs, benchmark, text, id).select("_id", "_a", "_b").distinct().toDF(*names), "contaminated"))
+    a, b = content(col(text))
+    return docs.join(gone, col(id).eqNullSafe(F.col(names[0])) & (a == F.col(names[1])) & (b == F.col(names[2])), "left_anti")
 
 
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,15 @@ it and settles the span's boundaries:
 * ``ip``, ``card``  from a digit over its run of digits and separators;
 * ``phone``  from ``+`` rightwards;
 * ``url``  from ``://`` over the scheme and the address (only with user or query data in it);
-* ``account``  from a cue such as ``iban`` or ``account`` to the identifier after it.
+* ``account``  from a cue such as ``iban`` or ``account``, in any mixture of cases, to
+  the identifier after it; and from a digit over each number of 13 to 19 digits,
+  valid by its check digit, inside a run that is too long to be one card;
+* ``address``  from a street word to the house number before or after it and the
+  postal code, by the order that the word's language has.
 
 The first four are the base kinds, and equal a left-to-right scan without
 overlaps by their patterns; matches that fail validation are dropped.  The last
-two are the method's own.
+three are the method's own.
 
 Defined results: null text counts as empty and gives no spans; rows are handled
 one by one, so repeated rows, ties, empty tables and null ids need no special
@@ -21,6 +25,7 @@ care; extra columns are never read.  Texts are read whole.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from pagevault.llm import spans as S
 from pagevault.llm.store import batched, table
 
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "address")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -40,14 +45,29 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9./_~%:@!$&'()*+,;=?#-]+")
 ACCOUNT = re.compile(r"[\"']?\x20*(?:(?:number|no\.?|id)\b)?\x20*[:=#]?\x20*[\"']?([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?|[A-Z0-9][A-Z0-9-]{5,33})", re.ASCII)
-CUES = ("iban", "IBAN", "account", "Account", "passport", "Passport", "customer id", "Customer ID", "user id", "User ID", "ssn", "SSN", "swift", "SWIFT")
+NUMBER = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
+CUES = ("iban", "account", "passport", "customer id", "user id", "ssn", "swift")
+STREETS = ("street", "avenue", "road", "lane", "drive", "boulevard")  # after a number and capitalised words
+ENDINGS = ("straße", "strasse")  # of a capitalised word before a number
+LEADING = ("rue", "calle", "avenida")  # before the name, with the number first or last
+HOUSE_BEFORE = re.compile(r"(?<![A-Za-z0-9.,])([0-9]{1,5}[A-Za-z]?\x20(?:[A-Z][a-zà-öø-ÿ'-]{1,20}\x20){1,4})$")
+UNIT = re.compile(r"(?:,?\x20(?:Apt|Suite|Unit|Floor)\.?\x20[A-Za-z0-9-]{1,6})?(?:,\x20[A-Z][a-zà-öø-ÿ'-]{1,20}){0,2}(?:,?\x20(?:[A-Z]{2}\x20)?[0-9]{4,6}(?:-[0-9]{4})?(?![0-9]))?")
+HOUSE_AFTER = re.compile(r"\x20[0-9]{1,4}[a-z]?(?![0-9A-Za-z.])(?:,?\x20[0-9]{5}(?![0-9])(?:\x20[A-ZÀ-Ö][\wà-öø-ÿ'-]{1,20})?)?")
+STREET_NAME = re.compile(r"(?:\x20(?:de\x20la|de\x20las|de\x20los|de|du|des|del))?(?:\x20[A-ZÀ-Ö][\wà-öø-ÿ'-]{1,20}){1,4}")
+NUMBER_BEFORE = re.compile(r"(?<![A-Za-z0-9.,])([0-9]{1,4},?\x20)$")
+NUMBER_AFTER = re.compile(r",?\x20[0-9]{1,4}(?![0-9A-Za-z.])(?:,?\x20[0-9]{5}(?![0-9])(?:\x20[A-ZÀ-Ö][\wà-öø-ÿ'-]{1,20})?)?")
+AROUND = 110  # code points before a street word: a house number and four words
 DIGITS = "0123456789"
+PLACES = frozenset((*STREETS, *ENDINGS, *LEADING))
 
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for word in ("@", "+", "://", *DIGITS, *CUES):
+    for word in ("@", "+", "://", *DIGITS):
         a.add_word(word, word)
+    for cue in (*CUES, *STREETS, *ENDINGS, *LEADING):  # in every mixture of cases
+        for word in map("".join, itertools.product(*({c, c.upper()} if len(c.upper()) == 1 else {c} for c in cue))):
+            a.add_word(word, cue)
     a.make_automaton()
     return a
 
@@ -76,6 +96,26 @@ def _iban(value: str) -> bool:
     return 15 <= len(v) <= 34 and v[:2].isalpha() and v[2:4].isdigit() and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _street(word: str, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The postal address around a street word, by its house number."""
+    if end < len(text) and text[end].isalnum():
+        return None
+    if word in STREETS:
+        before = HOUSE_BEFORE.search(text, max(0, start - AROUND), start)
+        return (before.start(1), UNIT.match(text, end).end()) if before and text[start].isupper() else None
+    if word in LEADING:
+        name = STREET_NAME.match(text, end)
+        if not name or start and text[start - 1].isalnum():
+            return None
+        before, after = NUMBER_BEFORE.search(text, max(0, start - AROUND), start), NUMBER_AFTER.match(text, name.end())
+        return (before.start(1) if before else start, after.end() if after else name.end()) if before or after else None
+    least = max(0, start - AROUND)
+    while start > least and (text[start - 1].isalpha() or text[start - 1] == "-"):  # the first part of the word
+        start -= 1
+    after = HOUSE_AFTER.match(text, end)
+    return (start, after.end()) if after and text[start].isupper() else None
+
+
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text (kind, start, end), in code points, by kind as listed and then start."""
     if not text:
@@ -91,6 +131,8 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
                 d = re.sub("[ -]", "", m.group())
                 if 16 <= len(d) <= 19 and luhn(d):
                     out.append(("card", at, m.end()))
+                elif len(d) > 19:
+                    out += [("account", *n.span()) for n in NUMBER.finditer(text, at, m.end()) if luhn(n.group())]
             if at >= run:
                 # the longest stretch of digits and dots from here: matches cannot leave it
                 run = at + 1
@@ -121,12 +163,16 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
                 free["url"] = m.end()
                 if "@" in m.group() or "?" in m.group():
                     out.append(("url", start, m.end()))
+        elif word in PLACES:
+            if at >= free["address"] and (found := _street(word, text, at, last + 1)):
+                free["address"] = found[1]
+                out.append(("address", *found))
         elif at >= free["account"] and not (at and text[at - 1].isalnum()) and (m := ACCOUNT.match(text, last + 1)):
             free["account"] = m.end()
             value = m.group(1)
             if sum(c.isdigit() for c in value) >= 6 and (word.lower() != "iban" or _iban(value)):
                 out.append(("account", m.start(1), m.end()))
-    out.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
+    out.sort(key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
     return out
 
 
@@ -149,7 +195,7 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:4]], F.sha2(said(F.filter("spans", lambda x: x["kind"].isin(*KINDS[:4]))), 256).alias("base_sha256"),
-        said(F.col("spans")).alias("spans"), *[count(k).alias(f"n_{k}") for k in KINDS[4:]],
+        said(F.col("spans")).alias("spans"), *[count(k).alias(f"n_{k}") for k in KINDS[4:]], F.size("spans").cast("long").alias("n_total"),
     )
 
 

@@ -43,6 +43,7 @@ from pagevault.llm.store import batched, table
 
 UNIT = 576  # a payload's length is a positive multiple of this
 STRIP = 1 << 14  # blocks transformed at once
+RESULT_BYTES = 4 << 20  # of tensors after which a batch of results is passed on
 
 
 def _zigzag() -> np.ndarray:
@@ -538,18 +539,22 @@ def read_media(media: DataFrame, id: str = "doc_id", tensors: bool = True) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 64 if tensors else 1024):
-                part = b.slice(i, 64 if tensors else 1024)
-                rows = [one(x.as_py()) for x in part.column(2)]
-                columns = [part.column(1), *(pa.array(list(x), type=t) for x, t in zip(zip(*rows, strict=True), types[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
+            first, rows, held = 0, [], 0
+            for r in range(b.num_rows):
+                rows.append(one(b.column(2)[r].as_py()))
+                held += len(rows[-1][-1]) if tensors else 0
+                if r + 1 == b.num_rows or len(rows) == 1024 or held > RESULT_BYTES:
+                    columns = [b.column(1)[first : r + 1], *(pa.array(list(x), type=t) for x, t in zip(zip(*rows, strict=True), types[1:], strict=True))]
+                    yield pa.RecordBatch.from_arrays([b.column(0)[first : r + 1], *columns], names=names)
+                    first, rows, held = r + 1, [], 0
 
     schema = f"`{id}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, height int, width int"
     return media.mapInArrow(run, schema + ", rgb binary" * tensors)
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_media(store_media(table(spark, sf_dir, "documents")), tensors=False)
+    """Every text's stored form, read back: digests, feature, size, and the full-resolution RGB tensor itself."""
+    return read_media(store_media(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op6_progressive_jpeg": op6_progressive_jpeg}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagevault.llm import words as W
-from pagevault.llm.store import batched, table
+from pagevault.llm.store import batched, col, table
 
 SPAN, STRIDE = 16, 8
 DIM, HIDDEN, ATTEND = 16, 8, 8
@@ -301,17 +301,22 @@ def _spread(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic") -> list[tuple[bytes, int]]:
-    """A bounded, deterministic sample of labelled texts outside the held-out fifth."""
-    learn = labels.where(F.col(label).isNotNull() & (F.crc32(F.col(id).cast("string")) % 5 != 0)).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_y"), F.xxhash64(id).alias("_h"))
+    """A bounded, deterministic sample of labelled texts outside the held-out fifth.
+
+    Only labels of texts that are there and not empty count towards the bounds.
+    """
+    learn = labels.where(col(label).isNotNull() & (F.crc32(col(id).cast("string")) % 5 != 0)).select(col(id).alias("_id"), col(label).cast("int").alias("_y"), F.xxhash64(col(id)).alias("_h"))
+    texts = docs.select(col(id).alias("_of"), col(text).alias("_t")).where(F.length("_t") > 0)
+    learn = learn.join(texts.select("_of"), F.col("_id") == F.col("_of"), "left_semi")
     picked = None
     for y in (0, 1):
         part = learn.where(F.col("_y") == y).orderBy("_h", "_id").limit(SAMPLE)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(F.col(id).alias("_of"), F.col(text).alias("_t")).join(F.broadcast(picked), F.col("_of") == F.col("_id")).where(F.length("_t") > 0)
-    rows = rows.orderBy("_h", "_id").limit(2 * SAMPLE)
-    w = Window.partitionBy("_y").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = texts.join(F.broadcast(picked), F.col("_of") == F.col("_id"))
+    rows = rows.orderBy("_h", "_id", "_y", "_t").limit(2 * SAMPLE)
+    w = Window.partitionBy("_y").orderBy("_h", "_id", "_t").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_sum", F.sum(F.octet_length("_t")).over(w)).where(F.col("_sum") <= SAMPLE_BYTES // 2)
-    return [(r._t.encode("utf-8", "replace"), r._y) for r in rows.orderBy("_h", "_id").select("_t", "_y").collect()]
+    return [(r._t.encode("utf-8", "replace"), r._y) for r in rows.orderBy("_h", "_id", "_y", "_t").select("_t", "_y").collect()]
 
 
 def score_texts(docs: DataFrame, p: dict[str, np.ndarray] | None, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -325,7 +330,7 @@ def score_texts(docs: DataFrame, p: dict[str, np.ndarray] | None, text: str = "t
             s = scores(raw, offsets, sent.value) if sent.value is not None else np.full(b.num_rows, EMPTY_SCORE)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, type=pa.float64())], names=[id, "score"])
 
-    return batched(docs).select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, score double")
+    return batched(docs).select(col(id), col(text)).mapInArrow(run, f"`{id}` {kind}, score double")
 
 
 def op3_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
