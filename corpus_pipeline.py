@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept and returns a DataFrame; all but the last return the columns of
-``documents``.  ``run`` writes each stage's result to the shared folder and reads
-it back for the next.
+``documents``.  ``run`` writes each stage's result to the shared folder, reads
+it back for the next, and removes it once that is written.
 
 1. language: rows that no known language explains go (operator 8);
 2. lines: boilerplate lines of each source are cut from the texts, ``n_chars``
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
-from pagevault.llm.store import settle, table
+from pagevault.llm.store import discard, settle, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*held)  # no later stage reads what an earlier one wrote
+        held = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
