@@ -77,7 +77,8 @@ class Index:
 
     def save(self, path: str) -> None:
         self.archive.write.mode("overwrite").parquet(f"{path}/archive")
-        self.postings.repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        # by ranges of (term, id): a common word's list is spread over as many files as it needs
+        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
         saved = self.archive.sparkSession.read.schema(S.POSTINGS).parquet(f"{path}/postings")
         dictionary(saved).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
 

@@ -1,9 +1,12 @@
-"""Search: one lazy plan for a batch of queries.
-
-Query words are a small table (broadcast; it holds what people typed).  Word
-resolution touches the dictionary only; posting lists are read by a hash join
-with the resolved terms; AND and its fallback OR are one aggregate; all filters
-stand below the cut to the first 500; ranking inside the cut is exact.
+"""Search: a few plans for a whole batch of queries.
+
+Query words are a small table (it holds what people typed; broadcast if it is
+counted as small).  Word resolution touches the dictionary only.  AND starts from
+the rarest word of each query: its pages are found first, and of the longer lists
+only what stands on those pages is aggregated.  Only queries without such a page
+fall back to OR and read all their lists.  Hits are settled once and feed
+weights, phrases, totals and the ranking.  All filters stand below the cut to the
+first 500; ranking inside the cut is exact.
 """
 
 from __future__ import annotations
@@ -18,13 +21,14 @@ from pagevault.functions import text as X
 from pagevault.functions.passages import snippet_udf
 from pagevault.functions.query import Query
 from pagevault.operators.index import Index, statistics
+from pagevault.operators.scratch import given, settle, small
 
 EXACT, SINGULAR, STEM, PREFIX, TYPO = range(5)
 
 
 def words_table(spark: SparkSession, queries: Sequence[tuple[int, Query]]) -> DataFrame:
     rows = [(q, t, i, any(t in p for p in parsed.phrases)) for q, parsed in queries for i, t in enumerate(parsed.lookup)]
-    return spark.createDataFrame(rows, "query int, word string, place int, fixed boolean")
+    return given(spark, rows, "query int, word string, place int, fixed boolean")
 
 
 def prefix_terms(dictionary: DataFrame, wanted: DataFrame, scan: int, limit: int) -> DataFrame:
@@ -33,7 +37,7 @@ def prefix_terms(dictionary: DataFrame, wanted: DataFrame, scan: int, limit: int
     An equi-join on the first three characters carries the prefix test.
     """
     keyed = wanted.withColumn("_k", F.left("prefix", F.lit(S.PREFIX_CHARS)))
-    hit = dictionary.withColumn("_k", F.left("term", F.lit(S.PREFIX_CHARS))).join(F.broadcast(keyed), "_k").where(F.col("term").startswith(F.col("prefix"))).drop("_k")
+    hit = dictionary.withColumn("_k", F.left("term", F.lit(S.PREFIX_CHARS))).join(keyed, "_k").where(F.col("term").startswith(F.col("prefix"))).drop("_k")
     by = [c for c in wanted.columns]
     seen = hit.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("term"))).where(F.col("_n") <= scan)
     return seen.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("df"), "term"))).where(F.col("ord") <= limit).drop("_n")
@@ -48,9 +52,9 @@ def resolve(dictionary: DataFrame, words: DataFrame, languages: Sequence[str] =
     w = words.select("query", "word", "fixed")
     free = w.where(~F.col("fixed")).drop("fixed")
     level = lambda df, n: df.select("query", "word", "term", "df", F.lit(n).alias("level"), "ord")
-    exact = level(dictionary.join(F.broadcast(w), F.col("term") == F.col("word")).withColumn("ord", F.lit(1)), EXACT)
+    exact = level(dictionary.join(w, F.col("term") == F.col("word")).withColumn("ord", F.lit(1)), EXACT)
     try_ = free.select("query", "word", F.posexplode(X.variants(F.col("word"))).alias("_v", "_variant"))
-    single = dictionary.join(F.broadcast(try_), F.col("term") == F.col("_variant"))
+    single = dictionary.join(try_, F.col("term") == F.col("_variant"))
     first = single.groupBy("query", "word").agg(F.min_by(F.struct("term", "df"), "_v").alias("t")).select("query", "word", "t.term", "t.df", F.lit(1).alias("ord"))
     start = free.where(F.length("word") >= S.PREFIX_CHARS).withColumn("prefix", F.col("word"))
     longer = prefix_terms(dictionary, start, S.PREFIX_SCAN, S.PREFIX_LIMIT)
@@ -68,57 +72,92 @@ def resolve(dictionary: DataFrame, words: DataFrame, languages: Sequence[str] =
     return every.withColumn("_low", low).where(F.col("level") == F.col("_low")).select("query", "word", "term", "df", F.floor("level").cast("int").alias("level"), "ord")
 
 
-def phrase_pages(postings: DataFrame, queries: Sequence[tuple[int, Query]]) -> DataFrame:
-    """(query, id) of pages that hold every phrase of a query, by the stored positions."""
-    spark = postings.sparkSession
+def phrase_pages(postings: DataFrame, queries: Sequence[tuple[int, Query]], within: DataFrame | None = None) -> DataFrame:
+    """(query, id) of pages (of ``within``, if given) that hold every phrase of a query, by the stored positions."""
     rows = [(q, k, i, t, len(p), len(parsed.phrases)) for q, parsed in queries for k, p in enumerate(parsed.phrases) for i, t in enumerate(p)]
-    want = spark.createDataFrame(rows, "query int, phrase int, step int, term string, steps int, phrases int")
-    at = postings.join(F.broadcast(want), "term").select("query", "phrase", "id", "steps", "phrases", "step", F.explode(F.transform("pos", lambda p: p - F.col("step"))).alias("start"))
+    want = given(postings.sparkSession, rows, "query int, phrase int, step int, term string, steps int, phrases int")
+    lists = postings.join(want, "term")
+    lists = lists if within is None else lists.join(within, ["query", "id"], "left_semi")
+    at = lists.select("query", "phrase", "id", "steps", "phrases", "step", F.explode(F.transform("pos", lambda p: p - F.col("step"))).alias("start"))
     whole = at.groupBy("query", "phrase", "id", "start", "steps", "phrases").agg(F.count_distinct("step").alias("n")).where("n = steps")
     return whole.groupBy("query", "id", "phrases").agg(F.count_distinct("phrase").alias("n")).where("n = phrases").select("query", "id")
 
 
+def _hits(postings: DataFrame, wanted: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """(query, word, id, level, tf) of the wanted terms, on the pages of ``within`` if given."""
+    lists = postings.select("term", "id", "tf").join(small(wanted), "term")
+    lists = lists if within is None else lists.join(small(within), ["query", "id"], "left_semi")
+    return lists.groupBy("query", "word", "id", "level").agg(F.sum("tf").alias("tf"))
+
+
+def matched(ix: Index, queries: Sequence[tuple[int, Query]], languages: Sequence[str] = (), stem: Callable | None = None) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Settled hits (query, word, id, level, tf) of the pages that AND, or else OR, finds; document frequencies (query, word, df); and the queries that AND serves."""
+    spark = ix.postings.sparkSession
+    k = given(spark, [(q, len(p.lookup)) for q, p in queries], "query int, k int")
+    words = settle(resolve(ix.dictionary, words_table(spark, queries), languages, stem), "resolved").select("query", "word", "term", "df", "level")
+    each = words.groupBy("query", "word").agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("most"))
+    by = Window.partitionBy("query")
+    each = each.withColumn("_rank", F.row_number().over(by.orderBy("most", "word"))).withColumn("_words", F.count(F.lit(1)).over(by)).join(k, "query")
+    each = each.select("query", "word", "terms", "most", (F.col("_words") == F.col("k")).alias("whole"), (F.col("_rank") == 1).alias("rarest"))
+    wanted = settle(words.join(each, ["query", "word"]), "wanted")
+    rare = settle(_hits(ix.postings, wanted.where("whole AND rarest").select("query", "word", "term", "level")), "rarest")
+    others = wanted.where("whole AND NOT rarest").select("query", "word", "term", "level")
+    if not others.isEmpty():
+        rest = _hits(ix.postings, others, rare.select("query", "id").distinct())
+        both = settle(rare.unionByName(rest), "both")
+    else:
+        both = rare
+    full = both.groupBy("query", "id").agg(F.count(F.lit(1)).alias("m")).join(k, "query").where("m = k").select("query", "id")
+    full = settle(full, "full")
+    served = sorted(r.query for r in full.select("query").distinct().collect())  # as many as were asked at most
+    hits = both if others.isEmpty() else both.join(full, ["query", "id"], "left_semi")
+    rest_of = [(q,) for q, _ in queries if q not in set(served)]
+    if rest_of:
+        some = wanted.join(given(spark, rest_of, "query int"), "query").select("query", "word", "term", "level")
+        hits = hits.unionByName(_hits(ix.postings, settle(some, "fallback")))
+    df = wanted.where("terms = 1").select("query", "word", F.col("most").alias("df"))
+    wide = settle(wanted.where("terms > 1").select("query", "word", "term"), "wide")
+    if not wide.isEmpty():
+        lists = ix.postings.select("term", "id").join(small(wide), "term").select("query", "word", "id").distinct()
+        df = df.unionByName(lists.groupBy("query", "word").agg(F.count(F.lit(1)).alias("df")))
+    return settle(hits, "hits"), settle(df, "frequencies"), served
+
+
 def candidates(ix: Index, queries: Sequence[tuple[int, Query]], site: str | None = None, after: int | None = None, before: int | None = None, languages: Sequence[str] = (), stem: Callable | None = None) -> DataFrame:
-    """(query, id, mode, parts, prescore): every page in the answer, all filters applied."""
+    """(query, id, mode, parts, prescore): every page in the answer, all filters applied; a settled table."""
     spark = ix.postings.sparkSession
     queries = [(q, p) for q, p in queries if not p.empty]
-    resolved = resolve(ix.dictionary, words_table(spark, queries), languages, stem)
-    hits = ix.postings.join(F.broadcast(resolved.select("query", "word", "term", "level")), "term").groupBy("query", "word", "id", "level").agg(F.sum("tf").alias("tf"))
-    df = hits.groupBy("query", "word").agg(F.count(F.lit(1)).alias("df"))
+    hits, df, served = matched(ix, queries, languages, stem)
     n = ix.archive.agg(F.count(F.lit(1))).scalar()
     weights = df.select("query", "word", X.idf(F.col("df"), n).alias("idf"))
     part = F.struct("word", "tf", "idf", (F.col("level") >= STEM).alias("wide"))
-    pages = hits.join(F.broadcast(weights), ["query", "word"]).groupBy("query", "id").agg(
-        F.count(F.lit(1)).alias("m"), F.sort_array(F.collect_list(part)).alias("parts")
-    )
+    pages = hits.join(F.broadcast(weights) if df.count() <= 300_000 else weights, ["query", "word"]).groupBy("query", "id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     # summed in word order, so that equal pages get equal scores
     pages = pages.withColumn("prescore", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["idf"] * (1 + F.log(p["tf"]))))
-    k = spark.createDataFrame([(q, len(p.lookup)) for q, p in queries], "query int, k int")
-    pages = pages.join(F.broadcast(k), "query")
-    modes = pages.groupBy("query").agg((F.max("m") == F.max("k")).alias("all"))
-    pages = pages.join(F.broadcast(modes), "query").where((F.col("m") == F.col("k")) | ~F.col("all")).withColumn("mode", F.when(F.col("all"), "and").otherwise("or"))
+    modes = given(spark, [(q, "and" if q in set(served) else "or") for q, _ in queries], "query int, mode string")
+    pages = pages.join(modes, "query")
     out = [(q, t) for q, p in queries for t in p.exclude]
     if out:
-        gone = ix.postings.join(F.broadcast(spark.createDataFrame(out, "query int, term string")), "term").select("query", "id").distinct()
+        gone = ix.postings.join(given(spark, out, "query int, term string"), "term").select("query", "id").distinct()
         pages = pages.join(gone, ["query", "id"], "left_anti")
     if any(p.phrases for _, p in queries):
-        held = phrase_pages(ix.postings, queries)
-        free = [q for q, p in queries if not p.phrases]
-        pages = pages.where(F.col("query").isin(free)).unionByName(pages.where(~F.col("query").isin(free)).join(held, ["query", "id"], "left_semi")) if free else pages.join(held, ["query", "id"], "left_semi")
+        held = phrase_pages(ix.postings, queries, hits.select("query", "id").distinct()).withColumn("_held", F.lit(True))
+        strict = given(spark, [(q, bool(p.phrases)) for q, p in queries], "query int, strict boolean")
+        pages = pages.join(strict, "query").join(held, ["query", "id"], "left").where("NOT strict OR _held").drop("strict", "_held")
     late = lambda a, b: max(a, b) if a and b else a or b or None
     soon = lambda a, b: min(a, b) if a and b else a or b or None
     bounds = [(q, (p.site or site or "").lower().removeprefix("www.") or None, late(p.after, after), soon(p.before, before)) for q, p in queries]
     if any(x for b in bounds for x in b[1:]):
-        b = F.broadcast(spark.createDataFrame(bounds, "query int, site string, low long, high long"))
+        b = given(spark, bounds, "query int, site string, low long, high long")
         seen = F.col("last_seen")
         ok = (F.col("site").isNull() | (F.col("domain") == F.col("site")) | F.col("domain").endswith(F.concat(F.lit("."), "site")))
         ok &= (F.col("low").isNull() | (seen >= F.col("low"))) & (F.col("high").isNull() | (seen < F.col("high") + 1))
         pages = pages.join(b, "query").join(ix.archive.select("id", "domain", "last_seen"), "id").where(F.coalesce(ok, F.lit(False))).drop("site", "low", "high", "domain", "last_seen")
-    return pages.select("query", "id", "mode", "parts", "prescore")
+    return settle(pages.select("query", "id", "mode", "parts", "prescore"), "found")
 
 
 def rank(ix: Index, found: DataFrame, now: int, queries: Sequence[tuple[int, Query]], limit: int = S.PAGE, offset: int = 0, recent: bool = False) -> DataFrame:
-    """A page of ranked results: query, rank (from 1), id, score, mode, total and the page's columns.
+    """A page of ranked results: query, rank (from 1), id, score, mode, total, whether more follow, and the page's columns.
 
     The first 500 by the cheap score (or by recency) are scored exactly; any
     page past them keeps the cheap order and score 0.
@@ -135,14 +174,15 @@ def rank(ix: Index, found: DataFrame, now: int, queries: Sequence[tuple[int, Que
     rows = first.join(meta, "id").withColumn("mean_length", statistics(ix.archive).select("mean_length").scalar())
     part = lambda p: X.term_score(p["tf"], p["idf"], F.col("word_count"), F.col("mean_length")) * F.when(p["wide"], S.WIDENED).otherwise(1.0)
     bm25 = F.aggregate("parts", F.lit(0.0), lambda a, p: a + part(p))
-    typed = F.broadcast(spark.createDataFrame([(q, list(p.lookup)) for q, p in queries], "query int, typed array<string>"))
+    typed = given(spark, [(q, list(p.lookup)) for q, p in queries], "query int, typed array<string>")
     boost = 1 + S.TITLE_BOOST * F.size(F.array_intersect("typed", X.terms(F.col("title"))))
     score = bm25 * boost * X.recency(F.col("last_seen"), now) * F.when(F.col("pinned"), S.PINNED_BOOST).otherwise(1.0)
     scored = rows.join(typed, "query").withColumn("score", F.when(F.col("first") <= S.HEAD, score).otherwise(0.0))
     by = ["first"] if recent else [(F.col("first") > S.HEAD), F.when(F.col("first") > S.HEAD, F.col("first")), F.desc("score"), "id"]
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*by)))
     page = ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
-    return page.join(F.broadcast(totals), "query").select("query", "rank", "id", "score", "mode", "total", "url", "title", "domain", "last_seen", "pinned", "text")
+    more = (F.lit(offset + limit) < F.col("total")).alias("has_more")
+    return page.join(F.broadcast(totals) if len(queries) <= 300_000 else totals, "query").select("query", "rank", "id", "score", "mode", "total", more, "url", "title", "domain", "last_seen", "pinned", "text")
 
 
 def facets(ix: Index, found: DataFrame) -> DataFrame:
@@ -161,4 +201,4 @@ def search(ix: Index, queries: Sequence[tuple[int, Query]], now: int, limit: int
     spark = ix.archive.sparkSession
     shown = resolve(ix.dictionary, words_table(spark, [q for q in queries if not q[1].empty]), filters.get("languages", ()), filters.get("stem"))
     marks = shown.groupBy("query").agg(F.array_distinct(F.concat(F.collect_set("word"), F.collect_set("term"))).alias("marks"))
-    return page.join(F.broadcast(marks), "query").withColumn("snippet", snippet_udf("text", "marks")).drop("text", "marks")
+    return page.join(small(settle(marks, "marks")), "query").withColumn("snippet", snippet_udf("text", "marks")).drop("text", "marks")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault.functions import text as X
 from pagevault.functions import urls as U
 from pagevault.operators.index import Index, index_bytes, page_bytes, postings, tokens
+from pagevault.operators.scratch import temporary
 from pagevault.sources import html as H
 
 NOW = 1_706_745_600_000  # 2024-02-01 00:00 UTC
@@ -57,10 +54,7 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        path = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        path = temporary(spark, "index")
         Index.of(archive(spark, sf_dir)).save(path)
         _BUILT[key] = path
     return Index.load(spark, _BUILT[key])
