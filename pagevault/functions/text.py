@@ -65,10 +65,15 @@ def variants(t: Column) -> Column:
 
 def content_hash(c: Column) -> Column:
     """Two 32-bit FNV-1a hashes over the UTF-16 units, in hexadecimal."""
-    units = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), F.ascii)
+    points = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+
+    def step(h: Column, unit: Column) -> Column:
+        return (h.bitwiseXOR(unit) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF))
 
     def fnv(seed: int) -> Column:
-        h = F.aggregate(units, F.lit(seed).cast("long"), lambda h, u: (h.bitwiseXOR(u.cast("long")) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
+        # a code point beyond the first 65,536 is two units
+        pair = lambda h, u: step(step(h, F.shiftright(u - 0x10000, 10) + 0xD800), (u - 0x10000).bitwiseAND(0x3FF) + 0xDC00)
+        h = F.aggregate(points, F.lit(seed).cast("long"), lambda h, u: F.when(u < 0x10000, step(h, u)).otherwise(pair(h, u)))
         return F.lower(F.lpad(F.hex(h), 8, "0"))
 
     return F.concat(fnv(0x811C9DC5), fnv(0x9E3779B9))
@@ -144,3 +149,17 @@ def iso(ms: Column) -> Column:
 
 def from_iso(c: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(c))
+
+
+def pages_for(n: Column) -> Column:
+    """About how many pages fit in so many bytes, rounded for people, with thousands separators."""
+    pages = n / F.lit(float(S.PAGE_BYTES_ESTIMATE))
+    to = lambda step: F.floor(pages / step + 0.5) * step
+    return F.format_number(F.when(pages < 1000, F.greatest(F.lit(1), to(10))).when(pages < 100_000, to(1000)).otherwise(to(100_000)), 0)
+
+
+def describe_size(n: Column) -> Column:
+    """A size limit in words: whole megabytes, from a gigabyte on gigabytes with at most one decimal."""
+    gb, mb = 1024**3, 1024**2
+    whole = F.concat(F.floor(n / gb).cast("string"), F.lit("GB"))
+    return F.when(n < gb, F.concat(F.floor(n / mb + 0.5).cast("string"), F.lit("MB"))).when(n % gb == 0, whole).otherwise(F.concat(F.format_string("%.1f", n / F.lit(float(gb))), F.lit("GB")))

@@ -19,9 +19,10 @@ def cutoff(now: int, months: float | None = S.RETENTION_MONTHS) -> float:
 def plan(archive: DataFrame, now: int, months: float | None = S.RETENTION_MONTHS, cap: int | None = S.SIZE_CAP, apply_age: bool = True) -> DataFrame:
     """Pages to evict: id, bytes, reason (age, size).
 
-    The running sum needs only what the size rule could free: pages are summed
-    by day first, days past the need are cut, and only the last needed day is
-    summed page by page - no window runs over the whole archive.
+    Pages are summed by hour first.  Hours that the size rule frees whole are taken
+    without ordering their pages; only in the one hour that it cuts is there a
+    running sum, minute by minute and then page by page in the one minute that is
+    cut - no window runs over more than the pages of a minute.
     """
     old = F.col("last_seen") < F.lit(cutoff(now, months)) if apply_age else F.lit(False)
     pages = archive.select("id", "last_seen", F.coalesce("bytes", F.lit(0)).alias("bytes"), "pinned")
@@ -32,16 +33,30 @@ def plan(archive: DataFrame, now: int, months: float | None = S.RETENTION_MONTHS
     rest = loose.where(~F.coalesce(old, F.lit(False)))
     # bytes still over the cap once the age rule is done
     over = (pages.agg(F.coalesce(F.sum("bytes"), F.lit(0))).scalar() - aged.agg(F.coalesce(F.sum("bytes"), F.lit(0))).scalar() - F.lit(cap)).alias("over")
-    day = F.floor(F.col("last_seen") / S.DAY_MS)
-    days = rest.groupBy(day.alias("day")).agg(F.sum("bytes").alias("b"))
-    before = F.coalesce(F.sum("b").over(Window.orderBy(F.asc_nulls_first("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    needed = days.withColumn("before", before).where(F.col("before") < over).select(F.col("day").alias("_day"), "before")
-    part = rest.withColumn("day", day).join(needed, F.col("day").eqNullSafe(F.col("_day")))
-    w = Window.partitionBy("day").orderBy("last_seen", "id").rowsBetween(Window.unboundedPreceding, -1)
-    sized = part.withColumn("freed", F.col("before") + F.coalesce(F.sum("bytes").over(w), F.lit(0))).where(F.col("freed") < over)
+    whole, cut = _oldest(rest, F.floor(F.col("last_seen") / S.HOUR_MS), over)
+    minutes, part = _oldest(cut, F.floor(F.col("last_seen") / S.MINUTE_MS), over)
+    w = Window.orderBy(F.asc_nulls_first("last_seen"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    pages = part.withColumn("freed", F.col("before") + F.coalesce(F.sum("bytes").over(w), F.lit(0))).where(F.col("freed") < over)
+    sized = whole.select("id", "bytes").unionByName(minutes.select("id", "bytes")).unionByName(pages.select("id", "bytes"))
     return aged.unionByName(sized.select("id", "bytes", F.lit("size").alias("reason")))
 
 
+def _oldest(pages: DataFrame, span: Column, over: Column) -> tuple[DataFrame, DataFrame]:
+    """Pages of the spans of time that are needed whole to free ``over`` bytes, oldest first, and those of the one span that is cut.
+
+    Pages may carry ``before``, the bytes freed before all of them.
+    """
+    start = F.max("before") if "before" in pages.columns else F.lit(0)
+    spans = pages.groupBy(span.alias("_span")).agg(F.sum("bytes").alias("_b"), start.alias("_start"))
+    w = Window.orderBy(F.asc_nulls_first("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_b").over(w), F.lit(0)) + F.col("_start")).where(F.col("_before") < over)
+    # ``whole``: everything in it goes, as what is freed before its last page is still too little
+    spans = spans.select("_span", F.col("_before"), (F.col("_before") + F.col("_b") <= over).alias("_whole"))
+    met = pages.drop("before").withColumn("_of", span).join(spans, F.col("_of").eqNullSafe(F.col("_span")))
+    kept = lambda x: x.drop("_of", "_span", "_whole").withColumnRenamed("_before", "before")
+    return kept(met.where("_whole")), kept(met.where("NOT _whole"))
+
+
 def summary(evicted: DataFrame) -> DataFrame:
     """One row: bytes freed, counts by rule and the reason as logged."""
     age, size = F.count_if(F.col("reason") == "age"), F.count_if(F.col("reason") == "size")
@@ -111,6 +126,11 @@ def merged_log(rounds: DataFrame, keep: int = S.LOG_ROWS) -> DataFrame:
     return folded.orderBy(F.desc("at"), F.desc("id")).limit(keep)
 
 
+def read_log(log: DataFrame, limit: int = S.LOG_READ) -> DataFrame:
+    """The newest rows of the deletion log; the later number first where times are equal."""
+    return log.orderBy(F.desc("at"), F.desc("id")).limit(limit)
+
+
 def overview(archive: DataFrame, now: int, cap: int = S.SIZE_CAP) -> DataFrame:
     """One row of statistics: pages, pinned pages, bytes, budget, pace and when the budget is used up."""
     a = archive.agg(F.count(F.lit(1)).alias("pages"), F.count_if("pinned").alias("pinned"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.min("first_seen").alias("oldest"))

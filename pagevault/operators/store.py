@@ -67,6 +67,26 @@ def keyed(pages: DataFrame) -> DataFrame:
     return rows.where(F.col("url_key").isNotNull()).withColumn("content_hash", X.content_hash(X.indexed_text(F.col("title"), F.col("text"))))
 
 
+PARTS = 1000
+
+
+def numbered(rows: DataFrame, by: str, then: str) -> DataFrame:
+    """Rows with ``number``, from 1 in the order of two columns, the first a number.
+
+    The range of the first is cut into ``PARTS`` parts; rows are numbered inside their
+    part and moved on by the counts of the parts before, so no task orders them all.
+    """
+    ends = rows.agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
+    x = F.col(by).cast("double")
+    lo, hi = ends.select("lo").scalar().cast("double"), ends.select("hi").scalar().cast("double")
+    parts = rows.withColumn("_part", F.when(hi > lo, F.floor((x - lo) / (hi - lo) * (PARTS - 1))).otherwise(0))
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy(F.asc_nulls_first("_part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(by, then))
+    met = parts.withColumn("_place", place).join(before.withColumnRenamed("_part", "_of"), F.col("_part").eqNullSafe(F.col("_of")))
+    return met.withColumn("number", F.col("_place") + F.col("_before")).drop("_part", "_place", "_of", "_before")
+
+
 def upsert(archive: DataFrame, pages: DataFrame, order: str = "arrival") -> DataFrame:
     """Fold incoming pages (``schemas.PAGE_INPUT`` and an arrival number) into the archive.
 
@@ -95,7 +115,7 @@ def upsert(archive: DataFrame, pages: DataFrame, order: str = "arrival") -> Data
     )
     top = archive.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     both = archive.join(folded, "url_key", "full")
-    ids = both.where(F.col("id").isNull()).select("url_key", (F.row_number().over(Window.orderBy("n_arrival", "url_key")) + top).cast("long").alias("_id"))
+    ids = numbered(both.where(F.col("id").isNull()).select("url_key", "n_arrival"), "n_arrival", "url_key").select("url_key", (F.col("number") + top).cast("long").alias("_id"))
     both = both.join(ids, "url_key", "left")
     pick = lambda new, old: F.coalesce(F.col(new), F.col(old))
     new = {
@@ -129,6 +149,27 @@ def is_pdf(content: Column) -> Column:
     return F.coalesce(F.substring(content, 1, 5) == F.lit(b"%PDF-"), F.lit(False))
 
 
+def keys(archive: DataFrame) -> DataFrame:
+    """Every page's id and key."""
+    return archive.select("id", "url_key")
+
+
+def removed(archive: DataFrame, ids: DataFrame, batches: int = 1) -> list[DataFrame]:
+    """Delete in so many steps, by a hash of the id: the archive after each.  Whoever stops between steps keeps what was done."""
+    gone = ids.select("id").distinct().withColumn("_step", F.pmod(F.xxhash64("id"), F.lit(batches)))
+    return [without(archive, gone.where(F.col("_step") <= i)) for i in range(batches)]
+
+
+def deletion(archive: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row: how many of the ids are pages, and the bytes they free."""
+    return many(archive, ids).agg(F.count(F.lit(1)).alias("deleted"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_freed"))
+
+
+def not_before(at: Column, now: int) -> Column:
+    """A claimed date that counts: not in the future, and now where there is none."""
+    return F.when(at > 0, F.least(at, F.lit(now))).otherwise(F.lit(now))
+
+
 def import_status(rows: DataFrame, archive: DataFrame, excluded: Column, now: int) -> DataFrame:
     """Import rows with ``status`` (failed, excluded, skipped, imported) and dates clamped to now."""
     r = rows.withColumn("url_key", U.url_key(F.col("url"))).withColumn("last_seen", F.when(F.col("last_seen") > 0, F.least("last_seen", F.lit(now))).otherwise(F.lit(now)))

@@ -1,57 +1,183 @@
-"""A versioned table directory: write a new version, check it, then move the pointer.
+"""A versioned table directory: write a new version, check it, then publish it under the next number.
 
 There is no MERGE without a table format on the class path, so a change is a
-whole new version; readers see the old one until the pointer file is replaced.
+whole new version.  A version is published by a pointer file whose name is a
+number that has never been used; pointers are never replaced, so whatever step a
+writer dies at, readers see the last version that was published whole.  A folder
+that holds versions but no pointer is refused rather than taken for empty.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pagevault.schemas import ARCHIVE
 
 FORMAT = 1
+EMPTY = "-"  # the version that the first pointer names
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _pointer(spark: SparkSession, path: str) -> list[str] | None:
-    fs, p = _fs(spark, f"{path}/CURRENT")
+class Journal:
+    """Small texts under rising numbers in one folder; the newest counts, none is ever replaced."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def numbers(self) -> list[int]:
+        fs, p = file_system(self.spark, self.path)
+        if not fs.exists(p):
+            return []
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit())
+
+    def read(self, number: int) -> str:
+        fs, p = file_system(self.spark, f"{self.path}/{number:012d}")
+        stream = fs.open(p)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def newest(self) -> str | None:
+        held = self.numbers()
+        return self.read(held[-1]) if held else None
+
+    def append(self, text: str, after: int | None = None) -> int:
+        """Write the next number; with ``after`` it must still be the newest, or another writer was faster."""
+        held = self.numbers()
+        last = held[-1] if held else 0
+        if after is not None and last != after:
+            raise OSError(f"{self.path} has moved on from {after} to {last}")
+        fs, to = file_system(self.spark, f"{self.path}/{last + 1:012d}")
+        _, new = file_system(self.spark, f"{self.path}/.{uuid.uuid4().hex}")
+        out = fs.create(new, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if fs.exists(to) or not fs.rename(new, to):
+            fs.delete(new, False)
+            raise OSError(f"{to} was written by another writer")
+        return last + 1
+
+    def forget(self, keep: int) -> None:
+        for n in self.numbers()[:-keep]:
+            fs, p = file_system(self.spark, f"{self.path}/{n:012d}")
+            fs.delete(p, False)
+
+
+def pointers(spark: SparkSession, path: str) -> Journal:
+    return Journal(spark, f"{path}/pointers")
+
+
+def _split(text: str) -> tuple[int, str]:
+    form, version = text.split("\t")
+    return int(form), version
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    fs, p = file_system(spark, path)
     if not fs.exists(p):
-        return None
-    return spark.read.text(f"{path}/CURRENT").first()[0].split("\t")
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return [n for n in names if n != "pointers" and fs.exists(file_system(spark, f"{path}/{n}/_SUCCESS")[1])]
+
+
+def current_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """(format, version) of the newest pointer; None for a folder that nothing was ever published in."""
+    text = pointers(spark, path).newest()
+    if text is not None:
+        return _split(text)
+    held = _versions(spark, path)
+    if held:
+        raise ValueError(f"{path} holds versions ({', '.join(sorted(held)[:3])}) but no pointer; nothing has been changed")
+    return None
 
 
 def has(spark: SparkSession, path: str, version: str) -> bool:
-    fs, p = _fs(spark, f"{path}/{version}/_SUCCESS")
-    return fs.exists(p) and (_pointer(spark, path) or [None, None])[1] is not None and version in (_pointer(spark, path) or [])[1:]
+    """Whether a kept pointer names the version."""
+    journal = pointers(spark, path)
+    return any(_split(journal.read(n))[1] == version for n in reversed(journal.numbers()))
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The current version; an empty archive if there is none.  A newer format is refused."""
-    held = _pointer(spark, path)
-    if held is None:
-        return spark.createDataFrame([], ARCHIVE)
-    if int(held[0]) > FORMAT:
+def current(spark: SparkSession, path: str, schema=ARCHIVE) -> DataFrame:
+    """The current version; an empty table if nothing was published yet.  A newer format is refused."""
+    held = current_version(spark, path)
+    if held is None or held[1] == EMPTY:
+        return spark.createDataFrame([], schema)
+    if held[0] > FORMAT:
         raise ValueError(f"the archive has format {held[0]}; this code reads up to {FORMAT}")
-    return spark.read.parquet(f"{path}/{held[-1]}")
+    return spark.read.parquet(f"{path}/{held[1]}")
 
 
-def publish(table: DataFrame, path: str, version: str) -> None:
+def publish(table: DataFrame, path: str, version: str, key: str = "url_key", form: int = FORMAT) -> None:
     """Write a version, count it back, and point to it."""
     spark = table.sparkSession
+    journal = pointers(spark, path)
+    if current_version(spark, path) is None:
+        journal.append(f"{form}\t{EMPTY}", 0)
+    if has(spark, path, version):
+        raise ValueError(f"version {version} was published before")
+    after = journal.numbers()[-1]
     table.write.mode("overwrite").parquet(f"{path}/{version}")
-    n, keys = spark.read.parquet(f"{path}/{version}").selectExpr("count(*)", "count(distinct url_key)").first()
+    n, keys = spark.read.parquet(f"{path}/{version}").selectExpr("count(*)", f"count(distinct {key})").first()
     if n != keys:
         raise ValueError("a key stands twice in the new version")
-    fs, to = _fs(spark, f"{path}/CURRENT")
-    _, new = _fs(spark, f"{path}/NEXT")
-    out = fs.create(new, True)
-    out.write(bytearray("\t".join((str(FORMAT), version)).encode()))
-    out.close()
-    fs.delete(to, False)
-    if not fs.rename(new, to):
-        raise OSError(f"the pointer {path}/CURRENT could not be replaced")
+    journal.append(f"{form}\t{version}", after)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Remove all versions but those of the newest ``keep`` pointers; their names come back."""
+    journal = pointers(spark, path)
+    numbers = journal.numbers()
+    stay = {_split(journal.read(n))[1] for n in numbers[-keep:]}
+    gone = [v for v in _versions(spark, path) if v not in stay] if numbers else []
+    journal.forget(keep)
+    for v in gone:
+        fs, p = file_system(spark, f"{path}/{v}")
+        fs.delete(p, True)
+    return gone
+
+
+@dataclass(frozen=True)
+class Migration:
+    """To a format from the one before: the same rows, by id, in another shape."""
+
+    form: int
+    describe: str
+    run: Callable[[DataFrame], DataFrame]
+
+
+def upgrade(spark: SparkSession, path: str, migrations: Sequence[Migration] = (), form: int = FORMAT) -> list[str]:
+    """Bring the archive to a format, one published version a migration; what was applied comes back.
+
+    A migration must keep every id, and the old version stays readable until its
+    successor is published.
+    """
+    held = current_version(spark, path)
+    if held is None:
+        return []
+    if held[0] > form:
+        raise ValueError(f"the archive has format {held[0]}; this code reads up to {form}. Nothing has been changed")
+    done = []
+    for m in sorted(migrations, key=lambda m: m.form):
+        if not held[0] < m.form <= form:
+            continue
+        if held[1] == EMPTY:
+            pointers(spark, path).append(f"{m.form}\t{EMPTY}")
+        else:
+            old = spark.read.parquet(f"{path}/{held[1]}")
+            new = m.run(old)
+            lost = old.select("id").exceptAll(new.select("id")).count(), new.select("id").exceptAll(old.select("id")).count()
+            if any(lost):
+                raise ValueError(f"the migration to format {m.form} would lose {lost[0]} and add {lost[1]} pages")
+            publish(new, path, f"{held[1]}-format{m.form}", form=m.form)
+        held = current_version(spark, path)
+        done.append(m.describe)
+    return done

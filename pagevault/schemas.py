@@ -34,11 +34,14 @@ FACETS, PAGE = 8, 20
 TEXT_BYTES, EXCERPT, TITLE_CHARS = 200 * 1024, 400, 1000
 MIN_TEXT, OVER_TITLE = 25, 20
 SHRINK_CHARS, SHRINK_SHARE = 1000, 0.4
-DAY_MS = 86_400_000
+MINUTE_MS, HOUR_MS, DAY_MS = 60_000, 3_600_000, 86_400_000
 MONTH_MS = 365.25 / 12 * DAY_MS
 RETENTION_MONTHS, SIZE_CAP, WARN_AT = 12, 500 * 1024 * 1024, 0.8
 DWELL_MS, SCROLL, SHORT_WORDS = 9000, 0.35, 400
 LOG_GAP_MS, LOG_ROWS = 600_000, 500
 CLOCK_JUMP_MS, CLOCK_BACK_MS, CLOCK_HOLD_MS = 7 * DAY_MS, 3_600_000, DAY_MS
 PAGE_BYTES, ENTRY_BYTES, POSITION_BYTES, RECORD_BYTES, TERM_BYTES = 130, 25, 4, 34, 2
+PAGE_BYTES_ESTIMATE = 15 * 1024
+OMNIBOX, LOG_READ = 6, 20
+TICK_MS, TICK_SLACK_MS, OFFER_FLOOR_MS, OFFER_GAP_MS, SCROLL_STEP = 2500, 500, 5000, 60_000, 0.05
 EXPORT_FORMAT = "page-archive-export"

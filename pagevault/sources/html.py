@@ -34,6 +34,17 @@ def canonical(html: Column) -> Column:
     return F.nullif(F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))
 
 
+# Where payment forms come from, and which of their frames are none.
+_FRAME = r"https://(?:[a-z0-9-]+\.)*(?:js\.stripe\.com|checkout\.stripe\.com|braintreegateway\.com|braintree-api\.com|adyen\.com|paypal\.com|checkoutshopper-live\.adyen\.com|pay\.google\.com|squareup\.com|squarecdn\.com|recurly\.com|chargebee\.com|klarna\.com|mollie\.com)/"
+_HELPER = r"https://(?:[a-z0-9-]+\.)*(?:js\.stripe\.com/v\d+/(?:controller|m-outer|metrics)|paypal\.com/(?:smart/buttons\b|credit-presentment/))"
+
+
+def payment_frame(html: Column) -> Column:
+    """Whether the page embeds a payment form; frames that only help or advertise don't count."""
+    frames = F.regexp_extract_all(html, F.lit(r"(?is)<iframe\b[^>]*\bsrc\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))
+    return F.coalesce(F.exists(frames, lambda x: x.rlike("(?i)^" + _FRAME) & ~x.rlike("(?i)^" + _HELPER)), F.lit(False))
+
+
 def sensitive(html: Column) -> Column:
-    """Whether the page asks for a password or a payment card."""
-    return F.coalesce(html.rlike(r"(?is)<input\b[^>]*\b(type\s*=\s*[\"']?password|autocomplete\s*=\s*[\"']?(cc-|current-password|new-password)|name\s*=\s*[\"']?(card[-_]?number|cvc|cvv|iban))"), F.lit(False))
+    """Whether the page asks for a password or a payment card, or embeds a payment form."""
+    return payment_frame(html) | F.coalesce(html.rlike(r"(?is)<input\b[^>]*\b(type\s*=\s*[\"']?password|autocomplete\s*=\s*[\"']?(cc-|current-password|new-password)|name\s*=\s*[\"']?(card[-_]?number|cvc|cvv|iban))"), F.lit(False))

@@ -62,18 +62,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def upsert_batches(spark: SparkSession, path: str):
-    """A ``foreachBatch`` sink: each micro-batch is folded into the archive in a new version, then the pointer moves.
+def upsert_batches(spark: SparkSession, path: str, stream: str = "batch"):
+    """A ``foreachBatch`` sink: each micro-batch is folded into the archive in a new version, which is then published.
 
-    Replaying a batch is harmless: its version exists already.  Late pages need
-    no watermark, as last seen only grows.
+    Replaying a batch is harmless: its version was published already.  Late pages
+    need no watermark, as last seen only grows; dates in the future are the
+    sender's to clamp (``operators.store.not_before``).  Give each checkpoint a
+    ``stream`` name of its own, as batch numbers start anew with a checkpoint.
     """
     from pagevault.operators import versions as V
 
     def sink(pages: DataFrame, batch: int) -> None:
-        if V.has(spark, path, f"batch-{batch}"):
+        if V.has(spark, path, f"{stream}-{batch}"):
             return
         held = V.current(spark, path)
-        V.publish(upsert(held, pages), path, f"batch-{batch}")
+        V.publish(upsert(held, pages), path, f"{stream}-{batch}")
 
     return sink
