@@ -51,7 +51,7 @@ def _oldest(pages: DataFrame, span: Column, over: Column) -> tuple[DataFrame, Da
     w = Window.orderBy(F.asc_nulls_first("_span")).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_before", F.coalesce(F.sum("_b").over(w), F.lit(0)) + F.col("_start")).where(F.col("_before") < over)
     # ``whole``: everything in it goes, as what is freed before its last page is still too little
-    spans = spans.select("_span", F.col("_before"), (F.col("_before") + F.col("_b") <= over).alias("_whole"))
+    spans = spans.select("_span", F.col("_before"), (F.col("_before") + F.col("_b") < over).alias("_whole"))
     met = pages.drop("before").withColumn("_of", span).join(spans, F.col("_of").eqNullSafe(F.col("_span")))
     kept = lambda x: x.drop("_of", "_span", "_whole").withColumnRenamed("_before", "before")
     return kept(met.where("_whole")), kept(met.where("NOT _whole"))

@@ -66,7 +66,7 @@ SQL = {n: f"WITH {_plan_sql(n)} SELECT id, bytes, reason FROM plan" for n in AGE
  p AS (SELECT *, bytes / {10.0 * CAP} AS fraction, ({C.NOW} - oldest) / 86400000.0 AS days FROM o)
  SELECT pages, pinned, bytes, round(fraction, 6) AS fraction, CASE WHEN fraction >= 1 THEN 'over' WHEN fraction >= 0.8 THEN 'warn' ELSE 'ok' END AS level, round(bytes / days, 3) AS bytes_per_day, floor(days + 0.5)::BIGINT AS days_observed,
  CASE WHEN fraction >= 1 THEN NULL WHEN ({10 * CAP} - bytes) / (bytes / days) > 3650 THEN NULL ELSE round({C.NOW} + ({10 * CAP} - bytes) / (bytes / days) * 86400000.0, 0) END AS exhausts_at FROM p""",
-    "log_merge": """WITH e AS (SELECT event_id AS id, event_id * 400000 + event_id * event_id % 7 * 60000 AS "at", CASE WHEN event_id // 3 % 2 = 0 THEN 'age' ELSE 'size' END AS reason, event_id % 5 AS count, event_id * 10 AS bytes_freed FROM events WHERE event_id < 400),
+    "log_merge": """WITH e AS (SELECT event_id AS id, event_id * 400000 + event_id * event_id % 7 * 60000 AS "at", CASE WHEN event_id // 3 % 2 = 0 THEN 'age' ELSE 'size' END AS reason, event_id % 5 AS count, event_id * 10 AS bytes_freed FROM events),
  f AS (SELECT *, CASE WHEN lag(reason) OVER w = reason AND "at" - lag("at") OVER w < 600000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (ORDER BY "at", id)),
  g AS (SELECT *, sum(new) OVER (ORDER BY "at", id) AS run FROM f)
  SELECT min(id) AS id, max("at") AS "at", reason, sum(count)::BIGINT AS count, sum(bytes_freed)::BIGINT AS bytes_freed, count(*) AS rounds FROM g GROUP BY run, reason ORDER BY "at" DESC, id DESC LIMIT 500""",
