@@ -11,6 +11,7 @@ from pagevault.functions import text as X
 from pagevault.functions import urls as U
 from pagevault.operators import index as I
 from pagevault.operators import store as O
+from pagevault.operators.scratch import settle
 
 STILL_READING = "still reading"
 NO_TEXT, LITTLE_TEXT = "nothing to index", "too little text to be worth finding later"
@@ -37,8 +38,9 @@ def contents(pages: DataFrame, archive: DataFrame, policy: dict, now: int) -> Da
     no = F.lit(False)
     said = R.reason(F.col("url"), password_field=F.coalesce("has_password_field", no), **policy)
     c = pages.withColumn("_said", F.when(F.col("url").isNull(), "no address").otherwise(said)).withColumn("_canon", U.canonical_for(F.col("url"), F.coalesce("canonical", F.lit(""))))
-    c = c.withColumn("filed", F.when((F.col("_canon") == F.col("url")) | (R.reason(F.col("_canon"), **policy) == "ok"), F.col("_canon")).otherwise(F.col("url")))
-    c = c.withColumns({"page_text": X.truncated(F.coalesce("text", F.lit(""))), "page_title": F.left(F.coalesce("title", F.lit("")), F.lit(S.TITLE_CHARS)), "_key": U.url_key(F.col("filed"))})
+    c = c.withColumns({"page_text": X.truncated(F.coalesce("text", F.lit(""))), "page_title": F.left(F.coalesce("title", F.lit("")), F.lit(S.TITLE_CHARS))})
+    c = settle(c, "contents")  # or the address's parts would be parsed anew wherever they are used below
+    c = settle(c.withColumn("filed", F.when((F.col("_canon") == F.col("url")) | (R.reason(F.col("_canon"), **policy) == "ok"), F.col("_canon")).otherwise(F.col("url"))), "filed").withColumn("_key", U.url_key(F.col("filed")))
     explicit = F.coalesce("explicit", no)
     fine = O.long_enough(F.col("page_title"), F.col("page_text"), explicit)
     c = c.withColumn("reason", F.when(F.col("_said") != "ok", F.col("_said")).when(F.trim("page_text") == "", NO_TEXT).when(~fine, LITTLE_TEXT).otherwise("ok")).withColumn("ok", F.col("reason") == "ok")

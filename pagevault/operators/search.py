@@ -202,3 +202,10 @@ def search(ix: Index, queries: Sequence[tuple[int, Query]], now: int, limit: int
     shown = resolve(ix.dictionary, words_table(spark, [q for q in queries if not q[1].empty]), filters.get("languages", ()), filters.get("stem"))
     marks = shown.groupBy("query").agg(F.array_distinct(F.concat(F.collect_set("word"), F.collect_set("term"))).alias("marks"))
     return page.join(small(settle(marks, "marks")), "query").withColumn("snippet", snippet_udf("text", "marks")).drop("text", "marks")
+
+
+def quality(page: DataFrame, known: DataFrame) -> DataFrame:
+    """One row over known-item queries (query, id): mean reciprocal rank, share among the first three, and how many; an item not found counts 0."""
+    at = known.join(page.select("query", "id", "rank"), ["query", "id"], "left")
+    top3 = F.avg(F.when(F.col("rank") <= 3, 1.0).otherwise(0.0))
+    return at.agg(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"), top3.alias("top3"), F.count(F.lit(1)).alias("queries"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagevault.plans import budget, indexing, pages, retrieval, streams
+from pagevault.plans import budget, engine, indexing, pages, retrieval, streams, vectors
 
-MODULES = (indexing, retrieval, pages, budget, streams)
+MODULES = (indexing, retrieval, pages, budget, streams, engine, vectors)
 
 
 def queries() -> dict:
