@@ -245,7 +245,7 @@ def test_offers(spark, tmp_path):
     ticks, ms, scroll = [], 0, 0.0
     for i in range(300):
         ms += rng.choice([2500, 2500, 2500, 700, 40_000])
-        scroll = min(1.0, scroll + rng.choice([0, 0, 0, 0.02]))
+        scroll = min(1.0, scroll + rng.choice([0, 0, 0, 0.06]))
         if i % 60 == 0:
             scroll = 0.0
         ticks.append((f"https://a.example/{i // 60}#{i}", ms, rng.random() > 0.1, scroll, 900, False, "no" if i // 60 == 3 else None))
