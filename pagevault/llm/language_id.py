@@ -132,10 +132,11 @@ def scored(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
         for i, j in W.blocks(offsets):
             total = np.zeros((j - i, logs.shape[1]))
             some = np.zeros(j - i, dtype=np.int64)
-            for lo in range(int(offsets[i]), int(offsets[j]), W.PIECE):
-                hi = min(int(offsets[j]), lo + W.PIECE)
-                h, ok = trigrams(raw[lo:hi])
-                at = np.clip(offsets[i : j + 1] - lo, 0, hi - lo)
+            apart, begins = W.spaced(raw, offsets, i, j)  # no trigram spans two texts
+            for lo in range(0, len(apart), W.PIECE):
+                hi = min(len(apart), lo + W.PIECE)
+                h, ok = trigrams(apart[lo:hi])
+                at = np.clip(begins - lo, 0, hi - lo)
                 cum = np.zeros(hi - lo + 1)
                 np.cumsum(ok, out=cum[1:])
                 some += np.diff(cum[at]).astype(np.int64)
@@ -160,7 +161,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     if not langs:
         return docs.select(*[col(c) for c in columns], F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"))
     n = len(langs)
-    ll, vote, of, claim, c, d, s, said, logs = free(docs, "_ll", "_vote", "_of_host", "_claim", "_hosts", "_domains", "_suffixes", "_said_by", "_logs")
+    ll, vote, of, claim, c, d, s, said, logs, c_all, d_all = free(docs, "_ll", "_vote", "_of_host", "_claim", "_hosts", "_domains", "_suffixes", "_said_by", "_logs", "_in_host", "_in_domain")
     best = F.when(_best(F.col(ll)) < n, _best(F.col(ll)).cast("int"))
     rows = settle(docs.withColumn(ll, scored(docs, model, text)), "likelihoods").withColumn(vote, best)
     seen = rows.select(col(host).alias("_host"), col(declared).alias("_said"), F.col(vote).alias("_l"))
@@ -175,14 +176,15 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     hosts = counts.where(F.col("_host").isNotNull()).groupBy("_host").agg(*by).withColumns({"_suffix": suffix, "_domain": domain})
     added = lambda key, to: hosts.groupBy(F.col(key).alias(f"{key}2")).agg(F.array(*[F.sum(x) for x in names]).alias(to))
     joined = hosts.join(added("_domain", d), F.col("_domain") == F.col("_domain2")).join(added("_suffix", s), F.col("_suffix") == F.col("_suffix2"), "left")
-    per_host = small(settle(joined.select(F.col("_host").alias(of), F.array(*names).alias(c), d, s), "hosts"), BROADCAST_ENTRIES // (3 * n))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+    per_host = joined.select(F.col("_host").alias(of), F.array(*names).alias(c), d, s, total(F.array(*names)).alias(c_all), total(F.col(d)).alias(d_all))
+    per_host = small(settle(per_host, "hosts"), BROADCAST_ENTRIES // (3 * n))
     claims = counts.where(F.col("_said").isNotNull()).groupBy(F.col("_said").alias(claim)).agg(*by).select(claim, F.array(*names).alias(said))
     per_claim = small(settle(claims, "declared"), BROADCAST_ENTRIES // n)
     both = rows.join(per_host, col(host) == F.col(of), "left").join(per_claim, col(declared) == F.col(claim), "left")
 
     own = lambda i: F.when(F.col(vote) == i, 1.0).otherwise(0.0)
     voted = F.when(F.col(vote).isNotNull(), 1.0).otherwise(0.0)
-    total = lambda x: F.aggregate(F.col(x), F.lit(0).cast("long"), lambda a, y: a + y) - voted
     at = lambda x, i: F.get(F.col(x), i) - own(i)
     everywhere = F.array(*[F.lit(float(x)) for x in whole])
 
@@ -190,8 +192,8 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
         """Log of P(l | h) P(s | l) P(d | l) for language i, the row's own vote left out."""
         mine = F.get(everywhere, i) - own(i)
         prior = (mine + SMOOTH) / (F.lit(float(sum(whole))) - voted + SMOOTH * n)
-        near = (at(d, i) + KAPPA_DOMAIN * prior) / (total(d) + KAPPA_DOMAIN)
-        here = F.when(F.col(c).isNull(), prior).otherwise((at(c, i) + KAPPA_HOST * near) / (total(c) + KAPPA_HOST))
+        near = (at(d, i) + KAPPA_DOMAIN * prior) / (F.col(d_all) - voted + KAPPA_DOMAIN)
+        here = F.when(F.col(c).isNull(), prior).otherwise((at(c, i) + KAPPA_HOST * near) / (F.col(c_all) - voted + KAPPA_HOST))
         ends = F.when(F.col(s).isNull(), 0.0).otherwise(F.log((at(s, i) + SMOOTH) / (mine + SMOOTH * 2)))
         says = F.when(F.col(said).isNull(), 0.0).otherwise(F.log((at(said, i) + SMOOTH) / (mine + SMOOTH * (n + 1))))
         return F.log(here) + ends + says

@@ -153,25 +153,25 @@ def blocks(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def block_words(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of rows i to j-1: starts, ends (offsets into ``raw``), hashes and n+1 row boundaries.
+def spaced(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i to j-1 with a space after each, so that nothing runs on from row to row, and where each begins (and the end)."""
+    lo, hi = int(offsets[i]), int(offsets[j])
+    sizes = np.diff(offsets[i : j + 1])
+    out = np.full(hi - lo + (j - i), 32, dtype=np.uint8)
+    keep = np.ones(len(out), dtype=bool)
+    keep[np.cumsum(sizes) + np.arange(j - i)] = False
+    out[keep] = raw[lo:hi]
+    return out, np.concatenate([[0], np.cumsum(sizes + 1)])
 
-    A word never spans two rows: rows are hashed one by one where they touch
-    without a separator in between.
-    """
+
+def block_words(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of rows i to j-1: starts, ends (offsets into ``raw``), hashes and n+1 row boundaries."""
     lo, hi = int(offsets[i]), int(offsets[j])
     if j - i == 1:
         s, e, h = words(raw[lo:hi])
         return s + lo, e + lo, h, np.array([0, len(h)])
-    # a separator between the rows, so that a word cannot run on
-    sizes = np.diff(offsets[i : j + 1])
-    shift = np.arange(j - i)
-    spaced = np.full(hi - lo + (j - i), 32, dtype=np.uint8)
-    keep = np.ones(len(spaced), dtype=bool)
-    keep[np.cumsum(sizes) + shift] = False
-    spaced[keep] = raw[lo:hi]
-    s, e, h = words(spaced)
-    begins = np.concatenate([[0], np.cumsum(sizes + 1)])
+    apart, begins = spaced(raw, offsets, i, j)
+    s, e, h = words(apart)
     bounds = np.searchsorted(s, begins)
-    row = np.repeat(shift, np.diff(bounds))
+    row = np.repeat(np.arange(j - i), np.diff(bounds))
     return s - row + lo, e - row + lo, h, bounds

@@ -384,11 +384,11 @@ def test_language(spark, hard):
     langs = ["de" if i % 3 == 0 else "en" for i in range(300)]
     langs[0] = None
     docs = table(spark, [*texts, "", None, "9 9 9", "qxjzk wvqxz zzxqj kqxvw qqxz jxqzv wxzq" * 5], langs=[*langs, "en", "en", "en", None], sources=["w.a.example"] * 304)
-    got = {r.doc_id: r for r in language_id.identify(docs.drop("language")).collect()}
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
     assert all(got[i].language == ("de" if i % 3 == 0 else "en") for i in range(300)) and all(got[i].language == "und" for i in (300, 301, 302, 303))
-    assert language_id.identify(hard.drop("language")).count() == len(HARD)
-    assert {r.language for r in language_id.identify(hard.drop("language").where("lang IS NULL")).collect()} == {"und"}
-    assert language_id.identify(hard.drop("language").limit(0)).count() == 0
+    assert language_id.identify(hard).count() == len(HARD)
+    assert {r.language for r in language_id.identify(hard.where("lang IS NULL")).collect()} == {"und"}
+    assert language_id.identify(hard.limit(0)).count() == 0
 
 
 def test_language_sample(spark):
