@@ -2,7 +2,9 @@
 
 Pages are a versioned table; settings and sweep state are numbered texts; the
 deletion log is a table that is only appended to.  Whatever deletes leaves a row
-in the log.  Each change is one new version, published whole or not at all.
+in the log.  Each change is one new version, published whole or not at all; it
+reads and writes the parts of the archive that hold the pages it changes, and the
+index follows part by part.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pagevault.functions import text as X
 from pagevault.functions import urls as U
 from pagevault.functions.query import parse
 from pagevault.operators import capture as C
+from pagevault.operators import index as I
 from pagevault.operators import retention as K
 from pagevault.operators import search as Q
 from pagevault.operators import store as O
@@ -69,28 +72,44 @@ class Engine:
 
     # --- pages ---
 
-    def archive(self) -> DataFrame:
-        return V.current(self.spark, f"{self.path}/archive")
+    @property
+    def _pages(self) -> str:
+        return f"{self.path}/archive"
 
-    def _publish(self, table: DataFrame) -> None:
-        where = f"{self.path}/archive"
-        n = len(V.pointers(self.spark, where).numbers())
-        last = V.pointers(self.spark, where).numbers()[-1] if n else 0
-        V.publish(table, where, f"version-{last + 1:09d}-{self.now()}")
+    def archive(self, parts: list[int] | None = None) -> DataFrame:
+        """The current version, or some of its parts."""
+        return V.current(self.spark, self._pages, parts=parts)
+
+    def _publish(self, table: DataFrame, parts: list[int] | None = None) -> None:
+        """A new version, of the whole archive or of the parts that change."""
+        held = V.pointers(self.spark, self._pages).numbers()
+        V.publish(table, self._pages, f"version-{(held[-1] if held else 0) + 1:09d}-{self.now()}", parts=parts)
+
+    def _touched(self, keys: DataFrame) -> tuple[list[int], int]:
+        """The parts that pages with these keys, or new ones, are in, and the last id."""
+        held = self.archive()
+        return V.around(self.spark, self._pages, O.matching(held, settle(keys, "keys"))), O.last_id(held)
+
+    def _fold(self, pages: DataFrame, parts: list[int], top: int) -> None:
+        near = self.archive(parts)
+        self._publish(C.measured(near, settle(O.upsert(near, pages, top=top), "upserted")), parts)
 
     def index(self) -> Index:
-        """The saved index of the current version, built when it is first asked for."""
-        held = V.current_version(self.spark, f"{self.path}/archive")
+        """The index of the current version; parts that were not indexed yet are when it is first asked for."""
+        held = V.current_version(self.spark, self._pages)
         if held is None or held[1] == V.EMPTY:
             return Index.of(self.archive())
-        where = f"{self.path}/index/{held[1]}"
-        fs, done = V.file_system(self.spark, f"{where}/dictionary/_SUCCESS")  # written last
-        if not fs.exists(done):
-            Index.of(self.archive()).save(where)
-        return Index.load(self.spark, where)
+        parts, where = V.part_list(self.spark, self._pages, held[1]), f"{self.path}/index"
+        if parts is None:
+            return Index.of(self.archive())
+        for v in sorted(set(parts.values())):
+            fs, done = V.file_system(self.spark, f"{where}/{v}/terms/_SUCCESS")
+            if not fs.exists(done):
+                I.save_parts(self.archive([p for p, x in parts.items() if x == v]), f"{where}/{v}")
+        return I.load_parts(self.archive(), where, parts, f"{where}/{held[1]}/dictionary")
 
     def upgrade(self, migrations=()) -> list[str]:
-        return V.upgrade(self.spark, f"{self.path}/archive", migrations)
+        return V.upgrade(self.spark, self._pages, migrations)
 
     # --- reading ---
 
@@ -140,15 +159,17 @@ class Engine:
     # --- changing ---
 
     def pin(self, id: int, value: bool = True) -> None:
-        self._publish(O.pin(self.archive(), id, value))
+        parts = [id >> V.PART_BITS]
+        self._publish(O.pin(self.archive(parts), id, value), parts)
 
     def _remove(self, ids: DataFrame, reason: str) -> dict:
         """Delete pages in one version and log it; nothing happens where none of the ids is a page."""
-        held = self.archive()
         ids = settle(ids.select("id"), "gone")
+        parts = V.parts_of(ids)
+        held = self.archive(parts)
         n = O.deletion(held, ids).first().asDict()
         if n["deleted"]:
-            self._publish(O.without(held, ids))
+            self._publish(O.without(held, ids), parts)
             self._log(reason, n["deleted"], n["bytes_freed"])
         return n
 
@@ -180,9 +201,10 @@ class Engine:
 
     def capture(self, contents: DataFrame) -> DataFrame:
         """File captured contents; every row's outcome comes back."""
-        held = self.archive()
-        judged = settle(C.contents(contents, held, self._policy(), self.now()), "judged")
-        self._publish(C.measured(held, settle(O.upsert(held, C.as_pages(judged)), "upserted")))
+        canonical = U.canonical_for(F.col("url"), F.coalesce("canonical", F.lit("")))
+        parts, top = self._touched(contents.select(F.explode(F.array(U.url_key(F.col("url")), U.url_key(canonical))).alias("url_key")))
+        judged = settle(C.contents(contents, self.archive(parts), self._policy(), self.now()), "judged")
+        self._fold(C.as_pages(judged), parts, top)
         return judged
 
     def offers(self, candidates: DataFrame) -> DataFrame:
@@ -190,11 +212,10 @@ class Engine:
 
     def import_pages(self, rows: DataFrame) -> dict[str, int]:
         """Import rows with ``arrival``; the exclusions hold, a pause or the mode don't.  How many came to which end."""
-        held = self.archive()
+        parts, top = self._touched(rows.select(U.url_key(F.col("url")).alias("url_key")))
         verdict = R.reason(F.col("url"), self.settings().rules(self.bundles))
-        judged = settle(C.imports(rows, held, verdict != "ok", self.now()), "imports")
-        stored = judged.where("stored").select(*C.PAGE, "arrival")
-        self._publish(C.measured(held, settle(O.upsert(held, stored), "upserted")))
+        judged = settle(C.imports(rows, self.archive(parts), verdict != "ok", self.now()), "imports")
+        self._fold(judged.where("stored").select(*C.PAGE, "arrival"), parts, top)
         tally = {r.status: r.n for r in judged.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
         return {k: tally.get(k, 0) for k in ("imported", "skipped", "failed", "excluded")}
 
@@ -214,7 +235,8 @@ class Engine:
         n = K.summary(plan).first()
         evicted = n["age"] + n["size"]
         if evicted:
-            self._publish(O.without(held, plan))
+            parts = V.parts_of(plan)
+            self._publish(O.without(self.archive(parts), plan), parts)
             self._log(n["reason"], evicted, n["bytes_freed"], n["age"], n["size"])
         unmeetable = total - n["bytes_freed"] > s.size_cap_bytes
         self._set_state(last_sweep=now, cap_unmeetable=unmeetable, clock_problem=problem, clock_hold_until=hold)

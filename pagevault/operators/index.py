@@ -11,9 +11,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagevault import schemas as S
 from pagevault.functions import text as X
+from pagevault.operators.versions import file_system, part_of, parts_in
+
+TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("df", T.LongType())])
 
 
 def tokens(archive: DataFrame) -> DataFrame:
@@ -87,6 +91,28 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("archive", "postings", "dictionary")))
 
 
+def save_parts(archive: DataFrame, path: str) -> None:
+    """Postings of some parts of an archive, and the words of each part with their pages (``terms``, written last)."""
+    rows = postings(tokens(archive)).withColumn("_part", part_of(F.col("id")))
+    rows.repartitionByRange("_part", "term", "id").sortWithinPartitions("_part", "term", "id").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/postings")
+    spark = archive.sparkSession
+    saved = spark.read.schema(T.StructType([*S.POSTINGS.fields, T.StructField("_part", T.LongType())])).parquet(f"{path}/postings")
+    saved.groupBy("_part", "term").agg(F.count(F.lit(1)).alias("df")).hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/terms")
+
+
+def load_parts(archive: DataFrame, path: str, parts: dict[int, str], words: str) -> Index:
+    """The index of an archive whose parts were indexed under ``path``/version; the dictionary of all is kept at ``words``."""
+    spark = archive.sparkSession
+    held = {v: set(parts_in(spark, f"{path}/{v}/terms")) for v in set(parts.values())}  # a part without words has no folder
+    some = [(v, p) for p, v in sorted(parts.items()) if p in held[v]]
+    read = lambda table, schema: spark.read.schema(schema).parquet(*[f"{path}/{v}/{table}/_part={p}" for v, p in some]) if some else spark.createDataFrame([], schema)
+    fs, done = file_system(spark, f"{words}/_SUCCESS")
+    if not fs.exists(done):
+        whole = read("terms", TERMS).groupBy("term").agg(F.sum("df").cast("long").alias("df"))
+        whole.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(words)
+    return Index(archive, read("postings", S.POSTINGS), spark.read.schema(TERMS).parquet(words))
+
+
 def invariants(ix: Index) -> DataFrame:
     """Violations by kind; all counts are 0 in a sound index."""
     p, a = ix.postings, ix.archive

@@ -87,9 +87,21 @@ def numbered(rows: DataFrame, by: str, then: str) -> DataFrame:
     return met.withColumn("number", F.col("_place") + F.col("_before")).drop("_part", "_place", "_of", "_before")
 
 
-def upsert(archive: DataFrame, pages: DataFrame, order: str = "arrival") -> DataFrame:
+def matching(archive: DataFrame, keys: DataFrame) -> DataFrame:
+    """Ids of the pages whose key is given; of the archive only two columns are read."""
+    return archive.select("id", "url_key").join(keys.select("url_key").distinct(), "url_key", "left_semi").select("id")
+
+
+def last_id(archive: DataFrame) -> int:
+    return archive.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+
+def upsert(archive: DataFrame, pages: DataFrame, order: str = "arrival", top: int | None = None) -> DataFrame:
     """Fold incoming pages (``schemas.PAGE_INPUT`` and an arrival number) into the archive.
 
+    The archive may be a part of one, as long as it holds every page whose key
+    comes in; then ``top`` is the last id of the whole.
+
     Pages of one key are folded in order of arrival: the same content counts a
     visit; other content replaces the text in place (same id, first seen and pin
     kept unless given); last seen never moves back.  New pages get the next ids
@@ -113,7 +125,7 @@ def upsert(archive: DataFrame, pages: DataFrame, order: str = "arrival") -> Data
     visits = F.when(F.col("n_restart").isNull(), F.coalesce("visit_count", F.lit(0)) + F.size("n_orders")).otherwise(
         F.col("n_restart.v") + F.size(F.filter("n_orders", lambda o: o > F.col("n_restart.o")))
     )
-    top = archive.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    top = archive.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if top is None else F.lit(top)
     both = archive.join(folded, "url_key", "full")
     ids = numbered(both.where(F.col("id").isNull()).select("url_key", "n_arrival"), "n_arrival", "url_key").select("url_key", (F.col("number") + top).cast("long").alias("_id"))
     both = both.join(ids, "url_key", "left")

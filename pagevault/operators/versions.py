@@ -1,7 +1,10 @@
 """A versioned table directory: write a new version, check it, then publish it under the next number.
 
-There is no MERGE without a table format on the class path, so a change is a
-whole new version.  A version is published by a pointer file whose name is a
+There is no MERGE without a table format on the class path, so a change is a new
+version.  Rows lie in parts by ranges of ids; a version writes the parts that it
+changes, and its list of parts names for all others the version that wrote them,
+so that a change costs what it touches, not the whole table.  A version is
+published by a pointer file whose name is a
 number that has never been used; pointers are never replaced, so whatever step a
 writer dies at, readers see the last version that was published whole.  A folder
 that holds versions but no pointer is refused rather than taken for empty.
@@ -9,16 +12,19 @@ that holds versions but no pointer is refused rather than taken for empty.
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagevault.schemas import ARCHIVE
 
 FORMAT = 1
 EMPTY = "-"  # the version that the first pointer names
+PART_BITS = 20  # a part holds the ids that are equal but for so many low bits; the list of parts stays short
 
 
 def file_system(spark: SparkSession, path: str):
@@ -26,6 +32,22 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _text(spark: SparkSession, path: str) -> str:
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _create(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = file_system(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 class Journal:
     """Small texts under rising numbers in one folder; the newest counts, none is ever replaced."""
 
@@ -39,12 +61,7 @@ class Journal:
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit())
 
     def read(self, number: int) -> str:
-        fs, p = file_system(self.spark, f"{self.path}/{number:012d}")
-        stream = fs.open(p)
-        try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        return _text(self.spark, f"{self.path}/{number:012d}")
 
     def newest(self) -> str | None:
         held = self.numbers()
@@ -58,9 +75,7 @@ class Journal:
             raise OSError(f"{self.path} has moved on from {after} to {last}")
         fs, to = file_system(self.spark, f"{self.path}/{last + 1:012d}")
         _, new = file_system(self.spark, f"{self.path}/.{uuid.uuid4().hex}")
-        out = fs.create(new, False)
-        out.write(bytearray(text.encode()))
-        out.close()
+        _create(self.spark, new.toString(), text)
         if fs.exists(to) or not fs.rename(new, to):
             fs.delete(new, False)
             raise OSError(f"{to} was written by another writer")
@@ -106,40 +121,101 @@ def has(spark: SparkSession, path: str, version: str) -> bool:
     return any(_split(journal.read(n))[1] == version for n in reversed(journal.numbers()))
 
 
-def current(spark: SparkSession, path: str, schema=ARCHIVE) -> DataFrame:
-    """The current version; an empty table if nothing was published yet.  A newer format is refused."""
+def part_of(id: Column) -> Column:
+    """The part of an id; all null ids are in one part."""
+    return F.coalesce(F.shiftright(id, PART_BITS), F.lit(-1))
+
+
+def parts_of(ids: DataFrame) -> list[int]:
+    """The parts of a table's ids: one number for each 2 ** ``PART_BITS`` ids at most."""
+    return sorted(r[0] for r in ids.select(part_of(F.col("id"))).distinct().collect())
+
+
+def around(spark: SparkSession, path: str, ids: DataFrame) -> list[int]:
+    """The parts of the ids, and the one that the next id belongs to: all that a change of these pages and new ones can touch."""
+    held = current(spark, path)
+    after = held.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
+    return sorted({*parts_of(ids), *parts_of(after)})
+
+
+def part_list(spark: SparkSession, path: str, version: str) -> dict[int, str] | None:
+    """The version that wrote each part of a version; None for a version that was written in one piece."""
+    if version == EMPTY:
+        return {}
+    fs, p = file_system(spark, f"{path}/{version}/_parts")
+    if not fs.exists(p):
+        return None
+    return {int(k): v for k, v in json.loads(_text(spark, f"{path}/{version}/_parts")).items()}
+
+
+def current(spark: SparkSession, path: str, schema=ARCHIVE, parts: Iterable[int] | None = None) -> DataFrame:
+    """The current version, or some of its parts; an empty table if nothing was published yet.  A newer format is refused."""
     held = current_version(spark, path)
-    if held is None or held[1] == EMPTY:
-        return spark.createDataFrame([], schema)
-    if held[0] > FORMAT:
+    if held is not None and held[0] > FORMAT:
         raise ValueError(f"the archive has format {held[0]}; this code reads up to {FORMAT}")
-    return spark.read.parquet(f"{path}/{held[1]}")
+    return spark.createDataFrame([], schema) if held is None else _read(spark, path, held[1], schema, parts)
+
+
+def _read(spark: SparkSession, path: str, version: str, schema=ARCHIVE, parts: Iterable[int] | None = None) -> DataFrame:
+    listed = part_list(spark, path, version)
+    if listed is None:
+        whole = spark.read.parquet(f"{path}/{version}")
+        return whole if parts is None else whole.where(part_of(F.col("id")).isin(*parts))
+    folders = [f"{path}/{v}/_part={p}" for p, v in sorted(listed.items()) if parts is None or p in set(parts)]
+    return spark.read.parquet(*folders) if folders else spark.createDataFrame([], schema)
+
 
+def publish(table: DataFrame, path: str, version: str, key: str = "url_key", form: int = FORMAT, parts: Iterable[int] | None = None) -> None:
+    """Write a version, count it back, and point to it.
 
-def publish(table: DataFrame, path: str, version: str, key: str = "url_key", form: int = FORMAT) -> None:
-    """Write a version, count it back, and point to it."""
+    With ``parts`` the table replaces those parts only (and may hold new ones); all
+    others stay as they are in the current version.
+    """
     spark = table.sparkSession
     journal = pointers(spark, path)
-    if current_version(spark, path) is None:
+    held = current_version(spark, path)
+    if held is None:
         journal.append(f"{form}\t{EMPTY}", 0)
+        held = form, EMPTY
     if has(spark, path, version):
         raise ValueError(f"version {version} was published before")
     after = journal.numbers()[-1]
-    table.write.mode("overwrite").parquet(f"{path}/{version}")
-    n, keys = spark.read.parquet(f"{path}/{version}").selectExpr("count(*)", f"count(distinct {key})").first()
-    if n != keys:
-        raise ValueError("a key stands twice in the new version")
+    before = part_list(spark, path, held[1]) if parts is not None else {}
+    if before is None:
+        raise ValueError(f"version {held[1]} was written in one piece; publish the whole table once")
+    # tasks of even size, of one part each where parts are large; small parts share a task
+    table.withColumn("_part", part_of(F.col("id"))).hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/{version}")
+    written = parts_in(spark, f"{path}/{version}")
+    stay = {p: v for p, v in before.items() if p not in set(parts or ())}
+    if both := sorted(stay.keys() & set(written)):
+        raise ValueError(f"the new version holds rows of parts {both[:3]}, which it was not to replace")
+    _create(spark, f"{path}/{version}/_parts", json.dumps(stay | dict.fromkeys(written, version)))
+    if written:
+        n, keys = spark.read.parquet(f"{path}/{version}").selectExpr("count(*)", f"count(distinct {key})").first()
+        if n != keys:
+            raise ValueError("a key stands twice in the new version")
     journal.append(f"{form}\t{version}", after)
 
 
+def parts_in(spark: SparkSession, folder: str) -> list[int]:
+    """The parts that a folder holds files of."""
+    fs, p = file_system(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return [int(n.removeprefix("_part=")) for n in names if n.startswith("_part=")]
+
+
 def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
-    """Remove all versions but those of the newest ``keep`` pointers; their names come back."""
+    """Remove all versions and parts but those that the newest ``keep`` pointers need; the names of removed versions come back."""
     journal = pointers(spark, path)
     numbers = journal.numbers()
-    stay = {_split(journal.read(n))[1] for n in numbers[-keep:]}
+    named = {_split(journal.read(n))[1] for n in numbers[-keep:]}
+    lists = {v: part_list(spark, path, v) for v in named}
+    needed = {(v, p) for x in lists.values() for p, v in (x or {}).items()}
+    stay = named | {v for v, _ in needed}
     gone = [v for v in _versions(spark, path) if v not in stay] if numbers else []
     journal.forget(keep)
-    for v in gone:
+    dead = [f"{v}/_part={p}" for v in stay - {EMPTY} for p in parts_in(spark, f"{path}/{v}") if (v, p) not in needed] if numbers else []
+    for v in [*gone, *dead]:
         fs, p = file_system(spark, f"{path}/{v}")
         fs.delete(p, True)
     return gone
@@ -172,7 +248,7 @@ def upgrade(spark: SparkSession, path: str, migrations: Sequence[Migration] = ()
         if held[1] == EMPTY:
             pointers(spark, path).append(f"{m.form}\t{EMPTY}")
         else:
-            old = spark.read.parquet(f"{path}/{held[1]}")
+            old = _read(spark, path, held[1])
             new = m.run(old)
             lost = old.select("id").exceptAll(new.select("id")).count(), new.select("id").exceptAll(old.select("id")).count()
             if any(lost):

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagevault import schemas as S
-from pagevault.operators.store import upsert
+from pagevault.operators.scratch import settle
+from pagevault.operators.store import keyed, last_id, matching, upsert
 
 TICK_MS = 3000  # most that one tick adds
 OFFER_MS = 5000
@@ -135,6 +136,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 def upsert_batches(spark: SparkSession, path: str, stream: str = "batch"):
     """A ``foreachBatch`` sink: each micro-batch is folded into the archive in a new version, which is then published.
 
+    Only the parts that hold pages of the batch, and the one that new ids go to, are
+    written; of the others two narrow columns are read, ids and keys.
+
     Replaying a batch is harmless: its version was published already.  Late pages
     need no watermark, as last seen only grows; dates in the future are the
     sender's to clamp (``operators.store.not_before``).  Give each checkpoint a
@@ -146,6 +150,8 @@ def upsert_batches(spark: SparkSession, path: str, stream: str = "batch"):
         if V.has(spark, path, f"{stream}-{batch}"):
             return
         held = V.current(spark, path)
-        V.publish(upsert(held, pages), path, f"{stream}-{batch}")
+        pages = settle(pages, "batch")
+        parts, top = V.around(spark, path, matching(held, keyed(pages))), last_id(held)
+        V.publish(upsert(V.current(spark, path, parts=parts), pages, top=top), path, f"{stream}-{batch}", parts=parts)
 
     return sink

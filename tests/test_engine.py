@@ -179,6 +179,39 @@ def test_versions_survive(spark, tmp_path, monkeypatch):
         V.current(spark, path)
 
 
+def test_a_change_writes_the_parts_it_touches(spark, engine, monkeypatch):
+    monkeypatch.setattr(V, "PART_BITS", 8)
+    rows = spark.range(600).selectExpr("concat('https://s', id % 7, '.example/', id) url", "'t' title", "concat('word', id % 5, ' common') text", "id + 1000 last_seen", "false pinned", "null first_seen", "null visit_count", "id arrival")
+    rows = spark.createDataFrame(rows.collect(), PAGE)
+    assert engine.import_pages(rows)["imported"] == 600
+    listed = lambda: V.part_list(spark, engine._pages, V.current_version(spark, engine._pages)[1])
+    first = listed()
+    assert sorted(first) == [0, 1, 2] and len(set(first.values())) == 1
+    assert engine.search("common").first().total == 600
+    engine.pin(300)
+    pinned = listed()
+    assert [p for p in pinned if pinned[p] != first[p]] == [1] and told(engine.archive().where("pinned"), "id") == [(300,)]
+    assert engine.forget("page", 5)["deleted"] == 1
+    engine.capture(contents(spark, ("https://s0.example/7", None, "t", LONG + "common", NOW, False, False), ("https://new.example/", None, "t", LONG + "common", NOW, False, False)))
+    last = listed()
+    assert last[1] == pinned[1] and last[0] == last[2] != first[2]
+    a = engine.archive()
+    assert (a.count(), a.agg(F.max("id")).first()[0], a.where("url_key = 'https://s0.example/7'").first().visit_count) == (600, 601, 2)
+    # index and meter are those of an archive that was built at once
+    built, kept = I.Index.of(a), engine.index()
+    assert kept.postings.exceptAll(built.postings).count() == built.postings.exceptAll(kept.postings).count() == 0
+    assert kept.dictionary.exceptAll(built.dictionary).count() == built.dictionary.exceptAll(kept.dictionary).count() == 0
+    assert engine.search("common").first().total == 600 and all(r.n == 0 for r in I.invariants(kept).collect())
+    before = set(V.parts_in(spark, f"{engine._pages}/{first[1]}"))
+    V.vacuum(spark, engine._pages, 1)
+    assert before == {0, 1, 2} and V.parts_in(spark, f"{engine._pages}/{pinned[1]}") == [1] and engine.archive().count() == 600
+    with pytest.raises(ValueError, match="not to replace"):
+        V.publish(engine.archive(), engine._pages, "wrong", parts=[1])
+    engine.wipe()
+    assert engine.archive().count() == 0 and engine.search("common").count() == 0
+    assert engine.import_pages(rows.limit(1))["imported"] == 1 and told(engine.archive(), "id") == [(1,)]
+
+
 def test_export_events(spark, tmp_path):
     doc = '{"note": {"pages": [{"url": "no"}]}, "format": "page-\\u0061rchive", "pages": [{"url": "https://a/", "t": "br{ace\\" ]"}, {"url": bad}, {"url": "https://b/", "n": [1, {"x": 2}]}], "x": 1}'
     want = [("format", "page-archive"), ("page", {"url": "https://a/", "t": 'br{ace" ]'}), ("bad", '{"url": bad}'), ("page", {"url": "https://b/", "n": [1, {"x": 2}]})]
