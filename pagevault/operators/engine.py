@@ -111,6 +111,14 @@ class Engine:
     def upgrade(self, migrations=()) -> list[str]:
         return V.upgrade(self.spark, self._pages, migrations)
 
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Remove versions, parts and indexes that the newest ``keep`` versions don't need; no reader may be at older ones."""
+        gone = V.vacuum(self.spark, self._pages, keep)
+        for v in gone:
+            fs, p = V.file_system(self.spark, f"{self.path}/index/{v}")
+            fs.delete(p, True)
+        return gone
+
     # --- reading ---
 
     def search(self, text: str, limit: int = S.PAGE, offset: int = 0, recent: bool = False, snippets: bool = True, **filters) -> DataFrame:

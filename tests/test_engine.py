@@ -203,7 +203,8 @@ def test_a_change_writes_the_parts_it_touches(spark, engine, monkeypatch):
     assert kept.dictionary.exceptAll(built.dictionary).count() == built.dictionary.exceptAll(kept.dictionary).count() == 0
     assert engine.search("common").first().total == 600 and all(r.n == 0 for r in I.invariants(kept).collect())
     before = set(V.parts_in(spark, f"{engine._pages}/{first[1]}"))
-    V.vacuum(spark, engine._pages, 1)
+    engine.vacuum(1)
+    assert engine.search("common").first().total == 600
     assert before == {0, 1, 2} and V.parts_in(spark, f"{engine._pages}/{pinned[1]}") == [1] and engine.archive().count() == 600
     with pytest.raises(ValueError, match="not to replace"):
         V.publish(engine.archive(), engine._pages, "wrong", parts=[1])
