@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagevault import schemas as S
-from pagevault.operators.scratch import settle
 from pagevault.operators.store import keyed, last_id, matching, upsert
 
 TICK_MS = 3000  # most that one tick adds
@@ -150,8 +149,11 @@ def upsert_batches(spark: SparkSession, path: str, stream: str = "batch"):
         if V.has(spark, path, f"{stream}-{batch}"):
             return
         held = V.current(spark, path)
-        pages = settle(pages, "batch")
-        parts, top = V.around(spark, path, matching(held, keyed(pages))), last_id(held)
-        V.publish(upsert(V.current(spark, path, parts=parts), pages, top=top), path, f"{stream}-{batch}", parts=parts)
+        pages.persist()  # released with the batch; a lost block is read from the source again
+        try:
+            parts, top = V.around(spark, path, matching(held, keyed(pages))), last_id(held)
+            V.publish(upsert(V.current(spark, path, parts=parts), pages, top=top), path, f"{stream}-{batch}", parts=parts)
+        finally:
+            pages.unpersist()
 
     return sink
