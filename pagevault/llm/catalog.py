@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagevault.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, pii, progressive_jpeg, secret_scan, toxicity
+from pagevault.llm import decontaminate, embedding_near, language_id, license_scan, line_dedup, mixing, ngram_join, periodic_runs, pii, progressive_jpeg, secret_scan, spelling_variants, toxicity
 
-MODULES = (secret_scan, line_dedup, toxicity, pii, decontaminate, progressive_jpeg, mixing, language_id, ngram_join, license_scan)
+MODULES = (secret_scan, line_dedup, toxicity, pii, decontaminate, progressive_jpeg, mixing, language_id, ngram_join, license_scan, embedding_near, periodic_runs, spelling_variants)
 
 
 def queries() -> dict:
