@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections.abc import Iterable, Mapping
 from datetime import datetime, timedelta, timezone, tzinfo
 
@@ -83,7 +84,7 @@ class Engine:
     def _publish(self, table: DataFrame, parts: list[int] | None = None) -> None:
         """A new version, of the whole archive or of the parts that change."""
         held = V.pointers(self.spark, self._pages).numbers()
-        V.publish(table, self._pages, f"version-{(held[-1] if held else 0) + 1:09d}-{self.now()}", parts=parts)
+        V.publish(table, self._pages, f"version-{(held[-1] if held else 0) + 1:09d}-{uuid.uuid4().hex[:8]}", parts=parts)
 
     def _touched(self, keys: DataFrame) -> tuple[list[int], int]:
         """The parts that pages with these keys, or new ones, are in, and the last id."""

@@ -92,10 +92,25 @@ def pointers(spark: SparkSession, path: str) -> Journal:
 
 
 def _split(text: str) -> tuple[int, str]:
-    form, version = text.split("\t")
+    form, version = text.split("\t")[:2]
     return int(form), version
 
 
+def _streams(text: str | None) -> dict[str, int]:
+    """The newest batch of each stream that a pointer knows of."""
+    said = (text or "").split("\t")
+    return json.loads(said[2]) if len(said) > 2 else {}
+
+
+def processed(spark: SparkSession, path: str, stream: str) -> int | None:
+    """The newest batch of a stream that was published.
+
+    It stands in the newest pointer, which each change hands on, so that it is
+    published with the batch's rows or not at all, and no vacuum forgets it.
+    """
+    return _streams(pointers(spark, path).newest()).get(stream)
+
+
 def _versions(spark: SparkSession, path: str) -> list[str]:
     fs, p = file_system(spark, path)
     if not fs.exists(p):
@@ -115,12 +130,6 @@ def current_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
     return None
 
 
-def has(spark: SparkSession, path: str, version: str) -> bool:
-    """Whether a kept pointer names the version."""
-    journal = pointers(spark, path)
-    return any(_split(journal.read(n))[1] == version for n in reversed(journal.numbers()))
-
-
 def part_of(id: Column) -> Column:
     """The part of an id; all null ids are in one part."""
     return F.coalesce(F.shiftright(id, PART_BITS), F.lit(-1))
@@ -161,15 +170,21 @@ def _read(spark: SparkSession, path: str, version: str, schema=ARCHIVE, parts: I
     if listed is None:
         whole = spark.read.parquet(f"{path}/{version}")
         return whole if parts is None else whole.where(part_of(F.col("id")).isin(*parts))
-    folders = [f"{path}/{v}/_part={p}" for p, v in sorted(listed.items()) if parts is None or p in set(parts)]
-    return spark.read.parquet(*folders) if folders else spark.createDataFrame([], schema)
+    some = {p: v for p, v in listed.items() if parts is None or p in set(parts)}
+    return _folders(spark, path, some) if some else spark.createDataFrame([], schema)
+
+
+def _folders(spark: SparkSession, path: str, parts: dict[int, str]) -> DataFrame:
+    return spark.read.parquet(*[f"{path}/{v}/_part={p}" for p, v in sorted(parts.items())])
 
 
-def publish(table: DataFrame, path: str, version: str, key: str = "url_key", form: int = FORMAT, parts: Iterable[int] | None = None) -> None:
+def publish(table: DataFrame, path: str, version: str, key: str = "url_key", form: int = FORMAT, parts: Iterable[int] | None = None, batch: tuple[str, int] | None = None) -> None:
     """Write a version, count it back, and point to it.
 
     With ``parts`` the table replaces those parts only (and may hold new ones); all
-    others stay as they are in the current version.
+    others stay as they are in the current version.  ``batch`` is the stream and the
+    number of the micro-batch that the version holds.  A name whose folder exists is
+    refused: a later version may read what is there.
     """
     spark = table.sparkSession
     journal = pointers(spark, path)
@@ -177,24 +192,29 @@ def publish(table: DataFrame, path: str, version: str, key: str = "url_key", for
     if held is None:
         journal.append(f"{form}\t{EMPTY}", 0)
         held = form, EMPTY
-    if has(spark, path, version):
-        raise ValueError(f"version {version} was published before")
+    fs, where = file_system(spark, f"{path}/{version}")
+    if fs.exists(where):
+        raise ValueError(f"version {version} was written before")
     after = journal.numbers()[-1]
+    streams = _streams(journal.read(after)) | dict([batch] if batch else [])
     before = part_list(spark, path, held[1]) if parts is not None else {}
     if before is None:
         raise ValueError(f"version {held[1]} was written in one piece; publish the whole table once")
     # tasks of even size, of one part each where parts are large; small parts share a task
-    table.withColumn("_part", part_of(F.col("id"))).hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/{version}")
+    table.withColumn("_part", part_of(F.col("id"))).hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{path}/{version}")
     written = parts_in(spark, f"{path}/{version}")
     stay = {p: v for p, v in before.items() if p not in set(parts or ())}
     if both := sorted(stay.keys() & set(written)):
         raise ValueError(f"the new version holds rows of parts {both[:3]}, which it was not to replace")
     _create(spark, f"{path}/{version}/_parts", json.dumps(stay | dict.fromkeys(written, version)))
     if written:
-        n, keys = spark.read.parquet(f"{path}/{version}").selectExpr("count(*)", f"count(distinct {key})").first()
+        new = spark.read.parquet(f"{path}/{version}")
+        n, keys = new.selectExpr("count(*)", f"count(distinct {key})").first()
         if n != keys:
             raise ValueError("a key stands twice in the new version")
-    journal.append(f"{form}\t{version}", after)
+        if stay and not _folders(spark, path, stay).select(key).join(new.select(key), key, "left_semi").isEmpty():
+            raise ValueError("a key of the new version stands in a part that stays")
+    journal.append("\t".join([str(form), version, *([json.dumps(streams)] if streams else [])]), after)
 
 
 def parts_in(spark: SparkSession, folder: str) -> list[int]:
@@ -246,14 +266,15 @@ def upgrade(spark: SparkSession, path: str, migrations: Sequence[Migration] = ()
         if not held[0] < m.form <= form:
             continue
         if held[1] == EMPTY:
-            pointers(spark, path).append(f"{m.form}\t{EMPTY}")
+            journal = pointers(spark, path)
+            journal.append("\t".join([str(m.form), EMPTY, *(journal.newest() or "").split("\t")[2:]]))
         else:
             old = _read(spark, path, held[1])
             new = m.run(old)
             lost = old.select("id").exceptAll(new.select("id")).count(), new.select("id").exceptAll(old.select("id")).count()
             if any(lost):
                 raise ValueError(f"the migration to format {m.form} would lose {lost[0]} and add {lost[1]} pages")
-            publish(new, path, f"{held[1]}-format{m.form}", form=m.form)
+            publish(new, path, f"{held[1]}-format{m.form}-{uuid.uuid4().hex[:8]}", form=m.form)
         held = current_version(spark, path)
         done.append(m.describe)
     return done

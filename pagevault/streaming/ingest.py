@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -138,7 +139,7 @@ def upsert_batches(spark: SparkSession, path: str, stream: str = "batch"):
     Only the parts that hold pages of the batch, and the one that new ids go to, are
     written; of the others two narrow columns are read, ids and keys.
 
-    Replaying a batch is harmless: its version was published already.  Late pages
+    Replaying a batch is harmless: its number was published with its rows.  Late pages
     need no watermark, as last seen only grows; dates in the future are the
     sender's to clamp (``operators.store.not_before``).  Give each checkpoint a
     ``stream`` name of its own, as batch numbers start anew with a checkpoint.
@@ -146,13 +147,14 @@ def upsert_batches(spark: SparkSession, path: str, stream: str = "batch"):
     from pagevault.operators import versions as V
 
     def sink(pages: DataFrame, batch: int) -> None:
-        if V.has(spark, path, f"{stream}-{batch}"):
+        done = V.processed(spark, path, stream)
+        if done is not None and batch <= done:
             return
         held = V.current(spark, path)
         pages.persist()  # released with the batch; a lost block is read from the source again
         try:
             parts, top = V.around(spark, path, matching(held, keyed(pages))), last_id(held)
-            V.publish(upsert(V.current(spark, path, parts=parts), pages, top=top), path, f"{stream}-{batch}", parts=parts)
+            V.publish(upsert(V.current(spark, path, parts=parts), pages, top=top), path, f"{stream}-{batch}-{uuid.uuid4().hex[:8]}", parts=parts, batch=(stream, batch))
         finally:
             pages.unpersist()
 

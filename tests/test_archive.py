@@ -154,8 +154,17 @@ def test_versions_and_stream(spark, tmp_path):
     q = pages.writeStream.foreachBatch(sink).option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert rows(V.current(spark, path), "url_key", "visit_count", "last_seen") == [("https://a.example/", 2, 1000)]
-    sink(spark.read.parquet(f"file://{tmp_path}/in"), 0)  # a replayed batch changes nothing
+    batch = spark.read.parquet(f"file://{tmp_path}/in")
+    sink(batch, 0)  # a replayed batch changes nothing
     assert rows(V.current(spark, path), "visit_count") == [(2,)]
+    for name in ("one", "two"):  # not even after other changes and a vacuum that forgets the batch's version
+        V.publish(V.current(spark, path).withColumn("pinned", F.lit(name == "two")), path, name)
+    V.vacuum(spark, path, 1)
+    sink(batch, 0)
+    assert rows(V.current(spark, path), "visit_count", "pinned") == [(2, True)] and V.processed(spark, path, "batch") == 0
+    T.upsert_batches(spark, path, "other")(batch, 0)
+    sink(batch, 1)
+    assert rows(V.current(spark, path), "visit_count") == [(6,)] and (V.processed(spark, path, "batch"), V.processed(spark, path, "other")) == (1, 0)
 
 
 def test_dwell_stream(spark, tmp_path):
