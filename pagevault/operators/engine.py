@@ -107,17 +107,16 @@ class Engine:
             fs, done = V.file_system(self.spark, f"{where}/{v}/terms/_SUCCESS")
             if not fs.exists(done):
                 I.save_parts(self.archive([p for p, x in parts.items() if x == v]), f"{where}/{v}")
-        return I.load_parts(self.archive(), where, parts, f"{where}/{held[1]}/dictionary")
+        return I.load_parts(self.archive(), where, parts)
 
     def upgrade(self, migrations=()) -> list[str]:
         return V.upgrade(self.spark, self._pages, migrations)
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Remove versions, parts and indexes that the newest ``keep`` versions don't need; no reader may be at older ones."""
+        self.index()  # the dictionary counts off what replaced parts held before they go
         gone = V.vacuum(self.spark, self._pages, keep)
-        for v in gone:
-            fs, p = V.file_system(self.spark, f"{self.path}/index/{v}")
-            fs.delete(p, True)
+        I.vacuum_parts(self.spark, f"{self.path}/index", V.needed(self.spark, self._pages))
         return gone
 
     # --- reading ---

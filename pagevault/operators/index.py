@@ -3,11 +3,20 @@
 ``postings(term, id, tf, pos)``, ``dictionary(term, df)`` and one row of corpus
 statistics are all derived from the archive by aggregates; nothing is nested but
 the first 32 positions of a term in a page.
+
+Saved postings lie in folders by a hash of the term (``bucket`` of ``of``), sorted
+by term and id.  A search names its terms in the filter (``lists``): other buckets
+are not even listed, and of the files that remain only row groups that can hold
+the terms, and the pages asked for, are read.  ``impacts`` holds, for each term and
+block of ``2 ** BLOCK_BITS`` ids, the number of pages and the greatest frequency there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,9 +24,17 @@ from pyspark.sql import types as T
 
 from pagevault import schemas as S
 from pagevault.functions import text as X
+from pagevault.operators.dictionary import SCHEMA, Dictionary
 from pagevault.operators.versions import file_system, part_of, parts_in
 
-TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("df", T.LongType())])
+BLOCK_BITS = 8  # ids of a block for which the greatest frequency is kept
+BUCKETS = (16, 256, 4096)  # numbers of folders that postings can be dealt into
+BUCKET_ROWS = 1 << 22  # postings of a bucket, about
+LOOKUP = 4000  # terms that a filter names at most; more would stand in nearly every bucket
+RANGES = 64  # ranges of ids that a filter names at most
+DEALT = ("of", "bucket")
+IMPACTS = T.StructType([T.StructField("term", T.StringType()), T.StructField("block", T.LongType()), T.StructField("most", T.IntegerType()), T.StructField("pages", T.LongType())])
+WORDS = "dictionary"  # its folder beside those of the versions
 
 
 def tokens(archive: DataFrame) -> DataFrame:
@@ -65,13 +82,61 @@ def page_bytes(*columns: str):
     return sum((X.byte_length(F.col(c)) for c in columns[1:]), X.byte_length(F.col(columns[0]))) + S.PAGE_BYTES
 
 
+def impacts(postings_: DataFrame) -> DataFrame:
+    """Per term and block of ids: the greatest frequency of the term in a page, and its pages."""
+    return postings_.groupBy("term", F.shiftright("id", BLOCK_BITS).alias("block")).agg(F.max("tf").alias("most"), F.count(F.lit(1)).alias("pages"))
+
+
+def dealt(postings_: DataFrame, buckets: int) -> DataFrame:
+    return postings_.withColumns({"of": F.lit(buckets), "bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")})
+
+
+def buckets_for(rows: int) -> int:
+    return next((n for n in BUCKETS if rows <= n * BUCKET_ROWS), BUCKETS[-1])
+
+
+def _ranges(blocks: Iterable[int]) -> list[tuple[int, int]]:
+    """At most ``RANGES`` ranges that cover the blocks, with the widest gaps between them."""
+    held = sorted(set(blocks))
+    gaps = sorted(range(1, len(held)), key=lambda k: held[k - 1] - held[k])[: RANGES - 1]
+    cuts = [0, *sorted(k for k in gaps if held[k] - held[k - 1] > 1), len(held)]
+    return [(held[a], held[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+def lists(table: DataFrame, terms: Sequence[tuple[str, int]] | None, blocks: Iterable[int] | None = None) -> DataFrame:
+    """The rows of some terms (with their hashes), of some blocks of ids if given, from saved postings or impacts.
+
+    Only the terms' buckets are read.  Without terms (there are too many to name), or
+    where the table was not saved in buckets, no folder is left out.
+    """
+    if terms is not None:
+        if set(DEALT) <= set(table.columns):
+            table = table.where(reduce(or_, ((F.col("of") == n) & F.col("bucket").isin(sorted({h % n for _, h in terms})) for n in BUCKETS)))
+        table = table.where(F.col("term").isin([t for t, _ in terms]))
+    if blocks is not None:
+        held = _ranges(blocks)
+        of = (lambda lo, hi: F.col("block").between(lo, hi)) if "block" in table.columns else (lambda lo, hi: F.col("id").between(lo << BLOCK_BITS, (hi + 1 << BLOCK_BITS) - 1))
+        table = table.where(reduce(or_, (of(*r) for r in held), F.lit(False)))
+    return table
+
+
+def named(wanted: DataFrame) -> list[tuple[str, int]] | None:
+    """The distinct terms of a settled table and their hashes, for ``lists``; None if they are more than ``LOOKUP``."""
+    rows = wanted.select("term", F.xxhash64("term").alias("h")).distinct().limit(LOOKUP + 1).collect()
+    return [(r.term, r.h) for r in rows] if len(rows) <= LOOKUP else None
+
+
 @dataclass
 class Index:
-    """Tables of one corpus.  ``save`` and ``load`` keep them as Parquet, postings and dictionary sorted by term."""
+    """Tables of one corpus.  ``save`` and ``load`` keep them as Parquet: postings and impacts in buckets of terms, the dictionary in ranges."""
 
     archive: DataFrame
     postings: DataFrame
     dictionary: DataFrame
+    impacts: DataFrame | None = None
+
+    def __post_init__(self):
+        self.impacts = impacts(self.postings) if self.impacts is None else self.impacts
 
     @staticmethod
     def of(archive: DataFrame) -> Index:
@@ -81,36 +146,79 @@ class Index:
 
     def save(self, path: str) -> None:
         self.archive.write.mode("overwrite").parquet(f"{path}/archive")
-        # by ranges of (term, id): a common word's list is spread over as many files as it needs
-        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        saved = self.archive.sparkSession.read.schema(S.POSTINGS).parquet(f"{path}/postings")
-        dictionary(saved).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
+        spark = self.archive.sparkSession
+        n = buckets_for(statistics(spark.read.parquet(f"{path}/archive")).first()["tokens"])
+        # by ranges of (bucket, term, id): a common word's list is spread over as many files as it needs
+        write = lambda table, name, then: table.repartitionByRange("bucket", "term", then).sortWithinPartitions("bucket", "term", then).write.mode("overwrite").partitionBy(*DEALT).parquet(f"{path}/{name}")
+        write(dealt(self.postings, n), "postings", "id")
+        saved = _saved(spark, [f"{path}/postings"], S.POSTINGS)
+        write(dealt(impacts(saved), n), "impacts", "block")
+        _saved(spark, [f"{path}/impacts"], IMPACTS).groupBy("term").agg(F.sum("pages").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("archive", "postings", "dictionary")))
+        read = spark.read.parquet
+        return Index(read(f"{path}/archive"), _saved(spark, [f"{path}/postings"], S.POSTINGS), read(f"{path}/dictionary"), _saved(spark, [f"{path}/impacts"], IMPACTS))
+
+
+def _saved(spark: SparkSession, folders: Sequence[str], schema: T.StructType) -> DataFrame:
+    """A saved table of postings or impacts; folders of parts are read by the table that they lie in, which knows the buckets."""
+    whole = T.StructType([*schema.fields, *(T.StructField(c, T.IntegerType()) for c in DEALT)])
+    tables: dict[str, list[str]] = {}
+    for f in folders:
+        tables.setdefault(f.split("/_part=")[0], []).append(f)
+    read = [spark.read.schema(whole).option("basePath", base).parquet(*some).select(whole.names) for base, some in tables.items()]
+    return reduce(DataFrame.unionByName, read) if read else spark.createDataFrame([], whole)
 
 
 def save_parts(archive: DataFrame, path: str) -> None:
-    """Postings of some parts of an archive, and the words of each part with their pages (``terms``, written last)."""
-    rows = postings(tokens(archive)).withColumn("_part", part_of(F.col("id")))
-    rows.repartitionByRange("_part", "term", "id").sortWithinPartitions("_part", "term", "id").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/postings")
+    """Postings and impacts of some parts of an archive, and the words of each part with their pages (``terms``, written last)."""
+    n = buckets_for(statistics(archive).first()["tokens"])
+    keys = ["_part", *DEALT]
+    rows = dealt(postings(tokens(archive)), n).withColumn("_part", part_of(F.col("id")))
+    rows.repartitionByRange("_part", "bucket", "term", "id").sortWithinPartitions("_part", "bucket", "term", "id").write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/postings")
     spark = archive.sparkSession
-    saved = spark.read.schema(T.StructType([*S.POSTINGS.fields, T.StructField("_part", T.LongType())])).parquet(f"{path}/postings")
+    saved = spark.read.schema(T.StructType([*S.POSTINGS.fields, T.StructField("_part", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in DEALT)])).parquet(f"{path}/postings")
+    most = saved.groupBy(*keys, "term", F.shiftright("id", BLOCK_BITS).alias("block")).agg(F.max("tf").alias("most"), F.count(F.lit(1)).alias("pages"))
+    most.repartitionByRange("_part", "bucket", "term", "block").sortWithinPartitions("_part", "bucket", "term", "block").write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/impacts")
     saved.groupBy("_part", "term").agg(F.count(F.lit(1)).alias("df")).hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/terms")
 
 
-def load_parts(archive: DataFrame, path: str, parts: dict[int, str], words: str) -> Index:
-    """The index of an archive whose parts were indexed under ``path``/version; the dictionary of all is kept at ``words``."""
+def load_parts(archive: DataFrame, path: str, parts: dict[int, str]) -> Index:
+    """The index of an archive whose parts were indexed under ``path``/version; the dictionary of all follows their changes."""
     spark = archive.sparkSession
-    held = {v: set(parts_in(spark, f"{path}/{v}/terms")) for v in set(parts.values())}  # a part without words has no folder
-    some = [(v, p) for p, v in sorted(parts.items()) if p in held[v]]
-    read = lambda table, schema: spark.read.schema(schema).parquet(*[f"{path}/{v}/{table}/_part={p}" for v, p in some]) if some else spark.createDataFrame([], schema)
-    fs, done = file_system(spark, f"{words}/_SUCCESS")
-    if not fs.exists(done):
-        whole = read("terms", TERMS).groupBy("term").agg(F.sum("df").cast("long").alias("df"))
-        whole.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(words)
-    return Index(archive, read("postings", S.POSTINGS), spark.read.schema(TERMS).parquet(words))
+
+    def folders(table: str, some: dict[int, str]) -> list[str] | None:
+        """Those of some parts (a part without words has none); None if a part was never indexed, or its index is gone."""
+        held = {}
+        for v in set(some.values()):
+            fs, done = file_system(spark, f"{path}/{v}/terms/_SUCCESS")
+            if not fs.exists(done):
+                return None
+            held[v] = set(parts_in(spark, f"{path}/{v}/terms"))
+        return [f"{path}/{v}/{table}/_part={p}" for p, v in sorted(some.items()) if p in held[v]]
+
+    def terms(some: dict[int, str]) -> DataFrame | None:
+        held = folders("terms", some)
+        return None if held is None else spark.read.schema(SCHEMA).parquet(*held) if held else spark.createDataFrame([], SCHEMA)
+
+    words = Dictionary(spark, f"{path}/{WORDS}").load(parts, terms)
+    return Index(archive, _saved(spark, folders("postings", parts), S.POSTINGS), words, _saved(spark, folders("impacts", parts), IMPACTS))
+
+
+def vacuum_parts(spark: SparkSession, path: str, needed: set[tuple[str, int]]) -> None:
+    """Remove the indexes of all (version, part) but the needed ones, and what the dictionary no longer needs."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return
+    for v in (s.getPath().getName() for s in fs.listStatus(p)):
+        if v == WORDS:
+            continue
+        mine = {x for y, x in needed if y == v}
+        gone = [f"{v}/{t}/_part={x}" for t in ("postings", "impacts", "terms") for x in parts_in(spark, f"{path}/{v}/{t}") if x not in mine] if mine else [v]
+        for name in gone:
+            fs.delete(file_system(spark, f"{path}/{name}")[1], True)
+    Dictionary(spark, f"{path}/{WORDS}").vacuum()
 
 
 def invariants(ix: Index) -> DataFrame:
@@ -121,4 +229,7 @@ def invariants(ix: Index) -> DataFrame:
     sums = p.groupBy("id").agg(F.sum("tf").alias("t")).join(a.select("id", "word_count"), "id", "full")
     wrong = sums.where(F.coalesce("t", F.lit(0)) != F.coalesce("word_count", F.lit(0))).agg(F.count(F.lit(1)).alias("n")).select(F.lit("wrong word counts").alias("kind"), "n")
     d = dictionary(p).join(ix.dictionary.withColumnRenamed("df", "of"), "term", "full").where(~F.col("df").eqNullSafe(F.col("of")))
-    return orphans.unionByName(empty).unionByName(wrong).unionByName(d.agg(F.count(F.lit(1)).alias("n")).select(F.lit("wrong frequencies").alias("kind"), "n"))
+    columns = F.struct("most", "pages")
+    m = impacts(p).select("term", "block", columns.alias("is")).join(ix.impacts.select("term", "block", columns.alias("said")), ["term", "block"], "full").where(~F.col("is").eqNullSafe(F.col("said")))
+    count = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return orphans.unionByName(empty).unionByName(wrong).unionByName(count(d, "wrong frequencies")).unionByName(count(m, "wrong impacts"))

@@ -1,17 +1,25 @@
 """Search: a few plans for a whole batch of queries.
 
 Query words are a small table (it holds what people typed; broadcast if it is
-counted as small).  Word resolution touches the dictionary only.  AND starts from
-the rarest word of each query: its pages are found first, and of the longer lists
-only what stands on those pages is aggregated.  Only queries without such a page
-fall back to OR and read all their lists.  Hits are settled once and feed
-weights, phrases, totals and the ranking.  All filters stand below the cut to the
-first 500; ranking inside the cut is exact.
+counted as small).  Word resolution touches the words of the dictionary that share
+the first letters with what was typed (``nearby``: a filter that reaches the scan).
+Postings are read by the names of the resolved terms (``index.lists``), so a search
+reads their buckets, not the corpus.  AND starts from the rarest word of each query:
+its pages are found first, and of the longer lists only what stands on those pages
+is aggregated.  Only queries without such a page fall back to OR and read all their
+lists.  Hits are settled once and feed weights, phrases, totals and the ranking.
+All filters stand below the cut to the first 500; ranking inside the cut is exact.
+
+``top`` finds the same first pages without the total: blocks of ids whose greatest
+frequencies cannot reach the score of the last page wanted are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,10 +28,12 @@ from pagevault import schemas as S
 from pagevault.functions import text as X
 from pagevault.functions.passages import snippet_udf
 from pagevault.functions.query import Query
-from pagevault.operators.index import Index, statistics
+from pagevault.operators.index import BLOCK_BITS, Index, lists, named, statistics
 from pagevault.operators.scratch import given, settle, small
 
 EXACT, SINGULAR, STEM, PREFIX, TYPO = range(5)
+BEGINNINGS = 500  # first letters that a filter names at most
+ROUNDING = 1e-9  # by which a block's bound may fall short of a page's score
 
 
 def words_table(spark: SparkSession, queries: Sequence[tuple[int, Query]]) -> DataFrame:
@@ -31,6 +41,24 @@ def words_table(spark: SparkSession, queries: Sequence[tuple[int, Query]]) -> Da
     return given(spark, rows, "query int, word string, place int, fixed boolean")
 
 
+def nearby(dictionary: DataFrame, queries: Sequence[tuple[int, Query]], languages: Sequence[str] = (), stem: Callable | None = None) -> DataFrame:
+    """The settled part of the dictionary that the queries' words can be resolved to: whole words, and words with the same first letters."""
+    typed = sorted({t for _, q in queries for t in q.lookup})
+    first = {t[: S.PREFIX_CHARS] for t in typed if len(t) >= S.PREFIX_CHARS}
+    if languages and stem and typed:
+        words = dictionary.sparkSession.createDataFrame([(t,) for t in typed], "word string")
+        stems = words.select(F.explode(F.array(*(stem(F.col("word"), F.lit(x)) for x in languages))).alias("stem")).where(F.length("stem") >= S.PREFIX_CHARS)
+        first |= {r[0] for r in stems.select(F.left("stem", F.lit(S.PREFIX_CHARS))).distinct().collect()}
+    short = [t for t in typed if len(t) < S.PREFIX_CHARS]
+    if len(first) <= BEGINNINGS:
+        found = dictionary.where(reduce(or_, [*(F.col("term").startswith(x) for x in sorted(first)), F.col("term").isin(short)]))
+    else:  # too many for a filter
+        begun = given(dictionary.sparkSession, [(x,) for x in sorted(first)], "_k string")
+        found = dictionary.join(begun, F.left("term", F.lit(S.PREFIX_CHARS)) == F.col("_k"), "left_semi")
+        found = found.unionByName(dictionary.where(F.col("term").isin(short)))
+    return settle(found, "nearby")
+
+
 def prefix_terms(dictionary: DataFrame, wanted: DataFrame, scan: int, limit: int) -> DataFrame:
     """For rows with ``prefix``: the first ``scan`` terms alphabetically, then the ``limit`` most frequent; ``ord`` from 1.
 
@@ -72,76 +100,97 @@ def resolve(dictionary: DataFrame, words: DataFrame, languages: Sequence[str] =
     return every.withColumn("_low", low).where(F.col("level") == F.col("_low")).select("query", "word", "term", "df", F.floor("level").cast("int").alias("level"), "ord")
 
 
-def phrase_pages(postings: DataFrame, queries: Sequence[tuple[int, Query]], within: DataFrame | None = None) -> DataFrame:
+def _by_terms(ix: Index, terms: Sequence[str]) -> DataFrame:
+    """Postings of terms that the driver holds, read by their buckets."""
+    return lists(ix.postings, named(ix.postings.sparkSession.createDataFrame([(t,) for t in sorted(set(terms))], "term string")))
+
+
+def phrase_pages(ix: Index, queries: Sequence[tuple[int, Query]], within: DataFrame | None = None) -> DataFrame:
     """(query, id) of pages (of ``within``, if given) that hold every phrase of a query, by the stored positions."""
     rows = [(q, k, i, t, len(p), len(parsed.phrases)) for q, parsed in queries for k, p in enumerate(parsed.phrases) for i, t in enumerate(p)]
-    want = given(postings.sparkSession, rows, "query int, phrase int, step int, term string, steps int, phrases int")
-    lists = postings.join(want, "term")
-    lists = lists if within is None else lists.join(within, ["query", "id"], "left_semi")
-    at = lists.select("query", "phrase", "id", "steps", "phrases", "step", F.explode(F.transform("pos", lambda p: p - F.col("step"))).alias("start"))
+    want = given(ix.postings.sparkSession, rows, "query int, phrase int, step int, term string, steps int, phrases int")
+    held = _by_terms(ix, [r[3] for r in rows]).join(want, "term")
+    held = held if within is None else held.join(within, ["query", "id"], "left_semi")
+    at = held.select("query", "phrase", "id", "steps", "phrases", "step", F.explode(F.transform("pos", lambda p: p - F.col("step"))).alias("start"))
     whole = at.groupBy("query", "phrase", "id", "start", "steps", "phrases").agg(F.count_distinct("step").alias("n")).where("n = steps")
     return whole.groupBy("query", "id", "phrases").agg(F.count_distinct("phrase").alias("n")).where("n = phrases").select("query", "id")
 
 
-def _hits(postings: DataFrame, wanted: DataFrame, within: DataFrame | None = None) -> DataFrame:
-    """(query, word, id, level, tf) of the wanted terms, on the pages of ``within`` if given."""
-    lists = postings.select("term", "id", "tf").join(small(wanted), "term")
-    lists = lists if within is None else lists.join(small(within), ["query", "id"], "left_semi")
-    return lists.groupBy("query", "word", "id", "level").agg(F.sum("tf").alias("tf"))
+def _hits(ix: Index, wanted: DataFrame, within: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """(query, word, id, level, tf) of the settled wanted terms, on the pages of ``within`` or in the settled ``blocks`` if given."""
+    of = None if blocks is None else [r.block for r in blocks.select("block").distinct().collect()]  # a block stands for 2 ** BLOCK_BITS pages
+    held = lists(ix.postings, named(wanted), of).select("term", "id", "tf").join(small(wanted), "term")
+    if within is not None:
+        held = held.join(small(within), ["query", "id"], "left_semi")
+    if blocks is not None:
+        held = held.withColumn("block", F.shiftright("id", BLOCK_BITS)).join(small(blocks.select("query", "block")), ["query", "block"], "left_semi")
+    return held.groupBy("query", "word", "id", "level").agg(F.sum("tf").alias("tf"))
 
 
-def matched(ix: Index, queries: Sequence[tuple[int, Query]], languages: Sequence[str] = (), stem: Callable | None = None) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Settled hits (query, word, id, level, tf) of the pages that AND, or else OR, finds; document frequencies (query, word, df); and the queries that AND serves."""
+@dataclass
+class Asked:
+    """What a batch of queries asks for: its settled terms (query, word, term, df, level, ``rarest``, ``whole``: all words of the query are known) and weights (query, word, idf)."""
+
+    queries: list[tuple[int, Query]]
+    wanted: DataFrame
+    weights: DataFrame
+    sizes: DataFrame  # (query, k): words of each query
+
+
+def asked(ix: Index, queries: Sequence[tuple[int, Query]], languages: Sequence[str] = (), stem: Callable | None = None) -> Asked:
     spark = ix.postings.sparkSession
+    queries = [(q, p) for q, p in queries if not p.empty]
     k = given(spark, [(q, len(p.lookup)) for q, p in queries], "query int, k int")
-    words = settle(resolve(ix.dictionary, words_table(spark, queries), languages, stem), "resolved").select("query", "word", "term", "df", "level")
+    near = nearby(ix.dictionary, queries, languages, stem)
+    words = settle(resolve(near, words_table(spark, queries), languages, stem), "resolved").select("query", "word", "term", "df", "level")
     each = words.groupBy("query", "word").agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("most"))
     by = Window.partitionBy("query")
     each = each.withColumn("_rank", F.row_number().over(by.orderBy("most", "word"))).withColumn("_words", F.count(F.lit(1)).over(by)).join(k, "query")
     each = each.select("query", "word", "terms", "most", (F.col("_words") == F.col("k")).alias("whole"), (F.col("_rank") == 1).alias("rarest"))
     wanted = settle(words.join(each, ["query", "word"]), "wanted")
-    rare = settle(_hits(ix.postings, wanted.where("whole AND rarest").select("query", "word", "term", "level")), "rarest")
-    others = wanted.where("whole AND NOT rarest").select("query", "word", "term", "level")
-    if not others.isEmpty():
-        rest = _hits(ix.postings, others, rare.select("query", "id").distinct())
-        both = settle(rare.unionByName(rest), "both")
-    else:
-        both = rare
-    full = both.groupBy("query", "id").agg(F.count(F.lit(1)).alias("m")).join(k, "query").where("m = k").select("query", "id")
+    df = wanted.where("terms = 1").select("query", "word", F.col("most").alias("df"))
+    wide = settle(wanted.where("terms > 1").select("query", "word", "term"), "wide")
+    if not wide.isEmpty():
+        pages = lists(ix.postings, named(wide)).select("term", "id").join(small(wide), "term").select("query", "word", "id").distinct()
+        df = df.unionByName(pages.groupBy("query", "word").agg(F.count(F.lit(1)).alias("df")))
+    n = ix.archive.agg(F.count(F.lit(1))).scalar()
+    return Asked(queries, wanted, settle(df.select("query", "word", X.idf(F.col("df"), n).alias("idf")), "weights"), k)
+
+
+def matched(ix: Index, of: Asked) -> tuple[DataFrame, list[int]]:
+    """Settled hits (query, word, id, level, tf) of the pages that AND, or else OR, finds; and the queries that AND serves."""
+    spark, wanted = ix.postings.sparkSession, of.wanted
+    terms = lambda condition: settle(wanted.where(condition).select("query", "word", "term", "level"), "terms")
+    rare = settle(_hits(ix, terms("whole AND rarest")), "rarest")
+    others = terms("whole AND NOT rarest")
+    alone = others.isEmpty()
+    both = rare if alone else settle(rare.unionByName(_hits(ix, others, settle(rare.select("query", "id").distinct(), "pages"))), "both")
+    full = both.groupBy("query", "id").agg(F.count(F.lit(1)).alias("m")).join(of.sizes, "query").where("m = k").select("query", "id")
     full = settle(full, "full")
     served = sorted(r.query for r in full.select("query").distinct().collect())  # as many as were asked at most
-    hits = both if others.isEmpty() else both.join(full, ["query", "id"], "left_semi")
-    rest_of = [(q,) for q, _ in queries if q not in set(served)]
+    hits = both if alone else both.join(full, ["query", "id"], "left_semi")
+    rest_of = [(q,) for q, _ in of.queries if q not in set(served)]
     if rest_of:
         some = wanted.join(given(spark, rest_of, "query int"), "query").select("query", "word", "term", "level")
-        hits = hits.unionByName(_hits(ix.postings, settle(some, "fallback")))
-    df = wanted.where("terms = 1").select("query", "word", F.col("most").alias("df"))
-    wide = settle(wanted.where("terms > 1").select("query", "word", "term"), "wide")
-    if not wide.isEmpty():
-        lists = ix.postings.select("term", "id").join(small(wide), "term").select("query", "word", "id").distinct()
-        df = df.unionByName(lists.groupBy("query", "word").agg(F.count(F.lit(1)).alias("df")))
-    return settle(hits, "hits"), settle(df, "frequencies"), served
+        hits = hits.unionByName(_hits(ix, settle(some, "fallback")))
+    return settle(hits, "hits"), served
 
 
-def candidates(ix: Index, queries: Sequence[tuple[int, Query]], site: str | None = None, after: int | None = None, before: int | None = None, languages: Sequence[str] = (), stem: Callable | None = None) -> DataFrame:
-    """(query, id, mode, parts, prescore): every page in the answer, all filters applied; a settled table."""
-    spark = ix.postings.sparkSession
-    queries = [(q, p) for q, p in queries if not p.empty]
-    hits, df, served = matched(ix, queries, languages, stem)
-    n = ix.archive.agg(F.count(F.lit(1))).scalar()
-    weights = df.select("query", "word", X.idf(F.col("df"), n).alias("idf"))
+def _filtered(ix: Index, of: Asked, hits: DataFrame, served: Sequence[int], site: str | None = None, after: int | None = None, before: int | None = None) -> DataFrame:
+    """(query, id, mode, parts, prescore) of settled hits, all filters applied; a settled table."""
+    spark, queries = ix.postings.sparkSession, of.queries
     part = F.struct("word", "tf", "idf", (F.col("level") >= STEM).alias("wide"))
-    pages = hits.join(F.broadcast(weights) if df.count() <= 300_000 else weights, ["query", "word"]).groupBy("query", "id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    pages = hits.join(small(of.weights), ["query", "word"]).groupBy("query", "id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     # summed in word order, so that equal pages get equal scores
     pages = pages.withColumn("prescore", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["idf"] * (1 + F.log(p["tf"]))))
     modes = given(spark, [(q, "and" if q in set(served) else "or") for q, _ in queries], "query int, mode string")
     pages = pages.join(modes, "query")
     out = [(q, t) for q, p in queries for t in p.exclude]
     if out:
-        gone = ix.postings.join(given(spark, out, "query int, term string"), "term").select("query", "id").distinct()
+        gone = _by_terms(ix, [t for _, t in out]).join(given(spark, out, "query int, term string"), "term").select("query", "id").distinct()
         pages = pages.join(gone, ["query", "id"], "left_anti")
     if any(p.phrases for _, p in queries):
-        held = phrase_pages(ix.postings, queries, hits.select("query", "id").distinct()).withColumn("_held", F.lit(True))
+        held = phrase_pages(ix, queries, hits.select("query", "id").distinct()).withColumn("_held", F.lit(True))
         strict = given(spark, [(q, bool(p.phrases)) for q, p in queries], "query int, strict boolean")
         pages = pages.join(strict, "query").join(held, ["query", "id"], "left").where("NOT strict OR _held").drop("strict", "_held")
     late = lambda a, b: max(a, b) if a and b else a or b or None
@@ -156,6 +205,71 @@ def candidates(ix: Index, queries: Sequence[tuple[int, Query]], site: str | None
     return settle(pages.select("query", "id", "mode", "parts", "prescore"), "found")
 
 
+def candidates(ix: Index, queries: Sequence[tuple[int, Query]], languages: Sequence[str] = (), stem: Callable | None = None, **filters) -> DataFrame:
+    """(query, id, mode, parts, prescore): every page in the answer, all filters (site, after, before) applied; a settled table."""
+    of = asked(ix, queries, languages, stem)
+    hits, served = matched(ix, of)
+    return _filtered(ix, of, hits, served, **filters)
+
+
+def bounds(ix: Index, of: Asked, queries: DataFrame, every: bool) -> DataFrame:
+    """(query, block, bound, pages) of the blocks that can hold a page of a query: the most its score can be, and a guess of its pages there.
+
+    A word's frequency is at most the sum of its terms' greatest ones.
+    """
+    wanted = settle(of.wanted.join(queries, "query").select("query", "word", "term"), "terms")
+    held = lists(ix.impacts, named(wanted)).select("term", "block", "most", "pages").join(small(wanted), "term")
+    words = held.groupBy("query", "word", "block").agg(F.sum("most").alias("most"), F.max("pages").alias("pages")).join(small(of.weights), ["query", "word"])
+    blocks = words.groupBy("query", "block").agg(F.sum(F.col("idf") * (1 + F.log("most"))).alias("bound"), (F.min("pages") if every else F.max("pages")).alias("pages"), F.count(F.lit(1)).alias("m"))
+    return blocks.join(of.sizes, "query").where("m = k" if every else "m > 0").select("query", "block", (F.col("bound") + ROUNDING).alias("bound"), "pages")
+
+
+def _by_blocks(ix: Index, of: Asked, queries: DataFrame, every: bool, most: int, **filters) -> tuple[DataFrame, list[int], DataFrame]:
+    """The first ``most`` pages and more of some queries; the queries with a page before filters; and (query, blocks, read)."""
+    wanted = settle(of.wanted.join(queries, "query").select("query", "word", "term", "level"), "terms")
+    blocks = settle(bounds(ix, of, queries, every), "bounds")
+    best = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
+    ahead = F.sum("pages").over(best.rowsBetween(Window.unboundedPreceding, -1))
+    first = settle(blocks.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).where(F.col("_ahead") < 2 * most).drop("_ahead"), "first-blocks")
+
+    def pages(some: DataFrame) -> tuple[DataFrame, set[int]]:
+        hits = _hits(ix, wanted, blocks=some)
+        if every:
+            full = Window.partitionBy("query", "id")
+            hits = hits.withColumn("_m", F.count(F.lit(1)).over(full)).join(of.sizes, "query").where("_m = k").drop("_m", "k")
+        hits = settle(hits, "hits")
+        served = {r.query for r in hits.select("query").distinct().collect()}
+        return _filtered(ix, of, hits, served if every else (), **filters), served
+
+    found, served = pages(first)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("prescore"), "id"))
+    least = found.withColumn("_r", rank).where(F.col("_r") == most).select("query", F.col("prescore").alias("least"))
+    rest = blocks.join(first, ["query", "block"], "left_anti").join(settle(least, "least"), "query", "left")
+    rest = settle(rest.where("least IS NULL OR bound >= least").select("query", "block"), "rest-blocks")
+    if not rest.isEmpty():
+        more, also = pages(rest)
+        found, served = settle(found.unionByName(more), "found"), served | also
+    read = first.select("query", "block").unionByName(rest).groupBy("query").agg(F.count(F.lit(1)).alias("read"))
+    return found, sorted(served), blocks.groupBy("query").agg(F.count(F.lit(1)).alias("blocks")).join(read, "query")
+
+
+def top(ix: Index, queries: Sequence[tuple[int, Query]], most: int = S.HEAD, languages: Sequence[str] = (), stem: Callable | None = None, **filters) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` pages of each query by prescore, as in ``candidates`` (a few more come along), and per query: blocks that can hold its pages, and those read.
+
+    Some of the best blocks are scored first.  If the ``most``-th page found there has a
+    score, blocks whose bound is lower cannot change the first pages and are left out.
+    """
+    of = asked(ix, queries, languages, stem)
+    spark = ix.postings.sparkSession
+    ask = lambda some: given(spark, [(q,) for q in some], "query int")
+    found, served, read = _by_blocks(ix, of, ask([q for q, _ in of.queries]), True, most, **filters)
+    rest = [q for q, _ in of.queries if q not in set(served)]
+    if rest:
+        more, _, also = _by_blocks(ix, of, ask(rest), False, most, **filters)
+        found, read = settle(found.unionByName(more), "found"), read.join(ask(rest), "query", "left_anti").unionByName(also)
+    return found, read
+
+
 def rank(ix: Index, found: DataFrame, now: int, queries: Sequence[tuple[int, Query]], limit: int = S.PAGE, offset: int = 0, recent: bool = False) -> DataFrame:
     """A page of ranked results: query, rank (from 1), id, score, mode, total, whether more follow, and the page's columns.
 
@@ -193,13 +307,21 @@ def facets(ix: Index, found: DataFrame) -> DataFrame:
     return top.select("query", "domain", "n")
 
 
+def first_pages(ix: Index, queries: Sequence[tuple[int, Query]], now: int, limit: int = S.PAGE, **filters) -> DataFrame:
+    """The first page of ``search`` without the total, for which only blocks that can reach the first 500 are read."""
+    found, _ = top(ix, queries, **filters)
+    return rank(ix, found, now, queries, limit).drop("total", "has_more", "text")
+
+
 def search(ix: Index, queries: Sequence[tuple[int, Query]], now: int, limit: int = S.PAGE, offset: int = 0, recent: bool = False, snippets: bool = False, **filters) -> DataFrame:
     found = candidates(ix, queries, **filters)
     page = rank(ix, found, now, queries, limit, offset, recent)
     if not snippets:
         return page.drop("text")
     spark = ix.archive.sparkSession
-    shown = resolve(ix.dictionary, words_table(spark, [q for q in queries if not q[1].empty]), filters.get("languages", ()), filters.get("stem"))
+    some = [q for q in queries if not q[1].empty]
+    more = filters.get("languages", ()), filters.get("stem")
+    shown = resolve(nearby(ix.dictionary, some, *more), words_table(spark, some), *more)
     marks = shown.groupBy("query").agg(F.array_distinct(F.concat(F.collect_set("word"), F.collect_set("term"))).alias("marks"))
     return page.join(small(settle(marks, "marks")), "query").withColumn("snippet", snippet_udf("text", "marks")).drop("text", "marks")
 

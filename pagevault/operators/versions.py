@@ -217,9 +217,18 @@ def publish(table: DataFrame, path: str, version: str, key: str = "url_key", for
     journal.append("\t".join([str(form), version, *([json.dumps(streams)] if streams else [])]), after)
 
 
+def needed(spark: SparkSession, path: str) -> set[tuple[str, int]]:
+    """(version, part) of everything that a kept pointer names."""
+    journal = pointers(spark, path)
+    named = {_split(journal.read(n))[1] for n in journal.numbers()}
+    return {(v, p) for x in named for p, v in (part_list(spark, path, x) or {}).items()}
+
+
 def parts_in(spark: SparkSession, folder: str) -> list[int]:
-    """The parts that a folder holds files of."""
+    """The parts that a folder holds files of; none for a folder that isn't there."""
     fs, p = file_system(spark, folder)
+    if not fs.exists(p):
+        return []
     names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
     return [int(n.removeprefix("_part=")) for n in names if n.startswith("_part=")]
 

@@ -152,7 +152,7 @@ SQL = {
     "multi_get": f"WITH {C.ARCHIVE} SELECT id, title FROM arch WHERE id IN (0, 5, 77, 1000000000000)",
     "excerpts": f"WITH {C.ARCHIVE} SELECT id, left(text, 400) AS excerpt, strlen(text) AS size FROM arch",
     "content_hashes": f"WITH {C.ARCHIVE}, h AS (SELECT id, {_HASH.format(seed=0x811C9DC5)} AS a, {_HASH.format(seed=0x9E3779B9)} AS b FROM arch) SELECT id, lpad(to_hex(a), 8, '0') || lpad(to_hex(b), 8, '0') AS content_hash FROM h",
-    "invariants": "SELECT * FROM (VALUES ('orphan postings', 0::BIGINT), ('bad entries', 0::BIGINT), ('wrong word counts', 0::BIGINT), ('wrong frequencies', 0::BIGINT)) v(kind, n)",
+    "invariants": "SELECT * FROM (VALUES ('orphan postings', 0::BIGINT), ('bad entries', 0::BIGINT), ('wrong word counts', 0::BIGINT), ('wrong frequencies', 0::BIGINT), ('wrong impacts', 0::BIGINT)) v(kind, n)",
     "deleted_postings": f"WITH {C.POSTINGS} SELECT term, count(*) AS df FROM post WHERE id % 7 <> 3 GROUP BY term",
 }
 SQL["content_hashes"] = SQL["content_hashes"].replace("to_hex(a)", "lower(to_hex(a))").replace("to_hex(b)", "lower(to_hex(b))")

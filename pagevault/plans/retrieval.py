@@ -33,6 +33,12 @@ SHAPES: dict[str, dict] = {
 }
 
 
+TOP = {
+    "top_pages": {"text": ["the and", "the zzqnothing and", "the and -that -12", '"the and"', "the of site:src5.example after:2023", "achac the", "zzq"], "limit": 30},
+    "top_pages_dates": {"text": ["the of", "in to de"], "limit": 40, "after": C.NOW - 31 * DAY, "before": C.NOW - 3 * DAY},
+}
+
+
 def queries_of(shape: dict) -> list[tuple[int, Query]]:
     return [(i, parse(t, C.NOW)) for i, t in enumerate(shape["text"])]
 
@@ -48,6 +54,16 @@ def _run(name: str):
     return query
 
 
+def _top(shape: dict):
+    more = {k: shape[k] for k in ("site", "after", "before") if k in shape}
+
+    def query(s, d):
+        page = Q.first_pages(C.index(s, d), queries_of(shape), C.NOW, shape["limit"], **more)
+        return page.select("query", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"), "mode")
+
+    return query
+
+
 def resolved_sql(words: list[tuple[int, str, bool]]) -> str:
     """CTE ``res`` of resolved terms for (query, word, in a phrase)."""
     values = ", ".join(f"({q}, '{w}', {str(f).lower()})" for q, w, f in words)
@@ -151,8 +167,8 @@ def scalar_functions(s, d):
     return a.select("id", F.round(X.recency(F.col("last_seen"), C.NOW), 6).alias("recency"), F.round(X.idf(F.col("id") % 90 + 1, F.lit(1000)), 6).alias("idf"), F.floor(age).alias("days"), X.size_text(n).alias("size"), X.when_text(at, F.timestamp_millis(F.lit(C.NOW))).alias("ago"), X.iso(F.col("last_seen")).alias("iso"))
 
 
-QUERIES = {n: _run(n) for n in SHAPES} | {n: _resolve(w) for n, w in WORDS.items()} | {f.__name__: f for f in (facets, stem_expand, stem_search, snippets, quote_locate, text_fragments, scalar_functions)}
-SQL = {n: search_sql(x) for n, x in SHAPES.items()} | {n: f"WITH {C.POSTINGS}, {resolved_sql([(0, w, False) for w in ws])} SELECT word, term, df, level, ord FROM res" for n, ws in WORDS.items()}
+QUERIES = {n: _run(n) for n in SHAPES} | {n: _top(x) for n, x in TOP.items()} | {n: _resolve(w) for n, w in WORDS.items()} | {f.__name__: f for f in (facets, stem_expand, stem_search, snippets, quote_locate, text_fragments, scalar_functions)}
+SQL = {n: search_sql(x) for n, x in SHAPES.items()} | {n: f"SELECT query, rank, id, score, mode FROM ({search_sql(x)})" for n, x in TOP.items()} | {n: f"WITH {C.POSTINGS}, {resolved_sql([(0, w, False) for w in ws])} SELECT word, term, df, level, ord FROM res" for n, ws in WORDS.items()}
 _N = "(id * id * 1237)"
 _D = "date_diff('day', make_timestamp((last_seen - id * 86400000) * 1000)::DATE, make_timestamp(1706745600000000)::DATE)"
 SQL |= {
