@@ -20,7 +20,8 @@ three are the method's own.
 
 Defined results: null text counts as empty and gives no spans; rows are handled
 one by one, so repeated rows, ties, empty tables and null ids need no special
-care; extra columns are never read.  Texts are read whole.
+care; extra columns are never read; an id may have any name (if it is called
+``spans``, the spans are called ``_spans``).  Texts are read whole.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault.llm import spans as S
-from pagevault.llm.store import batched, table
+from pagevault.llm.store import batched, beside, col, column, table
 
 KINDS = ("email", "ip", "card", "phone", "url", "account", "address")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -179,14 +180,15 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
 def personal_spans(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: the id and all spans."""
     kind = docs.schema[id].dataType.simpleString()
+    (spans,) = beside(id, "spans")
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(x.as_py())] for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, type=arrow)], names=[id, "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, type=arrow)], names=[id, spans])
 
-    return batched(docs).select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return batched(docs).select(col(id).alias("k"), col(text).alias("t")).mapInArrow(run, f"{column(id, kind)}, {spans} array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ of bounded size, upsamples chroma and converts to RGB.
 Defined results: null text counts as empty; an empty payload is padded to one
 unit of 576 bytes; equal texts give equal files, tensors and features; rows are
 handled one by one, so repeated rows, ties, empty tables and null ids need no
-special care; extra columns are never read.
+special care; extra columns are never read; an id may have any name (a result column
+of that name gets an underscore).
 """
 
 from __future__ import annotations
@@ -37,9 +38,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pagevault.llm.store import batched, table
+from pagevault.llm.store import batched, beside, col, column, table
 
 UNIT = 576  # a payload's length is a positive multiple of this
 STRIP = 1 << 14  # blocks transformed at once
@@ -513,6 +513,7 @@ def feature(rgb: np.ndarray) -> str:
 def store_media(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per row: the id, ``n_bytes`` of the text and ``media``, the progressive JPEG that holds its padded UTF-8."""
     kind = docs.schema[id].dataType.simpleString()
+    held_bytes, stored = beside(id, "n_bytes", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -520,15 +521,15 @@ def store_media(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
             for i in range(0, len(texts), 256):  # results of bounded size
                 held = [x.as_py() or b"" for x in texts[i : i + 256]]
                 media = [encode(padded(x)) for x in held]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array([len(x) for x in held], type=pa.int64()), pa.array(media, type=pa.binary())], names=[id, "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array([len(x) for x in held], type=pa.int64()), pa.array(media, type=pa.binary())], names=[id, held_bytes, stored])
 
-    return batched(docs).select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, n_bytes bigint, media binary")
+    return batched(docs).select(col(id).alias("k"), col(text).alias("t")).mapInArrow(run, f"{column(id, kind)}, {held_bytes} bigint, {stored} binary")
 
 
 def read_media(media: DataFrame, id: str = "doc_id", tensors: bool = True) -> DataFrame:
     """Per row of ``store_media``: payload digests, the file's digest, a feature and, if wanted, the RGB tensor."""
     kind = media.schema[id].dataType.simpleString()
-    names = [id, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width"] + ["rgb"] * tensors
+    names = [id, *beside(id, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", *["rgb"] * tensors)]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()] + [pa.binary()] * tensors
 
     def one(data: bytes) -> tuple:
@@ -548,8 +549,8 @@ def read_media(media: DataFrame, id: str = "doc_id", tensors: bool = True) -> Da
                     yield pa.RecordBatch.from_arrays([b.column(0)[first : r + 1], *columns], names=names)
                     first, rows, held = r + 1, [], 0
 
-    schema = f"`{id}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, height int, width int"
-    return media.mapInArrow(run, schema + ", rgb binary" * tensors)
+    kinds = ["bigint", "bigint", "string", "bigint", "bigint", "string", "string", "int", "int", "binary"]
+    return media.toDF("k", "n", "m").mapInArrow(run, ", ".join(column(n, k) for n, k in zip(names, [kind, *kinds], strict=False)))
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

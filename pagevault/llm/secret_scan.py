@@ -9,12 +9,20 @@ if its marginal bytes stay near what its alphabet can hold, nothing in its
 surroundings predicts it, and it is reported.  Strings that follow a candidate
 line by line, and all strings between BEGIN and END marks, are near the cue too.
 
+A string can begin after each of several cues inside one run of characters; all
+beginnings are judged, the first incompressible one is reported.  In runs of more
+than ``LONG`` bytes the run is compressed once, in pieces between its beginnings,
+and a beginning is judged by the sum of the pieces after it: the time stays in
+proportion to the run.  A string without a digit, or without a letter, is never
+novel: those are words and numbers.
+
 Every text is read whole.  Memory: one Arrow batch, and a few hundred bytes for
 each candidate.
 
 Defined results: null text counts as empty and gives no spans; rows are scored
 one by one, so repeated rows, ties, empty tables and null ids need no special
-care; extra columns of the input are never read.
+care; extra columns of the input are never read; an id may have any name (if it is
+called ``spans``, the spans are called ``_spans``).
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ import bisect
 import math
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
@@ -30,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault.llm import spans as S
-from pagevault.llm.store import batched, table
+from pagevault.llm.store import batched, beside, col, column, table
 
 KINDS = ("assign", "access", "hex", "novel")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
@@ -43,7 +52,9 @@ CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=.~-]{16,}")
 NEXT_LINE = re.compile(rb"[\"',;\\]{0,3}[ \t]*(?:\r?\n|\\n)[ \t]*[\"']?")  # from the end of a candidate to one on the next line
 TAIL = re.compile(rb"\s*[A-Za-z0-9+/=]{1,15}(?=\s*-----end)", re.I)  # a short last line before the END mark
 BITS = 6  # of a character of the widest alphabet (base64), for which the ratio stands
-LONG = 4096  # bytes from which strings with one end are compressed once, from the first beginning
+LEAST_BITS = 4  # of an alphabet with digits and letters
+LONG = 4096  # bytes of a run from which it is compressed once for all its beginnings
+FRAME = 3  # bytes of a compressed block's header, which a piece would not cost by itself
 REACH = 64  # bytes after a cue in which a candidate must begin
 AROUND = 256  # bytes of text on either side that prime the dictionary
 NOVEL_RATIO = 0.7  # marginal compressed bytes by bytes, from which a string counts as incompressible (less for alphabets of fewer bits)
@@ -134,10 +145,7 @@ def candidates(data: bytes) -> list[tuple[int, int]]:
                     break
                 k += 1
                 s, e = runs[k]
-    first: dict[int, int] = {}
-    for s, e in found:
-        first[e] = min(s, first.get(e, s))
-    return sorted((s, e) for s, e in found if e - first[e] <= LONG or s == first[e])
+    return sorted(found)
 
 
 def _places(low: bytes, cue: bytes) -> Iterator[int]:
@@ -147,19 +155,56 @@ def _places(low: bytes, cue: bytes) -> Iterator[int]:
         i = low.find(cue, i + 1)
 
 
+def _suffixes(data: bytes, starts: list[int], end: int) -> list[float]:
+    """``novelty`` of ``data[s:end]`` for rising starts: of one compression, in pieces, the marginal bytes of those after each start."""
+    prime = IDENTIFIERS + data[max(0, starts[0] - AROUND) : starts[0]] + data[end : end + AROUND]
+    squeeze = zstandard.ZstdCompressor(
+        level=3, dict_data=zstandard.ZstdCompressionDict(prime, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False
+    ).compressobj()
+    squeeze.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+    marginal = []
+    for a, b in zip(starts, [*starts[1:], end], strict=True):
+        size = 0
+        for lo in range(a, b, LONG):
+            size += max(0, len(squeeze.compress(data[lo : min(b, lo + LONG)])) + len(squeeze.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)) - FRAME)
+        marginal.append(size)
+    out, total = [], 0
+    for s, m in zip(reversed(starts), reversed(marginal), strict=True):
+        total += m
+        out.append(total / (end - s))
+    return out[::-1]
+
+
+class _Taken:
+    """Spans in order, to ask whether a stretch overlaps one."""
+
+    def __init__(self, spans: list[tuple]):
+        self.starts = sorted(x[1] for x in spans)
+        self.ends = sorted(x[2] for x in spans)
+
+    def meets(self, start: int, end: int) -> bool:
+        # spans that begin before its end, less those that end by its start
+        return bisect.bisect_left(self.starts, end) > bisect.bisect_right(self.ends, start)
+
+
 def novel(data: bytes, taken: list[tuple], ratio: float = NOVEL_RATIO) -> list[tuple[str, int, int, float]]:
-    """Incompressible strings near a sensitive cue that overlap no span in ``taken``."""
-    out, done = [], -1
-    for s, e in sorted(candidates(data), key=lambda x: (x[1], x[0])):
-        held = data[s:e]
-        if e == done or not (re.search(rb"[0-9]", held) and re.search(rb"[A-Za-z]", held)) or any(x[1] < e and s < x[2] for x in taken):
-            continue
-        n = novelty(data, s, e)
-        if n >= ratio * alphabet_bits(held) / BITS:
-            done = e  # of strings with one end, the longest that is incompressible
-            tail = TAIL.match(data, e)
-            e = tail.end() if tail and not any(x[1] < tail.end() and e < x[2] for x in taken) else e
-            out.append(("novel", s, e, n))
+    """Incompressible strings near a sensitive cue that overlap no span in ``taken``: of those with one end, the longest."""
+    out, held_by = [], _Taken(taken)
+    for e, group in groupby(sorted(candidates(data), key=lambda x: (x[1], x[0])), key=lambda x: x[1]):
+        first = next(group)[0]
+        starts = [first, *(s for s, _ in group)]
+        run = data[first:e]
+        # the last digit and letter tell of every suffix whether it has one
+        mixed = first + min(max((m.start() for m in re.finditer(kind, run)), default=-1) for kind in (rb"[0-9]", rb"[A-Za-z]"))
+        known = _suffixes(data, starts, e) if e - first > LONG else None
+        for k, s in enumerate(starts):
+            if s > mixed or held_by.meets(s, e):
+                continue
+            n = known[k] if known else novelty(data, s, e)
+            if n >= ratio * LEAST_BITS / BITS and n >= ratio * alphabet_bits(data[s:e]) / BITS:
+                tail = TAIL.match(data, e)
+                out.append(("novel", s, tail.end() if tail and not held_by.meets(e, tail.end()) else e, n))
+                break
     return sorted(out, key=lambda x: x[1:3])
 
 
@@ -178,15 +223,16 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint,novelty:double>>"
 def secret_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", ratio: float = NOVEL_RATIO) -> DataFrame:
     """Per row of ``docs``: the id and all spans with their novelty."""
     kind = docs.schema[id].dataType.simpleString()
+    (spans,) = beside(id, "spans")
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("novelty", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             rows = [[{"kind": k, "start": s, "end": e, "novelty": n} for k, s, e, n in scan(x.as_py(), ratio)] for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, type=arrow)], names=[id, "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, type=arrow)], names=[id, spans])
 
-    return batched(docs).select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, spans {SPANS}")
+    return batched(docs).select(col(id).alias("k"), col(text).alias("t")).mapInArrow(run, f"{column(id, kind)}, {spans} {SPANS}")
 
 
 def op1_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,16 @@ def free(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def beside(id: str, *names: str) -> list[str]:
+    """Names of result columns that stand beside an id column; one that the id has already gets an underscore."""
+    return ["_" + n if n.lower() == id.lower() else n for n in names]
+
+
+def column(name: str, kind: str) -> str:
+    """A column in a schema text, whatever characters its name holds."""
+    return "`" + name.replace("`", "``") + "` " + kind
+
+
 def others(docs: DataFrame, *results: str) -> list[str]:
     """The table's columns but for those that carry the name of a result column: the result takes their place."""
     return [c for c in docs.columns if c.lower() not in {r.lower() for r in results}]

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -12,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from test_operators import HARD, HARD_IDS, table
 
-from pagevault.llm import catalog, embedding_near, periodic_runs, spelling_variants
+from pagevault.llm import catalog, embedding_near, periodic_runs, pii, progressive_jpeg, secret_scan, spelling_variants
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -304,3 +305,36 @@ def test_op13(spark):
     docs = pq.read_table(f"{SF}/documents.parquet").to_pylist()
     few = [d for d in docs if d["doc_id"] < 40]
     assert got and as_rows(spelling_variants.spelling_variants(spark.createDataFrame([(d["doc_id"], d["text"]) for d in few], "doc_id long, text string"), every=97)) == variants_brute([d["text"] for d in few], 97, [d["doc_id"] for d in few])
+
+
+# --- secrets in long runs; id columns of any name ---
+
+
+def test_secret_after_a_long_run():
+    r = random.Random(4)
+    key = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(64))
+    for n in (50, 1900, 2100, 60_000):
+        text = "bearer " + "x1" * n + "_signature_" + key
+        assert [x[:3] for x in secret_scan.scan(text)] == [("novel", len(text) - 65, len(text))], n
+
+
+def test_secrets_take_time_in_proportion():
+    """Many credentials in one text, and many cues in one run."""
+    took = []
+    for n in (4000, 16_000):
+        began = time.process_time()
+        assert len(secret_scan.base(("token=abcdef12\n" * n).encode())) == n
+        secret_scan.novel(("bearer_" + "token_a1b2_" * n).encode(), [])
+        secret_scan.novel(b"token: x1y2z3w4v5u6t7s8 \n" * n, [("assign", k * 25, k * 25 + 3) for k in range(n)])
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
+@pytest.mark.parametrize("id", ["doc.id", "spans", "n_bytes", "a`b"])
+def test_ids_of_any_name(spark, id):
+    docs = spark.createDataFrame([(1, "mail me at joe@example.com, token: 'abcdefgh1234'")], f"`{id.replace('`', '``')}` long, text string")
+    secrets, personal = secret_scan.secret_spans(docs, id=id), pii.personal_spans(docs, id=id)
+    name = "_spans" if id == "spans" else "spans"
+    assert secrets.columns == personal.columns == [id, name] and secrets.first()[1][0].kind == "assign" and personal.first()[1][0].kind == "email"
+    media = progressive_jpeg.read_media(progressive_jpeg.store_media(docs, id=id), id=id, tensors=False)
+    assert media.columns[0] == id and media.columns[1] == ("_n_bytes" if id == "n_bytes" else "n_bytes") and media.first()[:2] == (1, 49)
