@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagevault import schemas as S
 from pagevault.functions import text as X
 from pagevault.functions import urls as U
+from pagevault.operators.scratch import settle
 
 META = ("id", "url", "domain", "first_seen", "last_seen", "bytes", "pinned")
 
@@ -96,6 +97,43 @@ def last_id(archive: DataFrame) -> int:
     return archive.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
 
+def folded(rows: DataFrame, held: DataFrame, order: str = "arrival") -> DataFrame:
+    """What the settled incoming rows of each key come to: one narrow row a key.
+
+    ``rows`` have ``keyed``'s columns and ``_row``, a number of their own; ``held`` the keys
+    and hashes of the archive.  ``n_row`` is the row whose content stands in the end, if the
+    content changes at all; the other columns are as ``upsert`` uses them.
+
+    Rows are ranged by key and arrival, so that a key with many rows is cut into
+    stretches.  Each stretch is summed by itself (its end, its rows, the last change and the
+    rows after it); stretches of a key are then put together in order.  No task sees more
+    of a key than a stretch, or one row for each of its stretches.
+    """
+    narrow = rows.select("url_key", F.col(order).alias("_at"), "_row", "content_hash", "last_seen", "first_seen", "visit_count", "pinned")
+    cut = settle(narrow.repartitionByRange("url_key", "_at").withColumn("_stretch", F.spark_partition_id()), "stretches")
+    inside = Window.partitionBy("url_key", "_stretch").orderBy("_at", "_row")
+    ends = cut.groupBy("url_key", "_stretch").agg(F.max_by("content_hash", F.struct("_at", "_row")).alias("_last"), F.count(F.lit(1)).alias("_rows"))
+    along = Window.partitionBy("url_key").orderBy("_stretch")
+    ends = ends.join(held.select("url_key", F.col("content_hash").alias("_hash"), F.lit(True).alias("_held")), "url_key", "left")
+    later = F.coalesce(F.sum("_rows").over(along.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    ends = ends.select("url_key", "_stretch", F.coalesce(F.lag("_last").over(along), "_hash").alias("_before"), "_held", "_rows", later.alias("_later"))
+    at = cut.withColumn("_n", F.row_number().over(inside)).withColumn("_prior", F.lag("content_hash").over(inside)).join(ends, ["url_key", "_stretch"])
+    at = at.withColumn("_changed", ~F.coalesce("_prior", "_before").eqNullSafe(F.col("content_hash")))
+    when = lambda condition, *c: F.max(F.when(condition, F.struct("_at", "_row", *c)))
+    changed = F.col("_changed")
+    # a given visit count restarts the count where the content changed; the rows after it count on
+    restart = (F.col("visit_count") + F.col("_rows") - F.col("_n") + F.col("_later")).alias("v")
+    sums = at.groupBy("url_key", "_stretch").agg(
+        when(changed).alias("row"), when(changed & F.col("first_seen").isNotNull(), "first_seen").alias("first"), when(changed & F.col("visit_count").isNotNull(), restart).alias("restart"),
+        F.min(F.struct("_at", "_row", "last_seen", "pinned")).alias("born"), F.max("last_seen").alias("seen"), F.count(F.lit(1)).alias("rows"), F.first("_held").alias("held"),
+    )
+    whole = sums.groupBy("url_key").agg(*(F.max(c).alias(c) for c in ("row", "first", "restart", "seen")), F.min("born").alias("born"), F.sum("rows").alias("rows"), F.first("held").alias("held"))
+    return whole.select(
+        "url_key", F.col("row._row").alias("n_row"), F.col("seen").alias("n_seen"), F.col("first.first_seen").alias("n_first"), F.col("born.last_seen").alias("n_born"), F.col("born.pinned").alias("n_pinned"),
+        F.col("restart.v").alias("n_restart"), F.col("rows").alias("n_rows"), F.when(F.col("held").isNull(), F.col("born._at")).alias("n_arrival"),
+    )
+
+
 def upsert(archive: DataFrame, pages: DataFrame, order: str = "arrival", top: int | None = None) -> DataFrame:
     """Fold incoming pages (``schemas.PAGE_INPUT`` and an arrival number) into the archive.
 
@@ -106,37 +144,30 @@ def upsert(archive: DataFrame, pages: DataFrame, order: str = "arrival", top: in
     visit; other content replaces the text in place (same id, first seen and pin
     kept unless given); last seen never moves back.  New pages get the next ids
     in order of arrival.
+
+    Narrow columns are folded first (``folded``); a text is moved only if it stands in
+    the end.
     """
-    rows = keyed(pages)
-    by = Window.partitionBy("url_key").orderBy(order)
-    rows = rows.withColumn("_n", F.row_number().over(by)).withColumn("_prior", F.lag("content_hash").over(by))
-    old = archive.select("url_key", F.col("content_hash").alias("_hash"), F.lit(True).alias("_held"))
-    rows = rows.join(old, "url_key", "left").withColumn("_changed", ~F.coalesce("_prior", "_hash").eqNullSafe(F.col("content_hash")))
-    fresh = F.col("_held").isNull() & (F.col("_n") == 1)
-    last = lambda c: F.max_by(c, F.when(F.col("_changed"), F.col(order)))
-    # a given visit count restarts the count where the content changed
-    restart = F.max(F.when(F.col("_changed") & F.col("visit_count").isNotNull(), F.struct(F.col(order).alias("o"), F.col("visit_count").alias("v"))))
-    folded = rows.groupBy("url_key").agg(
-        last("url").alias("n_url"), last("title").alias("n_title"), last("domain").alias("n_domain"), last("text").alias("n_text"), last("content_hash").alias("n_hash"),
-        F.max("last_seen").alias("n_seen"), F.max_by("first_seen", F.when(F.col("_changed") & F.col("first_seen").isNotNull(), F.col(order))).alias("n_first"),
-        F.min_by("last_seen", order).alias("n_born"), F.min_by("pinned", order).alias("n_pinned"), restart.alias("n_restart"), F.min(F.when(fresh, F.col(order))).alias("n_arrival"),
-        F.sort_array(F.collect_list(F.col(order))).alias("n_orders"),
-    )
-    visits = F.when(F.col("n_restart").isNull(), F.coalesce("visit_count", F.lit(0)) + F.size("n_orders")).otherwise(
-        F.col("n_restart.v") + F.size(F.filter("n_orders", lambda o: o > F.col("n_restart.o")))
-    )
+    rows = settle(keyed(pages).withColumn("_row", F.monotonically_increasing_id()), "incoming")
+    new = settle(folded(rows, archive, order), "folded")
+    texts = rows.select("_row", *(F.col(c).alias(f"n_{c}") for c in ("url", "title", "domain", "text", "content_hash")))
+    new = new.join(texts, F.col("n_row") == F.col("_row"), "left").drop("_row", "n_row")
     top = archive.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if top is None else F.lit(top)
-    both = archive.join(folded, "url_key", "full")
-    ids = numbered(both.where(F.col("id").isNull()).select("url_key", "n_arrival"), "n_arrival", "url_key").select("url_key", (F.col("number") + top).cast("long").alias("_id"))
-    both = both.join(ids, "url_key", "left")
-    pick = lambda new, old: F.coalesce(F.col(new), F.col(old))
-    new = {
-        "id": pick("id", "_id"), "url": pick("n_url", "url"), "title": pick("n_title", "title"), "domain": pick("n_domain", "domain"), "text": pick("n_text", "text"),
-        "content_hash": pick("n_hash", "content_hash"), "first_seen": F.coalesce("n_first", "first_seen", "n_born"), "last_seen": F.greatest("last_seen", "n_seen"),
-        "visit_count": F.when(F.col("n_orders").isNull(), F.col("visit_count")).otherwise(visits).cast("int"), "pinned": F.coalesce("pinned", "n_pinned", F.lit(False)),
-    }
-    out = both.select("url_key", *[c.alias(k) for k, c in new.items()], "lang" if "lang" in archive.columns else F.lit(None).cast("string").alias("lang"))
-    return out.withColumn("excerpt", X.excerpt(F.col("text")))
+    ids = numbered(new.where("n_arrival IS NOT NULL").select("url_key", "n_arrival"), "n_arrival", "url_key").select("url_key", (F.col("number") + top).cast("long").alias("id"))
+    lang = "lang" if "lang" in archive.columns else F.lit(None).cast("string").alias("lang")
+    kept = archive.join(new, "url_key", "left")
+    visits = F.when(F.col("n_rows").isNull(), F.col("visit_count")).otherwise(F.coalesce("n_restart", F.coalesce("visit_count", F.lit(0)) + F.col("n_rows"))).cast("int")
+    pick = lambda c: F.coalesce(f"n_{c}", c).alias(c)
+    kept = kept.select(
+        "url_key", "id", *map(pick, ("url", "title", "domain", "text", "content_hash")), F.coalesce("n_first", "first_seen", "n_born").alias("first_seen"), F.greatest("last_seen", "n_seen").alias("last_seen"),
+        visits.alias("visit_count"), F.coalesce("pinned", "n_pinned", F.lit(False)).alias("pinned"), lang,
+    )
+    fresh = new.where("n_arrival IS NOT NULL").join(ids, "url_key")
+    fresh = fresh.select(
+        "url_key", "id", *(F.col(f"n_{c}").alias(c) for c in ("url", "title", "domain", "text", "content_hash")), F.coalesce("n_first", "n_born").alias("first_seen"), F.col("n_seen").alias("last_seen"),
+        F.coalesce("n_restart", "n_rows").cast("int").alias("visit_count"), F.coalesce("n_pinned", F.lit(False)).alias("pinned"), F.lit(None).cast("string").alias("lang"),
+    )
+    return kept.unionByName(fresh).withColumn("excerpt", X.excerpt(F.col("text")))
 
 
 def shrinks(old: Column, new: Column, explicit: Column | None = None) -> Column:
