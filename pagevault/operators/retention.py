@@ -82,22 +82,18 @@ def exhausted_at(used: Column, cap: int, per_day: Column, now: int) -> Column:
 
 
 def clock_problem(now: int, last_sweep: int | None) -> str | None:
-    """Why the time since the last sweep can't be right, if it can't."""
-    if not last_sweep:
-        return None
-    if last_sweep - now > S.CLOCK_BACK_MS:
-        return "the clock has moved backwards since the last sweep"
-    return "more time has passed than an hourly sweep can account for" if now - last_sweep > S.CLOCK_JUMP_MS else None
+    """Why the time since the last sweep can't be right, if it lies outside what an hourly sweep can see."""
+    passed = now - last_sweep if last_sweep else 0
+    outside = (passed > S.CLOCK_JUMP_MS) - (passed < -S.CLOCK_BACK_MS)
+    return (None, "more time has passed than an hourly sweep can account for", "the clock has moved backwards since the last sweep")[outside]
 
 
 def clock_hold(now: int, last_sweep: int | None = None, hold_until: int | None = None, last_problem: str | None = None) -> tuple[str | None, int]:
     """(problem, held until): the age rule rests for a day after a jump; longer holds aren't believed."""
-    problem = clock_problem(now, last_sweep)
-    if problem:
-        return problem, now + S.CLOCK_HOLD_MS
-    if hold_until and 0 < hold_until - now <= S.CLOCK_HOLD_MS:
-        return last_problem or "the clock jumped recently", hold_until
-    return None, 0
+    new = clock_problem(now, last_sweep)
+    left = S.CLOCK_HOLD_MS if new else (hold_until or 0) - now
+    resting = 0 < left <= S.CLOCK_HOLD_MS
+    return (new or last_problem or "the clock jumped recently", now + left) if resting else (None, 0)
 
 
 def merged_log(rounds: DataFrame, keep: int = S.LOG_ROWS) -> DataFrame:

@@ -6,10 +6,13 @@ import os
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_HELD: ContextVar[list | None] = ContextVar("held", default=None)
 BROADCAST_ROWS = 300_000  # rows of a few dozen bytes each: the most that is ever broadcast
 
 
@@ -27,10 +30,26 @@ def temporary(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(where)
+    if (held := _HELD.get()) is not None:
+        held.append((fs, where))
     return path
 
 
+@contextmanager
+def released():
+    """Remove what is settled inside once the work inside is done."""
+    held: list = []
+    before = _HELD.set(held)
+    try:
+        yield
+    finally:
+        _HELD.reset(before)
+        for fs, where in held:
+            fs.delete(where, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back: computed once, however often it is read."""
     path = temporary(df.sparkSession, name)

@@ -1,20 +1,15 @@
-"""Streams: reading sessions, windowed counts, incremental upserts."""
+"""Streams: reading sessions, windowed counts, incremental upserts; those with state of their own are in ``reading``."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagevault import schemas as S
+from pagevault.operators.scratch import released
 from pagevault.operators.store import keyed, last_id, matching, upsert
-
-TICK_MS = 3000  # most that one tick adds
-OFFER_MS = 5000
+from pagevault.streaming.reading import TICK_MS, dwell_stream, offers_stream, once  # noqa: F401  the streams with state
 
 
 def dwell(ticks: DataFrame, key: str = "user_id", page: str = "event_type", ts: str = "ts", most: int = TICK_MS) -> DataFrame:
@@ -37,91 +32,6 @@ def most(ticks: DataFrame, value: str = "value", key: str = "user_id", page: str
     return t.groupBy(key, "session", page).agg(F.max(value).alias("most"))
 
 
-class Reader:
-    """One reader's state over ticks: time in focus, deepest scroll, and when to offer the page again.
-
-    A page (without its fragment) is offered from ``OFFER_FLOOR_MS`` in focus on.  While
-    it is still being read, offers come less and less often, up to one in
-    ``OFFER_GAP_MS``; a scroll of ``SCROLL_STEP`` more asks again at once.  Any other
-    answer is the last one for the page.
-    """
-
-    FIELDS = "page string, last long, focused long, scroll double, offers int, next long, scroll_then double, done boolean"
-
-    def __init__(self, held: tuple | None = None):
-        self.page, self.last, self.focused, self.scroll, self.offers, self.next, self.scroll_then, self.done = held or (None, 0, 0, 0.0, 0, 0, 0.0, False)
-
-    def state(self) -> tuple:
-        return self.page, self.last, self.focused, self.scroll, self.offers, self.next, self.scroll_then, self.done
-
-    def tick(self, url: str, ms: int, visible: bool, scroll: float, words: int, pdf: bool, refusal: str | None) -> tuple[str, int, float, bool, str] | None:
-        """An offer (page, focused, scroll, captured, reason), if this tick makes one."""
-        page = url.split("#")[0]
-        if page != self.page:
-            self.__init__((page, ms, 0, 0.0, 0, 0, 0.0, False))
-            return None
-        if self.done:
-            return None
-        if visible:
-            self.focused += max(0, min(ms - self.last, S.TICK_MS + S.TICK_SLACK_MS))
-        self.last, self.scroll = max(self.last, ms), max(self.scroll, scroll)
-        if self.scroll - self.scroll_then >= S.SCROLL_STEP:
-            self.next = 0
-        if self.focused < S.OFFER_FLOOR_MS or self.focused < self.next:
-            return None
-        self.offers, self.scroll_then = self.offers + 1, self.scroll
-        read = self.focused >= S.DWELL_MS and (pdf or 0 < words <= S.SHORT_WORDS or self.scroll >= S.SCROLL)
-        if not refusal and not read:
-            self.next = self.focused + min(S.OFFER_GAP_MS, S.TICK_MS * 2 ** max(0, self.offers - 2))
-            return page, self.focused, self.scroll, False, "still reading"
-        self.done = True
-        return page, self.focused, self.scroll, not refusal, refusal or "read"
-
-
-def offers_stream(ticks: DataFrame) -> DataFrame:
-    """Offers of a stream of ticks (tab, url, ts, visible, scroll, words, pdf, refusal), by tab.
-
-    ``refusal`` is the policy's reason against the page, or null (``rules.reason`` on
-    the stream gives it).
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reader = Reader(state.get if state.exists else None)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
-            said = reader.tick(r.url, int(r.ts.value // 1_000_000), bool(r.visible), float(r.scroll), int(r.words), bool(r.pdf), r.refusal)
-            if said:
-                out.append((key[0], *said))
-        state.update(reader.state())
-        yield pd.DataFrame(out, columns=["tab", "page", "focused_ms", "scroll", "capture", "reason"])
-
-    return ticks.groupBy("tab").applyInPandasWithState(step, "tab long, page string, focused_ms long, scroll double, capture boolean, reason string", Reader.FIELDS, "append", GroupStateTimeout.NoTimeout)
-
-
-_STATE = "page string, last_ms long, focused long, offered boolean"
-
-
-def dwell_stream(ticks: DataFrame, most: int = TICK_MS, offer: int = OFFER_MS) -> DataFrame:
-    """Stream form over (user_id, page, ts): a row each time a page's focused time first reaches ``offer``."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        page, last, focused, offered = state.get if state.exists else (None, 0, 0, False)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("ts").itertuples():
-            ms = int(r.ts.value // 1_000_000)
-            if r.page != page:
-                page, last, focused, offered = r.page, ms, 0, False
-                continue
-            focused, last = focused + max(0, min(ms - last, most)), max(ms, last)
-            if focused >= offer and not offered:
-                offered = True
-                out.append((key[0], page, focused))
-        state.update((page, last, focused, offered))
-        yield pd.DataFrame(out, columns=["user_id", "page", "focused_ms"])
-
-    return ticks.groupBy("user_id").applyInPandasWithState(step, "user_id long, page string, focused_ms long", _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Tumbling or sliding counts by type; the watermark bounds state on a stream."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
@@ -154,7 +64,8 @@ def upsert_batches(spark: SparkSession, path: str, stream: str = "batch"):
         pages.persist()  # released with the batch; a lost block is read from the source again
         try:
             parts, top = V.around(spark, path, matching(held, keyed(pages))), last_id(held)
-            V.publish(upsert(V.current(spark, path, parts=parts), pages, top=top), path, f"{stream}-{batch}-{uuid.uuid4().hex[:8]}", parts=parts, batch=(stream, batch))
+            with released():  # a stream never ends, so what a batch settles goes with it
+                V.publish(upsert(V.current(spark, path, parts=parts), pages, top=top), path, f"{stream}-{batch}-{uuid.uuid4().hex[:8]}", parts=parts, batch=(stream, batch))
         finally:
             pages.unpersist()
 
