@@ -11,11 +11,14 @@ shingles is at least 0.8.
    a time; after each step a pair is dropped if, under a uniform prior, the
    posterior probability that its similarity reaches the threshold falls below
    ``TOLERANCE``.  Pairs that survive connect their classes (``components``).
-3. In a bucket whose members are still not all connected, members of different
-   components are compared with each other in the same way: the bucket is dealt
-   into blocks of bounded size, and each pair of blocks is one group, which
-   returns a forest of the surviving pairs, not the pairs.  Both forests together
-   connect every two classes that share a band and survive.
+3. Classes of buckets whose members are still not all connected are met by prefix
+   filter: their shingles are counted among these classes and ordered from rare to
+   common; two sets at the threshold share one of their rarest ``n - ceil(0.8 n) + 1``
+   (``prefixes``).  Shingles of a template that many pages share stand last, so pages that
+   have only the template in common don't meet, however many bands collide.
+   Classes of different components that share such a shingle are compared as above:
+   they are dealt into blocks of bounded size, and each pair of blocks is one group,
+   which returns a forest of the surviving pairs, not the pairs.
 4. The components of what survived - pairs that are probably similar, not merely
    in one bucket - are dealt into blocks of bounded weight; each pair of blocks is
    one group in which all pairs are compared as above and what is left is
@@ -27,7 +30,7 @@ No pair at similarity 0.8 or more is given up but by chance: a pair at exactly
 0.8 shares none of the 24 bands of 4 values with probability 3e-6, and is pruned
 with probability under 1e-6.  There is no cap on buckets, partners or blocks.
 
-Scale: texts are read twice and only candidates' texts are shuffled, once per
+Scale: texts are read three times and only candidates' texts are shuffled, once per
 block they meet; band rows are small, pre-aggregated and joined (skew-splittable).
 Since only surviving pairs connect, components stay as small as groups of near
 copies are, however many bands collide by chance.  A component of n classes costs
@@ -47,7 +50,7 @@ null; an empty table gives an empty result; extra columns are never read (and
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -66,7 +69,7 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-7
 BLOCK_WEIGHT = 600_000  # shingles (and 200 a class) in a block
-BLOCK_ROWS = 4096  # members of a bucket in a block
+BLOCK_ROWS = 4096  # classes with a shingle in common in a block
 HOT = 10_000  # a key with more than this part of all rows is hot; there are fewer than so many
 SALTS = 32  # ways a hot key is split
 U32 = np.uint32
@@ -275,7 +278,8 @@ def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), HASHES)
 
 
-_EDGE = "u struct<a:bigint,b:bigint>, v struct<a:bigint,b:bigint>"
+_CLASS = "struct<a:bigint,b:bigint>"
+_EDGE = f"u {_CLASS}, v {_CLASS}"
 
 
 def _forest(rows: pa.Table, i_block: int, j_block: int, threshold: float) -> pa.Table:
@@ -302,8 +306,39 @@ def _forest(rows: pa.Table, i_block: int, j_block: int, threshold: float) -> pa.
     return pa.table({"u": side(0), "v": side(1)})
 
 
-def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges (u, v) that connect every two settled classes which share a band and survive the comparison."""
+def shingle_sets(texts: DataFrame, k: int = WORDS) -> DataFrame:
+    """(a, b, root, text) rows to (a, b, root, n, shingles); a text that is not of the class (under a repeated id) is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = W.column_bytes(batch.column(3))
+            for i, j in W.blocks(offsets):
+                sets = [W.shingles(W.words(raw[offsets[r] : offsets[r + 1]])[2], k) for r in range(i, j)]
+                mine = [digest(s) == (a.as_py(), b.as_py()) for s, a, b in zip(sets, batch.column(0)[i:j], batch.column(1)[i:j], strict=True)]
+                lists = pa.array([s.view(np.int64) for s in sets], type=pa.list_(pa.int64()))
+                rows = [*(batch.column(c)[i:j] for c in range(3)), pa.array([len(s) for s in sets], type=pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(rows, names=["a", "b", "root", "n", "shingles"]).filter(pa.array(mine, type=pa.bool_()))
+
+    return batched(texts).select("a", "b", "root", "text").mapInArrow(run, f"a bigint, b bigint, root {_CLASS}, n bigint, shingles array<bigint>")
+
+
+def prefixes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rarest shingles of each settled set: ``key``, ``v``, ``root``; those that no other set has are left out.
+
+    Of n shingles the ``n - ceil(threshold * n) + 1`` rarest by their number of sets
+    (ties: by hash) are a set's prefix; two sets at the threshold share one of them.
+    """
+    each = sets.select(F.struct("a", "b").alias("v"), "root", "n", F.explode("shingles").alias("key"))
+    often = settle(each.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shingles")
+    shared = by_key(each, often, ["key"], "sets", F.xxhash64("v"))
+    lists = shared.groupBy("v", "root", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "key"))).alias("held"))
+    # shingles of this set alone are its rarest and take their places in the prefix
+    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("held"))
+    return lists.select("v", "root", F.explode(F.slice("held", F.lit(1), F.greatest(most, F.lit(0)).cast("int"))).alias("s")).select("s.key", "v", "root")
+
+
+def candidates(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
+    """Edges (u, v) that connect every two settled classes which share a band and survive the comparison; ``texts`` adds each class's text to (a, b, ...) rows."""
     held = classes.select(F.struct("a", "b").alias("v"), F.explode("bands").alias("key"))
     bucket = held.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("other"), F.count(F.lit(1)).alias("rows")).where("u != other").select("key", "u", "rows")
     bucket = settle(bucket, "buckets")
@@ -323,9 +358,18 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of = settle(components(near, "connected").select(F.col("u").alias("v"), "root"), "connected")
     # members that no hub took are components of their own
     named = members.join(of, "v", "left").select("key", "rows", "v", F.coalesce("root", "v").alias("root"))
-    open_ = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("rows").alias("rows")).where("lo != hi AND rows > 2").select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"), "rows")
-    open_ = settle(open_, "open")
-    left = by_key(named.drop("rows"), open_, ["key"], "rows", F.xxhash64("v")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    open_ = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("rows").alias("rows")).where("lo != hi AND rows > 2")
+    open_ = settle(open_.select("key", "rows"), "open")
+    loose = settle(by_key(named.drop("rows"), open_, ["key"], "rows", F.xxhash64("v")).select("v.a", "v.b", "root").distinct(), "loose")
+    if loose.isEmpty():
+        out = settle(near.distinct(), "candidates")
+        discard(bucket, members, stars, hubs, near, of, open_, loose)
+        return out
+    sets = settle(shingle_sets(texts(loose), k), "sets")
+    rare = settle(prefixes(sets, threshold), "prefixes")
+    shared = rare.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo != hi")
+    shared = settle(shared.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"), "rows"), "shared")
+    left = by_key(rare, shared, ["key"], "rows", F.xxhash64("v")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     left = left.join(marks, (F.col("v.a") == F.col("a")) & (F.col("v.b") == F.col("b")))
     met = left.select("key", "a", "b", "root", "marks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other"))
     met = met.select("key", "a", "b", "root", "marks", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
@@ -335,7 +379,7 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     more = settle(met.groupBy("key", "i", "j").applyInArrow(run, _EDGE), "more")
     out = settle(near.unionByName(more).distinct(), "candidates")
-    discard(bucket, members, stars, hubs, near, of, open_, more)
+    discard(bucket, members, stars, hubs, near, of, open_, loose, sets, rare, shared, more)
     return out
 
 
@@ -350,7 +394,14 @@ def similar(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int = WO
     odd = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").limit(1).count() > 0
     smallest = F.min(F.struct(F.col("id").isNull(), "id", "t")).alias("rep")  # of the smallest id, null only if all are
     classes = settle(signed.groupBy("a", "b").agg(smallest, F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
-    edges = candidates(classes, threshold)
+
+    def texts(some: DataFrame) -> DataFrame:
+        """Rows of classes (a, b, ...) with the text of each class's smallest id."""
+        named = settle(some.join(classes.select("a", "b", "class_id", F.col("rep.t").alias("t")), ["a", "b"]), "named")
+        found = docs.select(col(id).alias("_id"), col(text).alias("text")).join(small(named), F.col("_id").eqNullSafe(F.col("class_id")) & (F.xxhash64("text") == F.col("t")))
+        return found.dropDuplicates(["a", "b"]) if odd else found
+
+    edges = candidates(classes, texts, threshold, k)
     of = components(edges, "candidates").select(F.col("u.a").alias("a"), F.col("u.b").alias("b"), "root")
     met = settle(classes.select("a", "b", "class_id", F.col("rep.t").alias("t"), "n").join(of, ["a", "b"]), "candidates")
     weight = F.col("n") + 200
