@@ -13,12 +13,6 @@ from pagevault.sources import exports as E
 from pagevault.sources import html as H
 
 RULES = ["example.org", "*.example.net", "blog.*", "example.com/en/*", "m.thther.example.org/de", "https://www.tionsh.example.net/fr/"]
-SECRETS = (
-    "https://a.example/reset?token=abc", "https://a.example/cb?code=1&state=2", "https://a.example/x?key=react", "https://a.example/x?key=Zm9vYmFyYmF6MTIzNDU2",
-    "https://a.example/x?pageToken=abcdefghijkl", "https://a.example/x?csrf_token=abcdefghij", "https://a.example/reset-password/550e8400e29b41d4a716", "https://a.example/how-to-verify-email-in-2024",
-    "https://a.example/verify/how-to-verify-email-in-2024", "https://a.example/f?sig=1&se=2", "https://a.example/#access_token=zz", "https://a.example/x?sort_key=date", "https://a.example/x?private_key=Zm9vYmFyYmF6MTIzNDU2",
-)
-HOSTS = ("10.1.2.3", "127.0.0.1", "172.16.0.1", "172.32.0.1", "192.168.1.1", "169.254.1.1", "100.64.0.1", "100.128.0.1", "8.8.8.8", "0.0.0.0", "[::1]", "[fe80::1]", "[fd00::1]", "[::ffff:c0a8:101]", "[::ffff:808:808]", "wiki", "example.com", "[2001:db8::1]")
 
 
 def url_key(s, d):
@@ -58,14 +52,6 @@ def retro_exclusion(s, d):
     return p.where(R.any_match(F.col("url"), RULES) | R.secret_in_url(F.col("url"))).select("page_id")
 
 
-def secret_url(s, d):
-    return s.createDataFrame([(u,) for u in SECRETS], "url string").select("url", R.secret_in_url(F.col("url")).alias("secret"))
-
-
-def private_host(s, d):
-    return s.createDataFrame([(h,) for h in HOSTS], "host string").select("host", R.private_host(F.col("host")).alias("private"))
-
-
 def html_text(s, d):
     return C.pages(s, d).select("page_id", "title", F.length("text").cast("long").alias("chars"), "text")
 
@@ -119,7 +105,7 @@ def set_operations(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    url_key, url_domain, dedupe_pages, canonical_choice, rule_match, decide_reason, strict_reason, retro_exclusion, secret_url, private_host, html_text, minimum_text, shrink_guard,
+    url_key, url_domain, dedupe_pages, canonical_choice, rule_match, decide_reason, strict_reason, retro_exclusion, html_text, minimum_text, shrink_guard,
     read_heuristic, upsert, import_status, export_rows, set_operations,
 )}
 
@@ -135,9 +121,6 @@ _TEXT = """regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?
 _PLAIN = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 _PAGE = f"""hp AS (SELECT page_id, trim({_PLAIN("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
  trim(regexp_replace(regexp_replace(regexp_replace({_PLAIN(f"regexp_replace({_TEXT}, '<[^>]*>', '', 'g')")}, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM pages)"""
-_FLAGS = {SECRETS[i]: i in (0, 1, 3, 5, 6, 9, 10, 12) for i in range(len(SECRETS))}
-_LOCAL = {h: h not in ("172.32.0.1", "100.128.0.1", "8.8.8.8", "[::ffff:808:808]", "example.com", "[2001:db8::1]") for h in HOSTS}
-_VALUES = lambda d: ", ".join(f"('{k}', {str(v).lower()})" for k, v in d.items())
 SQL = {
     "url_key": f"WITH {_PARTS} SELECT page_id, url_key FROM keys",
     "url_domain": f"WITH {_PARTS} SELECT page_id, host AS domain FROM u",
@@ -147,8 +130,6 @@ SQL = {
     "decide_reason": f"WITH {_PARTS} SELECT page_id, CASE WHEN {' OR '.join(f'({c})' for c in _R[:3])} THEN 'excluded: ' || host ELSE 'ok' END AS reason FROM u",
     "strict_reason": f"WITH {_PARTS} SELECT page_id, CASE WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 'ok' ELSE 'not on your allowlist' END AS reason FROM u",
     "retro_exclusion": f"WITH {_PARTS} SELECT page_id FROM u WHERE {' OR '.join(f'({c})' for c in _R)}",
-    "secret_url": f"SELECT * FROM (VALUES {_VALUES(_FLAGS)}) v(url, secret)",
-    "private_host": f"SELECT * FROM (VALUES {_VALUES(_LOCAL)}) v(host, private)",
     "html_text": f"WITH {_PAGE} SELECT page_id, title, length(text) AS chars, text FROM hp",
     "minimum_text": f"WITH {_PAGE} SELECT page_id, length(trim(text)) >= 25 AND length(trim(text)) >= length(title) + 20 AS fine FROM hp",
     "shrink_guard": f"WITH {C.ARCHIVE}, x AS (SELECT id, length(trim(text)) AS a, length(trim(left(text, (id * 37 % 1500)::INT))) AS b FROM arch) SELECT id, a >= 1000 AND b < a * 0.4 AS keep_old FROM x",

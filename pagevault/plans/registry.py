@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagevault.plans import budget, engine, indexing, pages, retrieval, streams, vectors
+from pagevault.plans import budget, engine, indexing, pages, retrieval, streams, texts
 
-MODULES = (indexing, retrieval, pages, budget, streams, engine, vectors)
+MODULES = (indexing, retrieval, pages, budget, streams, engine, texts)
 
 
 def queries() -> dict:

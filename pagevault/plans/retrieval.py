@@ -133,11 +133,6 @@ def facets(s, d):
     return Q.facets(ix, Q.candidates(ix, [(0, parse("the and", C.NOW))])).select("domain", "n")
 
 
-def stem_expand(s, d):
-    words = s.createDataFrame([("reeding", "en"), ("herations", "en"), ("achheiten", "de"), ("generalites", "fr"), ("naciones", "es")], "word string, lang string")
-    return words.select("word", "lang", stem_udf("word", "lang").alias("stem"))
-
-
 def stem_search(s, d):
     ix = C.index(s, d)
     r = Q.resolve(ix.dictionary, Q.words_table(s, [(0, Query(("tionings", "herly")))]), ("en", "de"), stem_udf)
@@ -167,7 +162,7 @@ def scalar_functions(s, d):
     return a.select("id", F.round(X.recency(F.col("last_seen"), C.NOW), 6).alias("recency"), F.round(X.idf(F.col("id") % 90 + 1, F.lit(1000)), 6).alias("idf"), F.floor(age).alias("days"), X.size_text(n).alias("size"), X.when_text(at, F.timestamp_millis(F.lit(C.NOW))).alias("ago"), X.iso(F.col("last_seen")).alias("iso"))
 
 
-QUERIES = {n: _run(n) for n in SHAPES} | {n: _top(x) for n, x in TOP.items()} | {n: _resolve(w) for n, w in WORDS.items()} | {f.__name__: f for f in (facets, stem_expand, stem_search, snippets, quote_locate, text_fragments, scalar_functions)}
+QUERIES = {n: _run(n) for n in SHAPES} | {n: _top(x) for n, x in TOP.items()} | {n: _resolve(w) for n, w in WORDS.items()} | {f.__name__: f for f in (facets, stem_search, snippets, quote_locate, text_fragments, scalar_functions)}
 SQL = {n: search_sql(x) for n, x in SHAPES.items()} | {n: f"SELECT query, rank, id, score, mode FROM ({search_sql(x)})" for n, x in TOP.items()} | {n: f"WITH {C.POSTINGS}, {resolved_sql([(0, w, False) for w in ws])} SELECT word, term, df, level, ord FROM res" for n, ws in WORDS.items()}
 _N = "(id * id * 1237)"
 _D = "date_diff('day', make_timestamp((last_seen - id * 86400000) * 1000)::DATE, make_timestamp(1706745600000000)::DATE)"
