@@ -155,17 +155,33 @@ class Engine:
         at = self.now()
         self.spark.createDataFrame([(time.time_ns(), at, reason, count, freed, age, size, 1)], S.LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
+    def page_statuses(self, pages: DataFrame) -> DataFrame:
+        """Pages (``url`` and other columns) with ``domain``, ``kept`` (the page as it is held, or null), ``capturable``, ``reason`` and ``excluded``."""
+        policy = self._policy()
+        broad = R.reason(F.col("url"), **(policy | {"allowlist": None}))
+        held = self.archive().select(F.col("url_key").alias("_of"), F.struct("id", "last_seen", "visit_count", "pinned").alias("kept"))
+        asked = pages.withColumns({"domain": U.domain_of(F.col("url")), "reason": R.reason(F.col("url"), **policy), "_broad": broad, "_key": U.url_key(F.col("url"))})
+        shut = F.col("_broad").startswith("excluded") | F.col("_broad").startswith("the address contains")
+        met = asked.join(held, F.col("_key") == F.col("_of"), "left").withColumns({"capturable": F.col("reason") == "ok", "excluded": F.when(shut, F.col("_broad"))})
+        return met.drop("_broad", "_key", "_of")
+
     def page_status(self, url: str) -> dict:
         """Whether a page is kept, and whether it would be."""
-        policy = self._policy()
-        kept = O.by_url(self.archive(), url).select("id", "last_seen", "visit_count", "pinned").first()
-        broad = R.reason(F.lit(url), **(policy | {"allowlist": None}))
-        r = self.spark.range(1).select(R.reason(F.lit(url), **policy).alias("reason"), broad.alias("broad"), U.domain_of(F.lit(url)).alias("domain")).first()
-        excluded = r.broad if r.broad.startswith(("excluded", "the address contains")) else None
-        return {"url": url, "domain": r.domain, "mode": self.settings().mode, "kept": kept.asDict() if kept else None, "capturable": r.reason == "ok", "reason": r.reason, "excluded": excluded}
+        r = self.page_statuses(self.spark.createDataFrame([(url,)], "url string")).first().asDict(recursive=True)
+        return {"url": url, "domain": r["domain"], "mode": self.settings().mode, "kept": r["kept"], "capturable": r["capturable"], "reason": r["reason"], "excluded": r["excluded"]}
 
     # --- changing ---
 
+    def restore(self, pages: DataFrame) -> None:
+        """Put a table of pages (``schemas.ARCHIVE``) in place of the archive, as one version; columns that follow from others may be missing."""
+        text = X.indexed_text(F.col("title"), F.col("text"))
+        follows = {
+            "url_key": U.url_key(F.col("url")), "domain": U.domain_of(F.col("url")), "excerpt": X.excerpt(F.col("text")), "content_hash": X.content_hash(text), "lang": F.lit(None),
+            "word_count": F.size(F.filter(X.terms(text), lambda t: t.isNotNull())), "bytes": X.byte_length(F.col("text")),
+        }
+        whole = pages.withColumns({c: x for c, x in follows.items() if c not in pages.columns})
+        self._publish(whole.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.ARCHIVE.fields]))
+
     def pin(self, id: int, value: bool = True) -> None:
         parts = [id >> V.PART_BITS]
         self._publish(O.pin(self.archive(parts), id, value), parts)
@@ -215,6 +231,10 @@ class Engine:
         self._fold(C.as_pages(judged), parts, top)
         return judged
 
+    def capture_now(self, contents: DataFrame) -> DataFrame:
+        """File pages that the reader asked for: short texts and much smaller ones count, the rules still hold."""
+        return self.capture(contents.withColumn("explicit", F.lit(True)))
+
     def offers(self, candidates: DataFrame) -> DataFrame:
         return C.offers(candidates, self._policy())
 

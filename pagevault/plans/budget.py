@@ -40,16 +40,11 @@ def forget_day(s, d):
     return O.without(a, gone).groupBy("domain").agg(F.count("*").alias("n"))
 
 
-def block_site(s, d):
-    a = C.archive(s, d)
-    return a.where(~O.on_site("src4.example")).groupBy("domain").agg(F.count("*").alias("n"))
-
-
 def pin_page(s, d):
     return O.pin(C.archive(s, d), 7).where("pinned").select("id")
 
 
-QUERIES = {n: _plan(n) for n in AGES} | {f.__name__: f for f in (eviction_summary, budget, log_merge, forget_day, block_site, pin_page)}
+QUERIES = {n: _plan(n) for n in AGES} | {f.__name__: f for f in (eviction_summary, budget, log_merge, forget_day, pin_page)}
 
 
 def _plan_sql(name: str) -> str:

@@ -10,7 +10,8 @@ from pagevault.operators import capture as A
 from pagevault.operators import retention as K
 from pagevault.operators import search as Q
 from pagevault.operators import store as O
-from pagevault.operators.scratch import settle
+from pagevault.operators.engine import Engine
+from pagevault.operators.scratch import settle, temporary
 from pagevault.plans import corpus as C
 from pagevault.plans import pages as PG
 from pagevault.plans import retrieval as G
@@ -28,6 +29,14 @@ def _held(s, rows):
     return settle(A.measured(empty, settle(O.upsert(empty, rows), "held")), "held")
 
 
+def _engine(s, pages) -> Engine:
+    """An engine in a folder of its own that holds the pages."""
+    e = Engine(s, temporary(s, "engine"), clock=lambda: C.NOW)
+    e.set_settings({"setup_complete": True, "custom_rules": PG.RULES[:3]})
+    e.restore(pages)
+    return e
+
+
 def _input(a, arrival="id"):
     none = lambda kind: F.lit(None).cast(kind)
     return a.select("url", "title", "text", "last_seen", F.lit(False).alias("pinned"), none("long").alias("first_seen"), none("int").alias("visit_count"), F.col(arrival).alias("arrival"))
@@ -101,17 +110,26 @@ def deleted_in_batches(s, d):
     a = C.sized(s, d)
     ids = a.where("id % 5 = 2").select("id").unionByName(s.createDataFrame([(-1,)], "id long"))
     n = O.deletion(a, ids)
-    return n.select("deleted", "bytes_freed", F.lit(O.removed(a, ids, 3)[-1].count()).alias("pages_left"))
+    left = O.removed(a, ids, 3)[-1].agg(F.count(F.lit(1))).scalar()
+    return n.select("deleted", "bytes_freed", left.cast("int").alias("pages_left"))
 
 
 def forget_site(s, d):
-    a = C.archive(s, d)
-    return O.without(a, a.where(O.on_site("www.src4.example")).select("id")).select("id")
+    e = _engine(s, C.sized(s, d))
+    e.forget("site", "www.src4.example")
+    return e.archive().select("id")
+
+
+def block_site(s, d):
+    e = _engine(s, C.sized(s, d))
+    e.block_site("src4.example")
+    return e.archive().groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
 def wiped(s, d):
-    a = C.archive(s, d)
-    return a.limit(0).agg(F.count(F.lit(1)).alias("pages_left")).select("pages_left", F.lit(a.count()).alias("deleted"))
+    e = _engine(s, C.sized(s, d))
+    e.wipe()
+    return e.log().select(e.archive().agg(F.count(F.lit(1))).scalar().alias("pages_left"), F.col("count").cast("int").alias("deleted"))
 
 
 def excluded_removed(s, d):
@@ -122,8 +140,9 @@ def excluded_removed(s, d):
 
 def page_statuses(s, d):
     p = C.table(s, d, "pages").select("page_id", "url", U.url_key(F.col("url")).alias("url_key"))
-    held = p.where("page_id % 2 = 0").groupBy("url_key").agg(F.max("page_id").alias("kept"))
-    return p.join(held, "url_key", "left").select("page_id", "kept", R.reason(F.col("url"), PG.RULES[:3]).alias("reason"))
+    held = p.where("page_id % 2 = 0").groupBy("url_key").agg(F.max("page_id").alias("id"), F.max_by("url", "page_id").alias("url"))
+    held = held.select("id", "url", F.lit("t").alias("title"), F.lit("x").alias("text"), F.lit(1).alias("last_seen"), F.lit(1).alias("first_seen"), F.lit(1).alias("visit_count"), F.lit(False).alias("pinned"))
+    return _engine(s, held).page_statuses(p.select("page_id", "url")).select("page_id", F.col("kept.id").alias("kept"), "reason")
 
 
 def more_pages(s, d):
@@ -144,7 +163,7 @@ def greatest_values(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    key_scan, unique_lookup, log_read, upsert_held, new_ids, import_pages, capture_outcomes, offered, sweep, deleted_in_batches, forget_site, wiped, excluded_removed, page_statuses, more_pages, reciprocal_rank, greatest_values,
+    key_scan, unique_lookup, log_read, upsert_held, new_ids, import_pages, capture_outcomes, offered, sweep, deleted_in_batches, forget_site, block_site, wiped, excluded_removed, page_statuses, more_pages, reciprocal_rank, greatest_values,
 )}
 
 _IN = """r AS (SELECT 'https://site.example/' || (id % 400) AS url_key, id, last_seen, CASE WHEN id % 3 = 0 THEN 'same words on every visit to this page' ELSE text END AS text FROM arch)"""

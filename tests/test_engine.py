@@ -74,6 +74,18 @@ def page(url, text="some text", seen=NOW - DAY, **over):
     return (url, over.get("title", "T"), text, seen, over.get("pinned", False), over.get("first"), over.get("visits"), over.get("arrival", 0))
 
 
+def test_capture_now_and_restore(spark, engine):
+    short = contents(spark, ("https://a.example/", None, "t", "brief", NOW, False, False), ("https://bank.example/login/1", None, "t", LONG, NOW, False, False))
+    assert [r.reason for r in engine.capture(short).orderBy("arrival").collect()][0] != "ok"
+    asked = engine.capture_now(short.drop("explicit")).orderBy("arrival").collect()
+    assert [r.ok for r in asked] == [True, False] and asked[1].reason.startswith("excluded")
+    assert told(engine.archive(), "url", "text") == [("https://a.example/", "brief")]
+    asked = engine.page_statuses(spark.createDataFrame([("https://a.example/#x", 1), ("https://mail.example/", 2)], "url string, n int")).orderBy("n").collect()
+    assert [(r.kept and r.kept.id, r.capturable, r.excluded is not None) for r in asked] == [(1, True, False), (None, False, True)]
+    engine.restore(spark.createDataFrame([(7, "https://b.example/x?utm_source=n", "T", "other words", 5, 9, 2, True)], "id long, url string, title string, text string, first_seen long, last_seen long, visit_count int, pinned boolean"))
+    assert told(engine.archive(), "id", "url_key", "word_count", "pinned") == [(7, "https://b.example/x", 3, True)] and engine.search("other").first().id == 7
+
+
 def test_import(spark, engine):
     rows = [page("https://a.example/"), page("ftp://x"), page("https://e.example/", ""), page("https://mail.example/"), page("https://a.example/", "older", NOW - 2 * DAY), page("https://a.example/", "newer", NOW + DAY, visits=-3),
             page("https://p.example/", first=NOW, visits=7, pinned=True, title="x" * 2000)]
