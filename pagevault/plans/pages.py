@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagevault.functions import rules as R
 from pagevault.functions import text as X
 from pagevault.functions import urls as U
+from pagevault.operators import rule_table as T
 from pagevault.operators import store as O
 from pagevault.plans import corpus as C
 from pagevault.sources import exports as E
@@ -52,6 +53,13 @@ def retro_exclusion(s, d):
     return p.where(R.any_match(F.col("url"), RULES) | R.secret_in_url(F.col("url"))).select("page_id")
 
 
+def rule_table(s, d):
+    """Pages under rules made of the hosts and paths of every seventh page, given as a table."""
+    p = C.table(s, d, "pages")
+    some = p.where("page_id % 7 = 0").select(F.concat(U.domain_of(F.col("url")), F.when(F.col("page_id") % 2 == 0, "").otherwise("/en/*")).alias("rule"))
+    return T.covered(p, T.compiled(some), "page_id").groupBy("page_id").agg(F.count(F.lit(1)).alias("rules"))
+
+
 def html_text(s, d):
     return C.pages(s, d).select("page_id", "title", F.length("text").cast("long").alias("chars"), "text")
 
@@ -105,7 +113,7 @@ def set_operations(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    url_key, url_domain, dedupe_pages, canonical_choice, rule_match, decide_reason, strict_reason, retro_exclusion, html_text, minimum_text, shrink_guard,
+    url_key, url_domain, dedupe_pages, canonical_choice, rule_match, decide_reason, strict_reason, retro_exclusion, rule_table, html_text, minimum_text, shrink_guard,
     read_heuristic, upsert, import_status, export_rows, set_operations,
 )}
 
@@ -130,6 +138,8 @@ SQL = {
     "decide_reason": f"WITH {_PARTS} SELECT page_id, CASE WHEN {' OR '.join(f'({c})' for c in _R[:3])} THEN 'excluded: ' || host ELSE 'ok' END AS reason FROM u",
     "strict_reason": f"WITH {_PARTS} SELECT page_id, CASE WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 'ok' ELSE 'not on your allowlist' END AS reason FROM u",
     "retro_exclusion": f"WITH {_PARTS} SELECT page_id FROM u WHERE {' OR '.join(f'({c})' for c in _R)}",
+    "rule_table": f"""WITH {_PARTS}, r AS (SELECT DISTINCT host AS h, page_id % 2 = 1 AS en FROM u WHERE page_id % 7 = 0)
+ SELECT page_id, count(*) AS rules FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND (NOT en OR lower(path) = '/en' OR starts_with(lower(path), '/en/')) GROUP BY page_id""",
     "html_text": f"WITH {_PAGE} SELECT page_id, title, length(text) AS chars, text FROM hp",
     "minimum_text": f"WITH {_PAGE} SELECT page_id, length(trim(text)) >= 25 AND length(trim(text)) >= length(title) + 20 AS fine FROM hp",
     "shrink_guard": f"WITH {C.ARCHIVE}, x AS (SELECT id, length(trim(text)) AS a, length(trim(left(text, (id * 37 % 1500)::INT))) AS b FROM arch) SELECT id, a >= 1000 AND b < a * 0.4 AS keep_old FROM x",
