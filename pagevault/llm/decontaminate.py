@@ -22,7 +22,9 @@ Windows poor in words and items under ``LEAST`` tokens have no placeholder view;
 every item also has an exact view, all slot values as words and no such bounds,
 so that a verbatim copy of any item is found.  Its share is taken of all of the
 item's windows and its alignments are consistent in both views.  An item of one
-word therefore matches every text with that word.
+word therefore matches every text with that word: items under ``LEAST`` tokens are
+reported (``contaminated`` gives their ``size``), but ``decontaminated`` drops no text
+for them.
 
 Scale: the texts are read once.  If the benchmark's windows are few by count,
 their sorted hashes go to the executors and only matching windows enter the
@@ -215,7 +217,7 @@ def item_windows(benchmark: DataFrame, text: str = "text", id: str = "item_id")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item: str = "item_id", share: float = SHARE) -> DataFrame:
-    """Rows (``_id``, ``_a``, ``_b``, item, windows, matched, share): the texts, by id and text hash, and the items in them."""
+    """Rows (``_id``, ``_a``, ``_b``, item, size, windows, matched, share): the texts, by id and text hash, and the items in them; ``size`` is that of the item's windows in tokens."""
     kind = docs.schema[id].dataType.simpleString()
     items = settle(item_windows(benchmark, "text", item), "items")
     sizes = sorted(r.size for r in items.select("size").distinct().collect())
@@ -249,10 +251,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
     a, b = content(col(text))
     keyed = batched(docs).select(col(id).alias("_id"), a.alias("_a"), b.alias("_b"), col(text))
     hits = keyed.mapInArrow(run, f"_id {kind}, _a bigint, _b bigint, {_HIT}")
-    own = items.select("item", "total", "whole", F.col("kind").alias("_kind"), F.col("hash").alias("_hash"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"))
+    own = items.select("item", F.col("size").alias("_size"), "total", "whole", F.col("kind").alias("_kind"), F.col("hash").alias("_hash"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"))
     met = hits.join(small(own) if few else own, (hits["hash"] == own["_hash"]) & (hits["kind"] == own["_kind"])).where(F.size("slots") == F.size("_slots"))
     pairs = F.arrays_zip(F.col("_slots").alias("x"), F.col("slots").alias("y"))
-    of = ["_id", "_a", "_b", "item", "total", "whole"]
+    of = ["_id", "_a", "_b", "item", "_size", "total", "whole"]
     by = lambda kind, x: F.when(F.col("kind") == kind, x)
     distinct = lambda x: F.array_distinct(F.flatten(x))
     lines = met.groupBy(*of, (F.col("pos") - F.col("_pos")).alias("_line")).agg(
@@ -264,13 +266,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
     count = lambda at: F.size(distinct(F.collect_list(at))).cast("long")
     found = lines.groupBy(*of).agg(count(F.concat(held("_at", steady("_pairs")), held("_open", steady("_names")))).alias("_some"), count(held("_exact", steady("_every"))).alias("_all"))
     best = F.greatest(*[F.struct(F.coalesce(F.try_divide(F.col(m), F.col(n)), F.lit(0.0)).alias("share"), F.col(n).alias("windows"), F.col(m).alias("matched")) for m, n in (("_some", "total"), ("_all", "whole"))])
-    return found.select(*of[:4], best.alias("_best")).select(*of[:4], F.col("_best.windows").alias("windows"), F.col("_best.matched").alias("matched"), F.col("_best.share").alias("share")).where(F.col("share") >= share)
+    return found.select(*of[:5], best.alias("_best")).select(*of[:4], F.col("_size").alias("size"), F.col("_best.windows").alias("windows"), F.col("_best.matched").alias("matched"), F.col("_best.share").alias("share")).where(F.col("share") >= share)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """``docs`` without the contaminated texts."""
+    """``docs`` without the texts contaminated by an item of ``LEAST`` tokens or more."""
     names = free(docs, "_gone", "_a", "_b")
-    gone = small(settle(contaminated(docs, benchmark, text, id).select("_id", "_a", "_b").distinct().toDF(*names), "contaminated"))
+    gone = small(settle(contaminated(docs, benchmark, text, id).where(F.col("size") >= LEAST).select("_id", "_a", "_b").distinct().toDF(*names), "contaminated"))
     a, b = content(col(text))
     return docs.join(gone, col(id).eqNullSafe(F.col(names[0])) & (a == F.col(names[1])) & (b == F.col(names[2])), "left_anti")
 

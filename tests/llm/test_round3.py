@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from test_operators import HARD, HARD_IDS, table
 
-from pagevault.llm import catalog, embedding_near, ngram_join, periodic_runs, pii, progressive_jpeg, secret_scan, spelling_variants
+from pagevault.llm import catalog, decontaminate, embedding_near, ngram_join, periodic_runs, pii, progressive_jpeg, secret_scan, spelling_variants
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -369,3 +369,16 @@ def test_template_pages(spark):
     assert sum(map(len, linked)) >= 120 and {i: n for i, (n, _) in got.items()} == {i: len(x) for i, x in enumerate(linked)}
     for i, x in enumerate(linked):
         assert got[i][1] == min([i, *x, *(z for y in x for z in linked[y])])
+
+
+# --- decontamination: short items ---
+
+
+def test_short_items_empty_no_corpus(spark):
+    item = "how many apples does anna buy if she pays seven dollars for each"
+    texts = ["yes we can", "no", f"the question was: {item}", "yes", None]
+    docs = table(spark, texts, ids=[0, 1, 2, 3, 4], sources=["s"] * 5, langs=["en"] * 5)
+    given = spark.createDataFrame([(1, "yes"), (2, item), (3, "no no")], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.decontaminated(docs, given).collect()} == {0, 1, 3, 4}
+    told = {(r._id, r.item): r.size for r in decontaminate.contaminated(docs, given).collect()}
+    assert told == {(0, 1): 1, (3, 1): 1, (2, 2): 8}
