@@ -12,6 +12,7 @@ from pagevault.operators import store as O
 from pagevault.plans import corpus as C
 from pagevault.sources import exports as E
 from pagevault.sources import html as H
+from pagevault.sources import readable as Y
 
 RULES = ["example.org", "*.example.net", "blog.*", "example.com/en/*", "m.thther.example.org/de", "https://www.tionsh.example.net/fr/"]
 
@@ -64,6 +65,13 @@ def html_text(s, d):
     return C.pages(s, d).select("page_id", "title", F.length("text").cast("long").alias("chars"), "text")
 
 
+def readable_text(s, d):
+    """Pages whose article is not marked as one."""
+    p = C.table(s, d, "pages")
+    bare = F.regexp_replace("html", "<(/?)article>", "<$1div>")
+    return p.select("page_id", Y.text(bare).alias("text"))
+
+
 def minimum_text(s, d):
     p = C.pages(s, d)
     return p.select("page_id", O.long_enough(F.col("title"), F.col("text")).alias("fine"))
@@ -113,7 +121,7 @@ def set_operations(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    url_key, url_domain, dedupe_pages, canonical_choice, rule_match, decide_reason, strict_reason, retro_exclusion, rule_table, html_text, minimum_text, shrink_guard,
+    url_key, url_domain, dedupe_pages, canonical_choice, rule_match, decide_reason, strict_reason, retro_exclusion, rule_table, html_text, readable_text, minimum_text, shrink_guard,
     read_heuristic, upsert, import_status, export_rows, set_operations,
 )}
 
@@ -141,6 +149,7 @@ SQL = {
     "rule_table": f"""WITH {_PARTS}, r AS (SELECT DISTINCT host AS h, page_id % 2 = 1 AS en FROM u WHERE page_id % 7 = 0)
  SELECT page_id, count(*) AS rules FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND (NOT en OR lower(path) = '/en' OR starts_with(lower(path), '/en/')) GROUP BY page_id""",
     "html_text": f"WITH {_PAGE} SELECT page_id, title, length(text) AS chars, text FROM hp",
+    "readable_text": f"WITH {_PAGE} SELECT page_id, text FROM hp",
     "minimum_text": f"WITH {_PAGE} SELECT page_id, length(trim(text)) >= 25 AND length(trim(text)) >= length(title) + 20 AS fine FROM hp",
     "shrink_guard": f"WITH {C.ARCHIVE}, x AS (SELECT id, length(trim(text)) AS a, length(trim(left(text, (id * 37 % 1500)::INT))) AS b FROM arch) SELECT id, a >= 1000 AND b < a * 0.4 AS keep_old FROM x",
     "read_heuristic": "WITH e AS (SELECT event_id, event_id * 7919 % 20000 AS ms, (event_id % 100) / 100.0 AS scroll, event_id * 31 % 900 AS words, event_id % 17 = 0 AS pdf FROM events) SELECT event_id, ms >= 9000 AND (pdf OR (words > 0 AND words <= 400) OR scroll >= 0.35) AS read FROM e",
