@@ -141,8 +141,11 @@ def _sos(parts: list[tuple[int, int, int]], first: int, last: int, high: int, lo
 
 
 def _stuffed(raw: np.ndarray) -> bytes:
-    at = np.flatnonzero(raw == 255)
-    return np.insert(raw, at + 1, 0).tobytes() if len(at) else raw.tobytes()
+    return raw.tobytes().replace(b"\xff", b"\xff\x00")
+
+
+def _unstuffed(data: bytes) -> np.ndarray:
+    return np.frombuffer(data.replace(b"\xff\x00", b"\xff"), dtype=np.uint8)
 
 
 def _packed(bits: np.ndarray) -> bytes:
@@ -409,8 +412,8 @@ def decode(data: bytes) -> Image:
             stop = int(np.argmin(rst)) if len(later) and not rst.all() else len(later)
             cuts = [at, *(int(x) for x in later[:stop])]
             end = int(later[stop]) if stop < len(later) else len(data)
-            stretches = [raw[x + 2 * (i > 0) : y] for i, (x, y) in enumerate(zip(cuts, [*cuts[1:], end], strict=True))]
-            _scan(image, inside, tables, [s[np.concatenate([[True], s[:-1] != 255])] if len(s) else s for s in stretches], a, b, high, low, restart)
+            stretches = [_unstuffed(data[x + 2 * (i > 0) : y]) for i, (x, y) in enumerate(zip(cuts, [*cuts[1:], end], strict=True))]
+            _scan(image, inside, tables, stretches, a, b, high, low, restart)
             at = end
     if image is None:
         raise ValueError("no frame")
