@@ -149,3 +149,13 @@ def test_levels(spark):
     assert got[7, None, None, None] == (4, 1) and got[3, "x.example", None, None] == (3, 1) and got[1, "x.example", "b.x.example", None] == (2, 0)
     assert got[0, "x.example", "b.x.example", 1] == (2, 0) and got[0, "localhost", "localhost", None] == (1, 0) and len(got) == 9
     assert M.overview(pages, cube=True).where("level = 6").count() == 3 and M.overview(pages.limit(0)).where("level < 7").count() == 0
+
+
+def test_one_decimal(spark):
+    """As printf writes it, halves included."""
+    gb = 1024**3
+    sizes = [k * gb // 4 for k in (5, 7, 9, 1237, 111105)] + [n * n * 12345 for n in (16384, 49152, 1_000_003)] + [gb + gb // 20 + k for k in (0, 1)] + [(1 << 45) + gb // 100 * 96]
+    got = [tuple(r) for r in spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, n long").orderBy("i").select(X.size_text(F.col("n")), X.describe_size(F.col("n"))).collect()]
+    assert got == [(f"{n / gb:.1f}GB",) * 2 for n in sizes]
+    small = [1310720, 1835008, 9_000_000]
+    assert [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(small)], "i int, n long").orderBy("i").select(X.size_text(F.col("n"))).collect()] == [f"{n / 1048576:.1f}MB" for n in small]
