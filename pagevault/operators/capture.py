@@ -88,9 +88,9 @@ def measured(before: DataFrame, after: DataFrame) -> DataFrame:
     changed = both.where("_changed").select("id")
     touched = changed.select(F.shiftright("id", S.BUCKET_BITS).alias("_bucket")).distinct()
     near = after.withColumn("_bucket", F.shiftright("id", S.BUCKET_BITS)).join(touched, "_bucket", "left_semi").drop("_bucket")
-    share = I.index_bytes(I.postings(I.tokens(near))).join(changed, "id", "left_semi")
+    share = I.index_bytes(I.postings(near)).join(changed, "id", "left_semi")
     own = I.page_bytes("url", "url_key", "title", "domain", "text", "excerpt", "content_hash")
-    words = F.size(F.filter(X.terms(X.indexed_text(F.col("title"), F.col("text"))), lambda t: t.isNotNull()))
+    words = X.count_terms(X.indexed_text(F.col("title"), F.col("text")))
     new = both.join(share, "id", "left").withColumns({
         "bytes": F.when(F.col("_changed"), own + F.coalesce("index_bytes", F.lit(0))).otherwise(F.col("_bytes")).cast("long"),
         "word_count": F.when(F.col("_changed"), words).otherwise(F.col("_words")).cast("int"),

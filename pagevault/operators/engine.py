@@ -177,7 +177,7 @@ class Engine:
         text = X.indexed_text(F.col("title"), F.col("text"))
         follows = {
             "url_key": U.url_key(F.col("url")), "domain": U.domain_of(F.col("url")), "excerpt": X.excerpt(F.col("text")), "content_hash": X.content_hash(text), "lang": F.lit(None),
-            "word_count": F.size(F.filter(X.terms(text), lambda t: t.isNotNull())), "bytes": X.byte_length(F.col("text")),
+            "word_count": X.count_terms(text), "bytes": X.byte_length(F.col("text")),
         }
         whole = pages.withColumns({c: x for c, x in follows.items() if c not in pages.columns})
         self._publish(whole.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.ARCHIVE.fields]))

@@ -17,12 +17,12 @@ def tokens(s, d):
 
 
 def postings_list(s, d):
-    p = I.postings(I.tokens(C.archive(s, d)).where(F.col("term").isin(*BY_TERM)))
+    p = I.postings(C.archive(s, d)).where(F.col("term").isin(*BY_TERM))
     return p.select("term", "id", "tf", F.array_join(F.col("pos").cast("array<string>"), ",").alias("pos"))
 
 
 def term_df(s, d):
-    return I.dictionary(I.postings(I.tokens(C.archive(s, d))))
+    return I.dictionary(I.postings(C.archive(s, d)))
 
 
 def corpus_stats(s, d):
@@ -35,12 +35,12 @@ def word_count(s, d):
 
 
 def buckets(s, d):
-    b = I.buckets(I.postings(I.tokens(C.archive(s, d))))
+    b = I.buckets(I.postings(C.archive(s, d)))
     return b.select("term", F.col("bucket").cast("long").alias("bucket"), F.size("docs").cast("long").alias("pages"), F.aggregate("docs", F.lit(0).cast("long"), lambda a, x: a + x["tf"]).alias("tf"))
 
 
 def index_size(s, d):
-    return I.index_bytes(I.postings(I.tokens(C.archive(s, d))))
+    return I.index_bytes(I.postings(C.archive(s, d)))
 
 
 def page_size(s, d):
@@ -48,7 +48,7 @@ def page_size(s, d):
 
 
 def index_estimate(s, d):
-    p = I.postings(I.tokens(C.archive(s, d)))
+    p = I.postings(C.archive(s, d))
     return p.groupBy("id").agg(F.sum(25 + 4 * F.size("pos") + 34 + 2 * F.octet_length("term")).cast("long").alias("estimate"))
 
 
@@ -118,7 +118,7 @@ def invariants(s, d):
 
 def deleted_postings(s, d):
     gone = C.archive(s, d).where(F.col("id") % 7 == 3).select("id")
-    return I.dictionary(O.without(I.postings(I.tokens(C.archive(s, d))), gone))
+    return I.dictionary(O.without(I.postings(C.archive(s, d)), gone))
 
 
 QUERIES = {f.__name__: f for f in (

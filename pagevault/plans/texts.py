@@ -45,7 +45,7 @@ def stems(s, d):
 
 def stem_expand(s, d):
     """Stems of the dictionary and how many words share them."""
-    by = I.dictionary(I.postings(I.tokens(C.archive(s, d)))).select("term", "df", stem_udf("term", F.lit("en")).alias("stem"))
+    by = I.dictionary(I.postings(C.archive(s, d))).select("term", "df", stem_udf("term", F.lit("en")).alias("stem"))
     return by.groupBy("stem").agg(F.count(F.lit(1)).alias("words"), F.sum("df").alias("pages"))
 
 
