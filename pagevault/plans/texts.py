@@ -64,9 +64,13 @@ def quote_vectors(s, d):
 
 
 def snippet_vectors(s, d):
-    """The opening of each page, where no word of the query stands."""
-    shown = C.archive(s, d).select("id", P.snippet_udf("text", F.array(F.lit("zzqnothing"))).alias("s"))
-    return shown.select("id", F.col("s.text").alias("text"), F.size("s.ranges").cast("long").alias("marks"))
+    """The densest passage of each page for two words of its own, with its marks; the opening of each fifth page, searched for a word that it lacks."""
+    a = C.archive(s, d).withColumn("words", F.array_compact(X.terms(F.col("text"))))
+    word = lambda share: F.get("words", F.floor(F.size("words") * share / 3).cast("int"))
+    wanted = F.when((F.col("id") % 5 == 4) | (F.size("words") == 0), F.array(F.lit("zzqnothing"))).otherwise(F.array(word(1), word(2)))
+    shown = a.select("id", P.snippet_udf("text", wanted).alias("s"))
+    marks = F.array_join(F.transform("s.ranges", lambda r: F.array_join(r.cast("array<string>"), "-")), ",")
+    return shown.select("id", F.col("s.text").alias("text"), F.size("s.ranges").cast("long").alias("marks"), marks.alias("ranges"))
 
 
 def phrase_vectors(s, d):
@@ -202,7 +206,23 @@ SQL = {
     "stem_languages": "WITH t AS (SELECT source, list_sort(list(DISTINCT lang || CASE WHEN doc_id % 2 = 0 THEN '-XX' ELSE '' END)) AS tags FROM documents GROUP BY source), b AS (SELECT source, list_filter(list_transform(tags, lambda x: lower(split_part(x, '-', 1))), lambda x: x IN ('en', 'es', 'pt', 'de', 'fr', 'it', 'nl')) AS l FROM t), o AS (SELECT source, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_position(l, l[i]) = i THEN l[i] END), lambda x: x IS NOT NULL) AS l FROM b) SELECT source, CASE WHEN len(l) = 0 THEN 'en' ELSE array_to_string(l, ',') END AS languages FROM o",
     "quote_vectors": f"""WITH {C.ARCHIVE}, a AS (SELECT id, text, regexp_extract(text, '^\\S+ \\S+ \\S+') AS first FROM arch), b AS (SELECT id, CASE WHEN id % 3 = 0 THEN strpos(text, substr(text, 101, 60)) - 1 WHEN id % 3 = 1 THEN 0 END AS s, CASE id % 3 WHEN 0 THEN 60 WHEN 1 THEN length(first) END AS n, CASE id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'loose' END AS how
  FROM a WHERE length(text) > 200 AND first <> '' AND first = regexp_replace(first, '[^ -~]', '', 'g') AND upper(first) <> first) SELECT id, s::INT AS start, (s + n)::INT AS "end", how FROM b""",
-    "snippet_vectors": f"WITH {C.ARCHIVE} SELECT id, trim(left(text, 260), {_SPACE}) || CASE WHEN length(text) > 260 THEN '…' ELSE '' END AS text, 0::BIGINT AS marks FROM arch",
+    "snippet_vectors": f"""WITH {C.ARCHIVE}, x AS (SELECT id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') AS g FROM arch),
+ u AS (SELECT id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(g[1:len(w)]) AS g FROM x),
+ p AS (SELECT id, i, {C.FOLD.format(x="w")} AS term, sum(length(g) + length(w)) OVER (PARTITION BY id ORDER BY i) AS e, length(w) AS n FROM u),
+ t AS (SELECT id, term, (e - n)::BIGINT AS s, e::BIGINT AS e, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY id) AS m FROM p WHERE term <> '' AND length(term) <= 64),
+ q AS (SELECT id, max(m) AS m, max(term) FILTER (WHERE k = m // 3) AS a, max(term) FILTER (WHERE k = 2 * m // 3) AS b FROM t WHERE id % 5 <> 4 GROUP BY id),
+ h AS (SELECT t.id, t.k, q.m, t.term = a AS first, a <> b AND t.term = b AS second FROM t JOIN q ON t.id = q.id AND t.term IN (a, b)),
+ d AS (SELECT id, k, m, max(k) OVER f AS last, 1000 * (max(first::INT) OVER f + max(second::INT) OVER f) + count(*) OVER f AS worth FROM h WINDOW f AS (PARTITION BY id ORDER BY k RANGE BETWEEN CURRENT ROW AND 40 FOLLOWING)),
+ o AS (SELECT id, greatest(0, arg_min(k, (-worth, k)) - 8) AS low, least(any_value(m) - 1, arg_min(last, (-worth, k)) + 8) AS high FROM d GROUP BY id),
+ b0 AS (SELECT o.*, x.text, l.s, r.e FROM o JOIN x USING (id) JOIN t l ON l.id = o.id AND l.k = low JOIN t r ON r.id = o.id AND r.k = high),
+ b1 AS (SELECT *, substr(text, greatest(0, s - 120) + 1, least(s, 120)) AS before, strpos(substr(text, e + 1, 120), '. ') AS dot FROM b0),
+ b2 AS (SELECT *, CASE WHEN contains(before, '. ') THEN greatest(0, s - 120) + length(regexp_extract(before, '(?s)^(.*)\\. ', 1)) + 2 ELSE s END AS s2, CASE WHEN dot > 0 THEN e + dot ELSE e END AS e1 FROM b1),
+ b3 AS (SELECT *, least(e1, s2 + 260) AS e2, substr(text, s2 + 1, least(e1, s2 + 260) - s2) AS y FROM b2),
+ b4 AS (SELECT *, s2 + length(y) - length(ltrim(y, {_SPACE})) AS s3, e2 - length(y) + length(rtrim(y, {_SPACE})) AS e3 FROM b3),
+ b5 AS (SELECT id, low, high, s3, greatest(s3, e3) AS e3, length(text) AS n, CASE WHEN s3 > 0 THEN 1 ELSE 0 END AS lead, CASE WHEN s3 > 0 THEN '…' ELSE '' END || substr(text, s3 + 1, greatest(s3, e3) - s3) AS y FROM b4),
+ mk AS (SELECT b5.id, count(*) AS marks, string_agg((t.s - s3 + lead) || '-' || (t.e - s3 + lead), ',' ORDER BY k) AS ranges FROM b5 JOIN t ON t.id = b5.id AND k BETWEEN low AND high AND t.s >= s3 AND t.e <= e3 JOIN q ON q.id = t.id AND term IN (a, b) GROUP BY b5.id)
+ SELECT x.id, CASE WHEN b5.id IS NULL THEN trim(left(text, 260), {_SPACE}) || CASE WHEN length(text) > 260 THEN '…' ELSE '' END ELSE y || CASE WHEN e3 < n AND right(y, 1) NOT IN ('.', '!', '?') THEN '…' ELSE '' END END AS text, coalesce(marks, 0) AS marks, coalesce(ranges, '') AS ranges
+ FROM x LEFT JOIN b5 USING (id) LEFT JOIN mk USING (id)""",
     "phrase_vectors": f"""WITH {C.ARCHIVE}, a AS (SELECT id, regexp_replace(left(text, 200), '^[…\\s]+|[…\\s]+$', '', 'g') AS t FROM arch), b AS (SELECT id, t, regexp_extract(t, '(?s)^(.*?)(?:[.!?](?:\\s|$)|$)', 1) AS sentence FROM a),
  c AS (SELECT id, list_filter(regexp_split_to_array(sentence, '\\s+'), lambda x: x <> '')[1:10] AS x, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')[1:10] AS y FROM b)
  SELECT id, CASE WHEN len(x) >= 4 THEN array_to_string(x, ' ') WHEN len(y) >= 4 THEN array_to_string(y, ' ') END AS phrase FROM c""",

@@ -159,3 +159,12 @@ def test_one_decimal(spark):
     assert got == [(f"{n / gb:.1f}GB",) * 2 for n in sizes]
     small = [1310720, 1835008, 9_000_000]
     assert [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(small)], "i int, n long").orderBy("i").select(X.size_text(F.col("n"))).collect()] == [f"{n / 1048576:.1f}MB" for n in small]
+
+
+def test_snippets_mark_words(spark):
+    """The registered query looks for words that the pages hold: passages inside of them, with marks."""
+    from pagevault.plans import texts
+
+    shown = texts.QUERIES["snippet_vectors"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.marks > 1 and r.text.startswith("…") for r in shown) > len(shown) / 4 and any(r.marks == 0 for r in shown)
+    assert all(len(r.ranges.split(",")) == r.marks for r in shown if r.marks)
