@@ -107,3 +107,19 @@ def test_clock():
     problem, until = clock_hold(NOW, NOW - 8 * DAY)
     assert problem and until == NOW + DAY
     assert clock_hold(NOW + 3_600_000, NOW, until, problem)[0] == problem and clock_hold(NOW, NOW, NOW + 5 * DAY) == (None, 0)
+
+
+def test_fnv_hashes():
+    """Many texts at once get the hashes that each has by itself, unit by unit."""
+    from pagevault.functions.text import SEEDS, fnv_hashes
+
+    def alone(text):
+        units, out = text.encode("utf-16-le", "surrogatepass"), ""
+        for h in SEEDS:
+            for k in range(0, len(units), 2):
+                h = (h ^ int.from_bytes(units[k : k + 2], "little")) * 0x01000193 % 2**32
+            out += f"{h:08x}"
+        return out
+
+    texts = ["", "a", "soup", "\U0001f600 \u00e9", "", "x" * 1000, "\uffff\U0010ffff", "soup"]
+    assert fnv_hashes(texts) == [alone(t) for t in texts] and fnv_hashes([]) == []
