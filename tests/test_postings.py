@@ -1,5 +1,7 @@
 """Postings are made where the pages are, by the definition of tokens."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from pagevault import schemas as S
@@ -50,3 +52,30 @@ def test_cells(spark, tmp_path, monkeypatch):
     assert all(r.n == 0 for r in I.invariants(ix).collect())
     found = I.lists(ix.postings, I.named(spark.createDataFrame([("common",)], "term string")))
     assert found.where("term = 'common'").count() == 1540 and found.select(F.input_file_name()).distinct().count() > 5
+
+
+def test_saved_in_order(spark, tmp_path, monkeypatch):
+    """Files are sorted by term and id (or block); tasks read bounded shares of the archive, which is tokenised where it was saved."""
+    monkeypatch.setattr(I, "TASK_BYTES", 1 << 16)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    a = spark.range(0, 6000, 1, 3).selectExpr("id", "'t' AS title", "concat_ws(' ', transform(sequence(1, 30), k -> substring(sha2(string((id * 7 + k * k) % 400), 256), 1, 9))) AS text")
+    I.Index.of(a.orderBy(F.hash("id"))).save(f"file://{tmp_path}/ix")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    for table, then in (("postings", "id"), ("impacts", "block")):
+        files = list((tmp_path / "ix" / table).rglob("*.parquet"))
+        for f in files:
+            rows = pq.ParquetFile(f).read(columns=["term", then]).to_pylist()
+            assert [tuple(r.values()) for r in rows] == sorted(tuple(r.values()) for r in rows)
+        assert len(files) == 16
+    assert all(pq.ParquetFile(f).metadata.row_group(0).total_byte_size < 1 << 18 for f in (tmp_path / "ix" / "archive").glob("*.parquet"))
+    assert all(r.n == 0 for r in I.invariants(I.Index.load(spark, f"file://{tmp_path}/ix")).collect())
+
+
+def test_stretches(monkeypatch):
+    """Postings of a batch are made by stretches of pages, each in order of term and id; pages without words are in none."""
+    b = pa.RecordBatch.from_arrays([pa.array([9, 4, 7, 1]), pa.array([["b", "a", "b"], ["a", "c"], None, ["c", "", "b"]])], names=["id", "words"])
+    whole = [tuple(r.values()) for out in I._grouped(iter([b])) for r in out.to_pylist()]
+    assert whole == [("a", 4, 1, [0]), ("a", 9, 1, [1]), ("b", 1, 1, [2]), ("b", 9, 2, [0, 2]), ("c", 1, 1, [0]), ("c", 4, 1, [1])]
+    monkeypatch.setattr(I, "STRETCH", 4)
+    parts = [[tuple(r.values()) for r in out.to_pylist()] for out in I._grouped(iter([b]))]
+    assert len(parts) > 1 and all(p == sorted(p) for p in parts) and sorted(sum(parts, [])) == whole
