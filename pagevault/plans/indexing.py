@@ -118,7 +118,7 @@ def invariants(s, d):
 
 def deleted_postings(s, d):
     gone = C.archive(s, d).where(F.col("id") % 7 == 3).select("id")
-    return I.dictionary(O.without(I.postings(C.archive(s, d)), gone))
+    return I.dictionary(O.unposted(I.postings(C.archive(s, d)), gone))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pagevault import schemas as S
 from pagevault.functions import text as X
 from pagevault.operators import index as I
+from pagevault.operators import store as O
+from pagevault.plans import indexing as C
 
 TEXTS = [
     "The cat, the dog and THE cat", None, "", " \n ", "x" * 64 + " " + "y" * 65 + " tail " + "ß" * 33 + " " + "ß" * 32, "Été ÉTÉ été Straße ΣΊΣΥΦΟΣ İstanbul", "αͺβ the ͺ΄γ", "été ñ", "数字 ١٢ Ⅷ 𝒜𝒷 😀 a_b",
@@ -54,6 +56,23 @@ def test_cells(spark, tmp_path, monkeypatch):
     assert found.where("term = 'common'").count() == 1540 and found.select(F.input_file_name()).distinct().count() > 5
 
 
+def test_unposted(spark):
+    """Postings of deleted pages go; the others are not shuffled by id for that."""
+    ids = [-129, -64, -1, 0, 1, 63, 64, 65, 127, 128, 1 << 40, (1 << 63) - 1]
+    p = spark.createDataFrame([(t, i, 1, [0]) for t in ("a", "b") for i in [*ids, None]], S.POSTINGS)
+    gone = spark.createDataFrame([(i,) for i in [*ids[::2], 7, -2, ids[0], None]], "id long")
+    for g in (gone, gone.limit(0)):
+        got = O.unposted(p, g)
+        assert got.columns == p.columns and sorted(map(str, got.collect())) == sorted(map(str, O.without(p, g).select(*p.columns).collect()))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = C.QUERIES["deleted_postings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("SortMergeJoin") == 1 and "LeftAnti" not in plan  # that of the archive's two tables
+
+
 def test_saved_in_order(spark, tmp_path, monkeypatch):
     """Files are sorted by term and id (or block); tasks read bounded shares of the archive, which is tokenised where it was saved."""
     monkeypatch.setattr(I, "TASK_BYTES", 1 << 16)
