@@ -90,6 +90,20 @@ def test_saved_in_order(spark, tmp_path, monkeypatch):
     assert all(r.n == 0 for r in I.invariants(I.Index.load(spark, f"file://{tmp_path}/ix")).collect())
 
 
+def test_cells_of_one_bucket(spark, tmp_path, monkeypatch):
+    """A cell never reaches into the next bucket, even where ids begin late in a block; its impacts are made by one task, and rows come in order without a sort by folders."""
+    monkeypatch.setattr(I, "CELL_ROWS", 256)
+    a = spark.range(255, 767).selectExpr("id", "'' AS title", "concat('common x', id % 97, ' y', id) AS text")
+    I.Index.of(a).save(f"file://{tmp_path}/ix")
+    assert all(r.n == 0 for r in I.invariants(I.Index.load(spark, f"file://{tmp_path}/ix")).collect())
+    for table, then in (("postings", "id"), ("impacts", "block")):
+        folders = [list(f.glob("*.parquet")) for f in (tmp_path / "ix" / table).glob("of=*/bucket=*")]
+        held = [[pq.ParquetFile(f).read(columns=["term", then]).to_pylist() for f in files] for files in folders]
+        assert all([tuple(r.values()) for r in rows] == sorted(tuple(r.values()) for r in rows) for files in held for rows in files)
+        tasks = [{f.name.split("-")[1] for f in files} for files in folders]
+        assert sum(map(len, tasks)) == len(set().union(*tasks)) and max(map(len, tasks)) <= 2  # a task's cell is of one bucket
+
+
 def test_stretches(monkeypatch):
     """Postings of a batch are made by stretches of pages, each in order of term and id; pages without words are in none."""
     b = pa.RecordBatch.from_arrays([pa.array([9, 4, 7, 1]), pa.array([["b", "a", "b"], ["a", "c"], None, ["c", "", "b"]])], names=["id", "words"])
