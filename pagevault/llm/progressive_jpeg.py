@@ -30,10 +30,11 @@ of that name gets an underscore).
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,7 @@ def _zigzag() -> np.ndarray:
 
 
 ZIGZAG = _zigzag()
+NATURAL = np.argsort(ZIGZAG)
 
 
 def _dct() -> np.ndarray:
@@ -73,7 +75,8 @@ class Huffman:
     symbols: list[int]
     codes: dict[tuple[int, int], int] = field(init=False)
     lengths: dict[int, tuple[int, int]] = field(init=False)
-    _levels: dict[tuple[int, bool], np.ndarray | None] = field(init=False, default_factory=dict)
+    _widths: dict[bool, int] = field(init=False, default_factory=dict)
+    _levels: dict[bool, np.ndarray | None] = field(init=False, default_factory=dict)
 
     def __post_init__(self) -> None:
         self.codes, self.lengths, code, k = {}, {}, 0, 0
@@ -86,12 +89,14 @@ class Huffman:
 
     def width(self, dc: bool) -> int:
         """The common length of a code with its extra bits over the symbols with a size, or 0."""
-        found = {n + s for s, (n, _) in self.lengths.items() if (dc or 0 < s < 16)}
-        return found.pop() if len(found) == 1 else 0
+        if dc not in self._widths:
+            found = {n + s for s, (n, _) in self.lengths.items() if (dc or 0 < s < 16)}
+            self._widths[dc] = found.pop() if len(found) == 1 else 0
+        return self._widths[dc]
 
     def level(self, dc: bool) -> np.ndarray | None:
         """For tables of one width: the value of each bit pattern of that width (INVALID where there is none)."""
-        if (0, dc) not in self._levels:
+        if dc not in self._levels:
             w, out = self.width(dc), None
             if 0 < w <= 16:
                 out = np.full(1 << w, INVALID, dtype=np.int32)
@@ -99,11 +104,11 @@ class Huffman:
                     if dc or 0 < s < 16:
                         v = np.arange(1 << s)
                         out[(code << s) + v] = np.where(v < (1 << s >> 1), v - (1 << s) + 1, v)
-            self._levels[0, dc] = out
-        return self._levels[0, dc]
+            self._levels[dc] = out
+        return self._levels[dc]
 
 
-INVALID = 1 << 20
+INVALID = 1 << 20  # above every value
 DC_WIDTH, AC_WIDTH = 9, 8
 DC_TABLE = Huffman([1] * 9 + [0] * 7, [8, 7, 6, 5, 4, 3, 2, 1, 0])
 AC_TABLE = Huffman([1] * 8 + [0] * 8, [7, 6, 5, 4, 3, 2, 1, 0])
@@ -150,12 +155,10 @@ def _unstuffed(data: bytes) -> np.ndarray:
 
 def _packed(bits: np.ndarray) -> bytes:
     """Bits to stuffed bytes, padded with ones."""
-    short = -len(bits) % 8
-    return _stuffed(np.packbits(np.concatenate([bits, np.ones(short, dtype=np.uint8)]) if short else bits))
-
-
-def _field_bits(values: np.ndarray, width: int) -> np.ndarray:
-    return np.unpackbits(values.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, 16 - width :].reshape(-1)
+    raw = np.packbits(bits)
+    if short := -len(bits) % 8:
+        raw[-1] |= (1 << short) - 1
+    return _stuffed(raw)
 
 
 def geometry(payload: int) -> tuple[int, int]:
@@ -165,38 +168,59 @@ def geometry(payload: int) -> tuple[int, int]:
     return across, -(-n // across)
 
 
+_HEAD = _segment(0xDB, bytes([0]) + bytes([1]) * 64)
+_TABLES = _dht(0, 0, DC_TABLE) + _dht(1, 0, AC_TABLE) + _dht(1, 1, REFINE_TABLE)
+_ALL = [(1, 0, 0), (2, 0, 0), (3, 0, 0)]
+_DC_SCAN, _DC_REFINEMENT = _sos(_ALL, 0, 0, 0, 1), _sos(_ALL, 0, 0, 1, 0)
+_AC_SCANS = [(c, a, b, _sos([(c + 1, 0, 0)], a, b, 0, 1)) for c, a, b in ((0, 1, 5), (1, 1, 63), (2, 1, 63), (0, 6, 63))]
+_AC_REFINEMENTS = [_sos([(c + 1, 0, 1)], 1, 63, 1, 0) for c in range(3)]
+_HALF = VALUE >> 1  # the DC coefficient of a byte without its lowest bit, which is that of the byte
+_DC_BITS = np.unpackbits(_field(np.arange(-255, 256), DC_TABLE, DC_WIDTH, True).astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, 16 - DC_WIDTH :]  # of each difference + 255
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences to the value before, the first to 0."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    return out
+
+
+@lru_cache(maxsize=1024)
+def _run_bits(run: int) -> np.ndarray:
+    """The code of an end-of-band run of so many blocks."""
+    e = run.bit_length() - 1
+    size, code = REFINE_TABLE.lengths[e << 4]
+    sign = (code << e) + run - (1 << e)
+    return np.array([sign >> k & 1 for k in range(size + e - 1, -1, -1)], dtype=np.uint8)
+
+
 def encode(payload: bytes) -> bytes:
     """A progressive JPEG that holds ``payload`` in its coefficients."""
     across, down = geometry(len(payload))
     n = across * down
     data = np.full(n * 384, 255, dtype=np.uint8)
     data[: len(payload)] = np.frombuffer(payload, dtype=np.uint8)
-    parts = [x.reshape(-1, 64) for x in np.split(data, [n * 256, n * 320])]
-    head = [b"\xff\xd8", _segment(0xFE, b"payload %d" % len(payload)), _segment(0xDB, bytes([0]) + bytes([1]) * 64)]
-    head += [_segment(0xC2, bytes([8]) + (down * 16).to_bytes(2, "big") + (across * 16).to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))]
-    head += [_dht(0, 0, DC_TABLE), _dht(1, 0, AC_TABLE), _dht(1, 1, REFINE_TABLE)]
-    dc = [VALUE[x[:, 0]] for x in parts]
-    dc[0] = dc[0].reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(-1)
-    units = np.empty((n, 6), dtype=np.int32)
-    units[:, :4] = np.diff(dc[0].astype(np.int32) >> 1, prepend=0).reshape(-1, 4)
-    units[:, 4], units[:, 5] = np.diff(dc[1].astype(np.int32) >> 1, prepend=0), np.diff(dc[2].astype(np.int32) >> 1, prepend=0)
-    out = [*head, _sos([(1, 0, 0), (2, 0, 0), (3, 0, 0)], 0, 0, 0, 1), _packed(_field_bits(_field(units.reshape(-1), DC_TABLE, DC_WIDTH, True), DC_WIDTH))]
-    for c, a, b in ((0, 1, 5), (1, 1, 63), (2, 1, 63), (0, 6, 63)):
-        out += [_sos([(c + 1, 0, 0)], a, b, 0, 1), _stuffed(_AC_FIELD[parts[c][:, a : b + 1]].reshape(-1))]
-    low = np.empty((n, 6), dtype=np.uint8)
-    low[:, :4] = (dc[0] & 1).reshape(-1, 4)
-    low[:, 4], low[:, 5] = dc[1] & 1, dc[2] & 1
-    out += [_sos([(1, 0, 0), (2, 0, 0), (3, 0, 0)], 0, 0, 1, 0), _packed(low.reshape(-1))]
-    for c in range(3):
-        bits, blocks = (np.abs(VALUE[parts[c][:, 1:]]) & 1).astype(np.uint8), len(parts[c])
+    blocks, coded, low = data.reshape(-1, 64), _AC_FIELD[data].reshape(-1, 64), (data & 1).reshape(-1, 64)
+    parts = [slice(0, 4 * n), slice(4 * n, 5 * n), slice(5 * n, 6 * n)]
+    out = [b"\xff\xd8", _segment(0xFE, b"payload %d" % len(payload)), _HEAD]
+    out += [_segment(0xC2, bytes([8]) + (down * 16).to_bytes(2, "big") + (across * 16).to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])), _TABLES]
+    dc = np.empty((n, 6), dtype=np.uint8)  # bytes of a unit's DC coefficients
+    dc[:, :4] = blocks[parts[0], 0].reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(-1, 4)
+    dc[:, 4], dc[:, 5] = blocks[parts[1], 0], blocks[parts[2], 0]
+    units = _HALF[dc]
+    units[:, :4] = _steps(units[:, :4].reshape(-1)).reshape(-1, 4)
+    units[:, 4:] = _steps(units[:, 4:])
+    out += [_DC_SCAN, _packed(_DC_BITS[units.reshape(-1) + 255].reshape(-1))]
+    for c, a, b, head in _AC_SCANS:
+        out += [head, _stuffed(coded[parts[c], a : b + 1])]
+    out += [_DC_REFINEMENT, _packed((dc & 1).reshape(-1))]
+    for part, head in zip(parts, _AC_REFINEMENTS, strict=True):
+        bits = low[part, 1:]
         runs = []
-        for at in range(0, blocks, 32767):
-            run = min(32767, blocks - at)
-            e = run.bit_length() - 1
-            size, code = REFINE_TABLE.lengths[e << 4]
-            sign = (code << e) + run - (1 << e)
-            runs += [np.array([sign >> k & 1 for k in range(size + e - 1, -1, -1)], dtype=np.uint8), bits[at : at + run].reshape(-1)]
-        out += [_sos([(c + 1, 0, 1)], 1, 63, 1, 0), _packed(np.concatenate(runs))]
+        for at in range(0, len(bits), 32767):
+            run = bits[at : at + 32767]
+            runs += [_run_bits(len(run)), run.reshape(-1)]
+        out += [head, _packed(np.concatenate(runs))]
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -223,7 +247,11 @@ class _Bits:
     """Bits of one entropy-coded stretch; ones follow its end."""
 
     def __init__(self, raw: np.ndarray) -> None:
-        self.bits, self.at = np.unpackbits(raw), 0
+        self.raw, self.at = raw, 0
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(self.raw)
 
     def take(self, n: int) -> int:
         v = 0
@@ -242,11 +270,11 @@ class _Bits:
 
     def fields(self, n: int, width: int) -> np.ndarray | None:
         """The next n fields of one width, without moving on; None if there are fewer bits."""
-        part = self.bits[self.at : self.at + n * width]
-        if len(part) < n * width:
+        if self.at + n * width > 8 * len(self.raw):
             return None
-        if width == 8:
-            return np.packbits(part).astype(np.int64)
+        if width == 8 and self.at % 8 == 0:
+            return self.raw[self.at // 8 : self.at // 8 + n]
+        part = self.bits[self.at : self.at + n * width]
         wide = np.zeros((n, 16), dtype=np.uint8)
         wide[:, 16 - width :] = part.reshape(n, width)
         return np.packbits(wide, axis=1).view(">u2").reshape(-1).astype(np.int64)
@@ -262,7 +290,7 @@ def _dc_first(bits: _Bits, order: list[tuple[int, np.ndarray]], tables: list[Huf
     level = tables[0].level(True)
     if level is not None and all(t is tables[0] for t in tables) and (f := bits.fields(n * len(order), tables[0].width(True))) is not None:
         diff = level[f].reshape(n, len(order))
-        if (diff != INVALID).all():
+        if diff.max() < INVALID:
             bits.at += n * len(order) * tables[0].width(True)
             for part in {p for p, _ in order}:
                 mine = [k for k, (p, _) in enumerate(order) if p == part]
@@ -282,7 +310,7 @@ def _ac_first(bits: _Bits, blocks: np.ndarray, t: Huffman, a: int, b: int, low:
     n, level = len(blocks) * (b - a + 1), t.level(False)
     if level is not None and (f := bits.fields(n, t.width(False))) is not None:
         v = level[f]
-        if (v != INVALID).all():
+        if v.max() < INVALID:
             bits.at += n * t.width(False)
             blocks[:, a : b + 1] = (v << low).reshape(len(blocks), -1)
             return
@@ -350,6 +378,10 @@ def _ac_refine(bits: _Bits, blocks: np.ndarray, t: Huffman, a: int, b: int, low:
         i += run
 
 
+MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]")  # that ends a scan
+RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+
+
 @lru_cache(maxsize=64)
 def _table(spec: bytes) -> Huffman:
     return Huffman(list(spec[:16]), list(spec[16:]))
@@ -357,9 +389,6 @@ def _table(spec: bytes) -> Huffman:
 
 def decode(data: bytes) -> Image:
     """Coefficient arrays of a progressive JPEG, all scans accumulated."""
-    raw = np.frombuffer(data, dtype=np.uint8)
-    marks = np.flatnonzero(raw[:-1] == 255)
-    marks = marks[raw[marks + 1] != 0]
     at, quant, tables, image, restart = 2, {}, {}, None, 0
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
@@ -407,12 +436,8 @@ def decode(data: bytes) -> Image:
             n = body[0]
             inside = [(image.components[ids[body[1 + 2 * i]]], *divmod(body[2 + 2 * i], 16)) for i in range(n)]
             a, b, high, low = body[1 + 2 * n], body[2 + 2 * n], *divmod(body[3 + 2 * n], 16)
-            later = marks[np.searchsorted(marks, at) :]
-            rst = (raw[later + 1] >= 0xD0) & (raw[later + 1] <= 0xD7)
-            stop = int(np.argmin(rst)) if len(later) and not rst.all() else len(later)
-            cuts = [at, *(int(x) for x in later[:stop])]
-            end = int(later[stop]) if stop < len(later) else len(data)
-            stretches = [_unstuffed(data[x + 2 * (i > 0) : y]) for i, (x, y) in enumerate(zip(cuts, [*cuts[1:], end], strict=True))]
+            end = found.start() if (found := MARKER.search(data, at)) else len(data)
+            stretches = [_unstuffed(x) for x in RESTART.split(data[at:end])]
             _scan(image, inside, tables, stretches, a, b, high, low, restart)
             at = end
     if image is None:
@@ -423,15 +448,14 @@ def decode(data: bytes) -> Image:
 
 def _scan(image: Image, inside: list, tables: dict, stretches: list[np.ndarray], a: int, b: int, high: int, low: int, restart: int) -> None:
     if len(inside) == 1:
-        c, d, h = inside[0]
-        blocks = c.blocks[: c.rows, : c.columns].reshape(-1, 64)
+        c = inside[0][0]
+        whole = c.blocks[: c.rows, : c.columns]
+        blocks = whole.reshape(-1, 64)  # a copy where the frame is wider than the component
         order = [(0, blocks)]
-    else:
-        order = []
-        for p, (c, _, _) in enumerate(inside):
-            down, across = c.blocks.shape[0] // c.v, c.blocks.shape[1] // c.h
-            mine = c.blocks.reshape(down, c.v, across, c.h, 64).transpose(0, 2, 1, 3, 4).reshape(-1, c.v * c.h, 64)
-            order += [(p, mine[:, k]) for k in range(c.v * c.h)]
+    else:  # of DC coefficients only: those of a unit side by side
+        dcs = [x for c, _, _ in inside for x in [c.blocks[:, :, 0].reshape(c.blocks.shape[0] // c.v, c.v, c.blocks.shape[1] // c.h, c.h).transpose(0, 2, 1, 3)]]
+        held = [x.reshape(-1, x.shape[2] * x.shape[3]) for x in dcs]
+        order = [(p, x[:, k : k + 1]) for p, x in enumerate(held) for k in range(x.shape[1])]
     n = len(order[0][1])
     step = restart or n
     for i, stretch in enumerate(stretches):
@@ -450,15 +474,11 @@ def _scan(image: Image, inside: list, tables: dict, stretches: list[np.ndarray],
             _ac_first(bits, part[0][1], tables[1, inside[0][2]], a, b, low)
         else:
             _ac_refine(bits, part[0][1], tables[1, inside[0][2]], a, b, low)
-    if len(inside) == 1:  # reshaping may have copied
-        c.blocks[: c.rows, : c.columns] = blocks.reshape(c.rows, c.columns, 64)
-    else:
-        k = 0
-        for c, _, _ in inside:
-            down, across = c.blocks.shape[0] // c.v, c.blocks.shape[1] // c.h
-            mine = np.stack([order[k + j][1] for j in range(c.v * c.h)], axis=1)
-            c.blocks[:] = mine.reshape(down, across, c.v, c.h, 64).transpose(0, 2, 1, 3, 4).reshape(c.blocks.shape)
-            k += c.v * c.h
+    if len(inside) > 1:
+        for (c, _, _), x, mine in zip(inside, dcs, held, strict=True):
+            c.blocks[:, :, 0] = mine.reshape(x.shape).transpose(0, 2, 1, 3).reshape(c.blocks.shape[:2])
+    elif not np.shares_memory(blocks, c.blocks):
+        whole[:] = blocks.reshape(whole.shape)
 
 
 def _plane(c: Component, quant: np.ndarray) -> np.ndarray:
@@ -466,9 +486,9 @@ def _plane(c: Component, quant: np.ndarray) -> np.ndarray:
     rows, columns, _ = c.blocks.shape
     flat = c.blocks.reshape(-1, 64)
     out = np.empty((rows * columns, 8, 8), dtype=np.float32)
-    back = np.argsort(ZIGZAG)
+    quant = quant[NATURAL]
     for i in range(0, len(flat), STRIP):
-        x = (flat[i : i + STRIP] * quant)[:, back].reshape(-1, 8)
+        x = (flat[i : i + STRIP].take(NATURAL, axis=1) * quant).reshape(-1, 8)
         x = (x @ DCT).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 8)
         out[i : i + STRIP] = (x @ DCT).reshape(-1, 8, 8).transpose(0, 2, 1)
     return out.reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, columns * 8)
@@ -488,7 +508,9 @@ def to_rgb(image: Image) -> np.ndarray:
     y, cb, cr = planes[0] + np.float32(128), planes[1], planes[2]
     rgb = np.empty((image.height, image.width, 3), dtype=np.uint8)
     for k, x in enumerate((y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb)):
-        rgb[..., k] = np.clip(np.rint(x), 0, 255)
+        np.rint(x, out=x)
+        np.maximum(x, 0, out=x)
+        rgb[..., k] = np.minimum(x, 255, out=x)
     return rgb
 
 
@@ -507,9 +529,15 @@ def feature(rgb: np.ndarray) -> str:
     """Size, mean and spread of each channel, and the mean step between neighbouring columns."""
     flat = rgb.reshape(-1, 3)
     n = len(flat)
-    ints = flat.astype(np.int64) if n < 1 << 16 else flat
-    mean, spread = ints.sum(axis=0, dtype=np.int64) / n, np.sqrt(np.maximum(0, np.einsum("ij,ij->j", ints, ints, dtype=np.int64) / n - (ints.sum(axis=0, dtype=np.int64) / n) ** 2))
-    step = float(np.abs(np.diff(rgb[..., 1].astype(np.int16), axis=1)).mean())
+    if n < 1 << 16:  # whole numbers below 2 ** 53: exact
+        x = flat.T.astype(np.float64, order="C")
+        total, squares = x.sum(axis=1), np.einsum("ij,ij->i", x, x)
+    else:
+        total, squares = flat.sum(axis=0, dtype=np.int64), np.einsum("ij,ij->j", flat, flat, dtype=np.int64)
+    mean = total / n
+    spread = np.sqrt(np.maximum(0, squares / n - mean**2))
+    green = rgb[..., 1].astype(np.int16)
+    step = float(np.abs(green[:, 1:] - green[:, :-1]).mean())
     return f"{rgb.shape[1]}x{rgb.shape[0]};mean=" + ",".join(f"{x:.3f}" for x in mean) + ";std=" + ",".join(f"{x:.3f}" for x in spread) + f";step={step:.3f}"
 
 

@@ -247,6 +247,24 @@ def test_scalar_paths():
     assert all((a.blocks == b.blocks).all() for a, b in zip(fast.components, slow.components, strict=True))
 
 
+def test_jpeg_reads_whole_bytes_and_restarts(monkeypatch):
+    """Codes of eight bits are read as bytes, not as bits (all bytes were unpacked before), and restarts cut a scan."""
+    J, unpack, seen = progressive_jpeg, np.unpackbits, []
+    payload = J.padded(bytes(range(256)) * 20)
+    data = J.encode(payload)
+    monkeypatch.setattr(np, "unpackbits", lambda x, *more, **named: seen.append(x.size) or unpack(x, *more, **named))
+    image = J.decode(data)
+    monkeypatch.undo()
+    assert J.payload_of(image) == payload and 0 < sum(seen) * 4 < len(data)
+    head = J._sos([(1, 0, 0), (2, 0, 0), (3, 0, 0)], 0, 0, 1, 0)
+    before, rest = data.split(head)
+    end = J.MARKER.search(rest).start()
+    bits = unpack(J._unstuffed(rest[:end]))[: J.geometry(len(payload))[0] * J.geometry(len(payload))[1] * 6].reshape(-1, 6)
+    cut = b"".join(J._packed(x) + (bytes([0xFF, 0xD0 + i % 8]) if i + 1 < len(bits) else b"") for i, x in enumerate(bits))
+    again = J.decode(before + J._segment(0xDD, b"\0\1") + head + cut + J._segment(0xDD, b"\0\0") + rest[end:])
+    assert len(bits) > 8 and all((a.blocks == b.blocks).all() for a, b in zip(again.components, image.components, strict=True))
+
+
 def grey_scans(blocks, quant=1):
     """An independent encoder: one grey component, spectral bands with zero runs and end-of-band, one refinement."""
     J = progressive_jpeg
