@@ -112,3 +112,31 @@ def test_stretches(monkeypatch):
     monkeypatch.setattr(I, "STRETCH", 4)
     parts = [[tuple(r.values()) for r in out.to_pylist()] for out in I._grouped(iter([b]))]
     assert len(parts) > 1 and all(p == sorted(p) for p in parts) and sorted(sum(parts, [])) == whole
+
+
+def test_impacts_of_whole_cells(spark, tmp_path):
+    """Impacts are read off the sorted cells, a task a file, whatever the session's split size; runs go on from batch to batch."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.maxRecordsPerFile", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in zip(names, ("4096", "50", "7"), strict=True):
+            spark.conf.set(k, v)
+        a = spark.range(0, 3000).selectExpr("id", "'' AS title", "concat('common common x', id % 97, ' y', id) AS text")
+        I.Index.of(a).save(f"file://{tmp_path}/ix")
+        ix = I.Index.load(spark, f"file://{tmp_path}/ix")
+        assert all(r.n == 0 for r in I.invariants(ix).collect())
+        assert all(len(list(f.glob("*.parquet"))) == 1 for t in ("postings", "impacts") for f in (tmp_path / "ix" / t).glob("of=*/bucket=*"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    b = pa.RecordBatch.from_arrays([pa.array(["a", "a", "a", "b", "b"]), pa.array([-1, 0, 255, 255, 256]), pa.array([1, 2, 9, 1, 3], pa.int32())], names=["term", "id", "tf"])
+    for n in range(1, 6):
+        parts = [b.slice(0, 0), *(b.slice(k, n) for k in range(0, 5, n))]
+        got = [tuple(r.values()) for out in I._runs(iter(parts)) for r in out.to_pylist()]
+        assert got == [("a", -1, 1, 1), ("a", 0, 9, 2), ("b", 0, 1, 1), ("b", 1, 3, 1)]
+
+
+def test_bucket_steps():
+    """Buckets grow with the corpus in steps of four, so that cells stay of a size."""
+    rows = [1 << k for k in range(20, 34)]
+    assert all(r <= I.buckets_for(r) * I.BUCKET_ROWS < 8 * max(r, I.BUCKETS[0] * I.BUCKET_ROWS) for r in rows)
