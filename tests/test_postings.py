@@ -140,3 +140,11 @@ def test_bucket_steps():
     """Buckets grow with the corpus in steps of four, so that cells stay of a size."""
     rows = [1 << k for k in range(20, 34)]
     assert all(r <= I.buckets_for(r) * I.BUCKET_ROWS < 8 * max(r, I.BUCKETS[0] * I.BUCKET_ROWS) for r in rows)
+
+
+def test_saved_tables_are_small(spark, tmp_path):
+    """What a build writes is compressed well."""
+    I.Index.of(spark.range(0, 300).selectExpr("id", "'t' AS title", "concat('common word', id % 50) AS text")).save(f"file://{tmp_path}/ix")
+    for table in ("archive", "postings", "impacts", "dictionary"):
+        files = list((tmp_path / "ix" / table).rglob("*.parquet"))
+        assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if pq.read_metadata(f).num_rows} == {"ZSTD"}
