@@ -83,7 +83,11 @@ def canonical_for(url: Column, canonical: Column) -> Column:
     return F.when(F.coalesce(same, F.lit(False)), canonical).otherwise(url)
 
 
+def text_directive(phrase: Column) -> Column:
+    """What an address ends with to open at a phrase, which may be empty."""
+    return F.concat(F.lit("#:~:text="), F.replace(encoded(phrase), F.lit("-"), F.lit("%2D")))
+
+
 def text_fragment(url: Column, phrase: Column) -> Column:
     """The address that opens at a phrase."""
-    at = F.replace(encoded(phrase), F.lit("-"), F.lit("%2D"))
-    return F.when(F.coalesce(phrase, F.lit("")) == "", url).otherwise(F.concat(F.substring_index(url, "#", 1), F.lit("#:~:text="), at))
+    return F.when(F.coalesce(phrase, F.lit("")) == "", url).otherwise(F.concat(F.substring_index(url, "#", 1), text_directive(phrase)))
